@@ -19,9 +19,11 @@ from packetlens.llm.common import durable
 
 LABELLERS = ("symbols", "shouting", "tables", "word_runs", "line_repeats", "clean_words", "running_text")
 GOOD, BAD, NONE = 1, 0, 2
+#: Labellers that vote both ways. Where they don't vote they say nothing; of the others, silence speaks for a text.
+MERITS = (5, 6)
 #: Rows whose posteriors the scorer is fitted to, the ones with the smallest hashes of their ids and texts.
-FIT_ROWS = 6000
-DIMS = 1 << 12
+FIT_ROWS = 3000
+DIMS = 1 << 11
 
 _CLASS = np.full(256, 3, dtype=np.int64)  # 3: other punctuation
 _CLASS[list(range(97, 123))] = 0
@@ -95,7 +97,7 @@ def fit_labellers(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100
         v = np.array([p for p, _ in patterns])
         n = np.array([c for _, c in patterns], dtype=float)
         for _ in range(rounds):
-            post = posterior(v, share, np.log(rates))
+            post = posterior(v, share, weighed(rates))
             before, share = share, float(np.clip((n * post).sum() / n.sum(), 0.02, 0.98))
             for c, w in ((1, n * post), (0, n * (1 - post))):
                 for j in range(k):
@@ -103,7 +105,16 @@ def fit_labellers(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100
                 rates[c] /= rates[c].sum(axis=1, keepdims=True)
             if abs(share - before) < 1e-7:
                 break
-    return share, np.log(rates)
+    return share, weighed(rates)
+
+
+def weighed(rates: np.ndarray) -> np.ndarray:
+    """Log rates; those of MERITS are of the votes given."""
+    logs = np.log(rates)
+    for j in MERITS:
+        logs[:, j] -= np.log(rates[:, j, :2].sum(axis=1, keepdims=True))
+        logs[:, j, NONE] = 0.0
+    return logs
 
 
 def posterior(v: np.ndarray, share: float, logs: np.ndarray) -> np.ndarray:
@@ -133,15 +144,15 @@ def features(text: str | None, m: dict[str, float], block: int = 1 << 20) -> np.
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, steps: int = 400, decay: float = 1e-4) -> np.ndarray:
     """Logistic weights (the last one is the constant) by accelerated gradient steps on soft labels."""
-    x = np.hstack([x, np.ones((len(x), 1))]) if len(x) else np.zeros((0, DIMS + 1))
+    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]) if len(x) else np.zeros((0, DIMS + 1))
     w = look = np.zeros(DIMS + 1)
     # each class weighs the same in all, so that rare bad texts count
     good, bad = max(1e-9, y.sum()), max(1e-9, (1 - y).sum())
     scale = y / (2 * good) + (1 - y) / (2 * bad)
-    rate, t = 4.0 / max(1e-9, (x * x).sum(axis=1).max() if len(x) else 1.0), 1.0
+    rate, t = 4.0 / max(1e-9, np.einsum("ij,ij->i", x, x).max() if len(x) else 1.0), 1.0
     for _ in range(steps if len(x) else 0):
-        p = 1 / (1 + np.exp(-np.clip(x @ look, -30, 30)))
-        new = look - rate * (x.T @ (scale * (p - y)) + decay * look)
+        p = 1 / (1 + np.exp(-np.clip(x @ look.astype(x.dtype), -30, 30)))
+        new = look - rate * ((scale * (p - y)).astype(x.dtype) @ x + decay * look)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         look, w, t = new + (t - 1) / t_new * (new - w), new, t_new
     return w
@@ -180,7 +191,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[float, np.ndarray, n
         .select("h", featured("text").alias("f")).select("h", "f.x", "f.p").limit(2 * fit_rows).collect()
     )
     rows.sort(key=lambda r: r.h)
-    x = np.array([np.frombuffer(r.x, dtype="<f4") for r in rows], dtype=float).reshape(-1, DIMS)
+    x = np.frombuffer(b"".join(r.x for r in rows), dtype="<f4").reshape(-1, DIMS)
     y = posterior(np.array([r.p for r in rows]), share, logs) if rows else np.zeros(0)
     return share, logs, fit_scorer(x, y)
 
