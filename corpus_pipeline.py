@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.llm import bpe, mixture, quality, secrets, simhash
-from packetlens.llm.common import durable, shared_dir
+from packetlens.llm.common import durable, prepared, shared_dir
 
 #: Near-duplicates of the corpus: five-word shingles of similarity 0.8 or more. Fingerprints of such a pair differ
 #: in acos(2 * 0.8 / 1.8) / pi = 15.1 % of the bits.
@@ -17,6 +17,7 @@ WORDS, BITS, MOST = 5, 1024, 155
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    prepared(spark)
     return quality.classified(docs).where("kept").select(*docs.columns)
 
 

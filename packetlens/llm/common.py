@@ -15,9 +15,17 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with batches to Python of bounded size, so that long texts do not fill a worker's memory."""
     # workers started from here on find this package as the driver did; a cluster ships it with --py-files
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

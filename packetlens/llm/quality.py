@@ -70,7 +70,7 @@ def votes(m: dict[str, float]) -> tuple[int, ...]:
         return BAD if x >= bad and m["n"] >= at_least else NONE
 
     def merit(x: float, bad: float, good: float) -> int:
-        return BAD if x <= bad and m["n"] >= 10 else GOOD if x >= good else NONE
+        return BAD if x <= bad and m["n"] >= 20 else GOOD if x >= good else NONE
 
     return (
         flaw(m["symbols"], 0.25, 4),
@@ -78,8 +78,8 @@ def votes(m: dict[str, float]) -> tuple[int, ...]:
         flaw(m["pipes"], 0.2, 4),
         flaw(m["runs"], 0.3),
         flaw(m["lines"], 0.7),
-        merit(m["clean"], 0.35, 0.9),
-        merit(m["lower"] - 2 * m["runs"], 0.4, 0.8),
+        merit(m["clean"], 0.6, 0.8),
+        merit(m["lower"] - 2 * m["runs"], 0.6, 0.8),
     )
 
 
