@@ -106,17 +106,12 @@ def ring_keys(fps: np.ndarray, most: int) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def chain_linked(a: np.ndarray, b: np.ndarray, start: np.ndarray | int, most: int) -> np.ndarray:
-    """Which rows of fingerprint bytes a, b hold the chain's budgets from ``start`` on and the full Hamming check."""
+def chain_linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of a, b, fingerprint bytes from a chain's start on, hold the chain's budgets and the full check."""
     m = a.shape[1]
-    ok = np.arange(len(a))
-    starts = np.broadcast_to(np.asarray(start), len(a))
-    done = 0
-    run = np.zeros(len(a), dtype=np.int64)
+    ok, done, run = np.arange(len(a)), 0, np.zeros(len(a), dtype=np.int32)
     for length in sorted({x for x in (3, 4, 5, 6, 7, 8, 16, 32) if x < m} | {m}):
-        cols = (starts[ok, None] + np.arange(done, length)[None, :]) % m
-        rows = ok[:, None]
-        run = run + np.bitwise_count(a[rows, cols] ^ b[rows, cols]).sum(axis=1)
+        run = run + np.bitwise_count(a[ok, done:length] ^ b[ok, done:length]).sum(axis=1, dtype=np.int32)
         keep = run <= length * most // m
         ok, run, done = ok[keep], run[keep], length
         if not len(ok):
@@ -131,56 +126,65 @@ def _start(key: np.ndarray | int, bits: int, most: int):
     return slot // 3 if complete(bits, most) else slot
 
 
+def _matrix(fps: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(fps), dtype=np.uint8).reshape(len(fps), -1)
+
+
 def links(classes: DataFrame, bits: int, most: int) -> DataFrame:
     """Edges (u, v) that connect ``classes`` (rep long, fp binary, distinct) as all links within ``most`` bits do.
 
-    Buckets of two give their pair; larger buckets are compared in blocks, of which only a spanning forest leaves.
+    First every member of a bucket is compared with the bucket's smallest, one candidate a member. Then only members
+    that this has not connected are compared with the rest of their bucket, in blocks of bounded size of which a
+    spanning forest leaves. A large group of near copies so costs about its own size, not its square, and whatever the
+    first pass finds, the two together connect exactly what all pairs would.
     """
 
     @F.pandas_udf("array<bigint>")
     def keys_of(fps: pd.Series) -> pd.Series:
-        if not len(fps):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(ring_keys(np.frombuffer(b"".join(fps), dtype=np.uint8).reshape(len(fps), -1), most)))
+        return pd.Series(list(ring_keys(_matrix(fps), most)) if len(fps) else [], dtype=object)
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series, key: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (a, b))
-        return pd.Series(chain_linked(x, y, _start(key.to_numpy(), bits, most), most))
+        m = bits // 8
+        turn = (_start(key.to_numpy(), bits, most)[:, None] + np.arange(m)[None, :]) % m
+        x, y = (np.take_along_axis(_matrix(s), turn, axis=1) for s in (a, b))
+        return pd.Series(chain_linked(x, y, most))
 
     def block(g: pd.DataFrame) -> pd.DataFrame | None:
         start = int(_start(int(g["key"].iat[0]), bits, most))
-        f = np.frombuffer(b"".join(g["fp"]), dtype=np.uint8).reshape(len(g), -1)
-        i, j = np.triu_indices(len(g), 1)
+        f = np.roll(_matrix(g["fp"]), -start, axis=1)
+        root, my = g["root"].to_numpy(), g["my"].to_numpy()
+        apart = np.triu(root[:, None] != root[None, :], 1)
         if g["pa"].iat[0] != g["pb"].iat[0]:
-            my = g["my"].to_numpy()
-            across = my[i] != my[j]
-            i, j = i[across], j[across]
+            apart &= my[:, None] != my[None, :]
+        i, j = np.nonzero(apart)
         adj = np.zeros((len(g), len(g)), dtype=bool)
-        for lo in range(0, len(i), 1 << 16):
-            a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-            hit = chain_linked(f[a], f[b], start, most)
+        for lo in range(0, len(i), 1 << 13):
+            a, b = i[lo : lo + (1 << 13)], j[lo : lo + (1 << 13)]
+            hit = chain_linked(f[a], f[b], most)
             adj[a[hit], b[hit]] = True
         u, v = spanning(adj, g["rep"].to_numpy())
         return pd.DataFrame({"u": u, "v": v})
 
     keyed = classes.select("rep", F.explode(keys_of("fp")).alias("key"))
-    buckets = durable(
-        keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u"), F.max("rep").alias("v")).where("n > 1")
-    )
-    pairs = buckets.where("n = 2").groupBy("u", "v").agg(F.collect_set("key").alias("keys"))
+    buckets = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u")).where("n > 1"))
+    members = durable(keyed.join(buckets, "key"))
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("fp").alias(f"fp_{x}"))
-    two = (
-        pairs.join(side("u"), "u").join(side("v"), "v")
-        .select("u", "v", "fp_u", "fp_v", F.explode("keys").alias("key"))
-        .where(linked("fp_u", "fp_v", "key"))
-        .select("u", "v")
+    pairs = members.where("rep <> u").select("u", F.col("rep").alias("v"), "key").groupBy("u", "v").agg(F.collect_set("key").alias("keys"))
+    stars = durable(
+        pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "fp_u", "fp_v", F.explode("keys").alias("key"))
+        .where(linked("fp_u", "fp_v", "key")).select("u", "v").distinct()
     )
-    members = keyed.join(buckets.where("n > 2").select("key", "n"), "key").join(classes, "rep")
-    more = grouped(in_blocks(members, "key", "n", F.col("rep"), BLOCK), ["key", "pa", "pb"], block, "u long, v long")
-    return two.unionByName(more)
+    roots = components(stars)
+    rooted = durable(classes.join(roots, classes.rep == roots.node, "left").select("rep", "fp", F.coalesce("root", "rep").alias("root")))
+    # a bucket of two has had its pair compared
+    named = members.where("n > 2").select("key", "n", "rep").join(rooted.select("rep", "root"), "rep")
+    open_ = durable(named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"))
+    left = named.join(open_, "key").join(rooted.select("rep", "fp"), "rep")
+    more = grouped(in_blocks(left, "key", "n", F.col("rep"), BLOCK), ["key", "pa", "pb"], block, "u long, v long")
+    return stars.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, most: int = 3) -> DataFrame:
