@@ -1,11 +1,467 @@
-"""Registered queries of the capture operators and their SQL."""
+"""Registered queries of the capture operators, and for each its SQL over the driver's tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from packetlens.config import ScanConfig
+from packetlens.functions import columns as c
+from packetlens.operators import aggregate, decode, detect, logs, match, views
+from packetlens.plans import adapter
+from packetlens.plans.bpf import where
+from packetlens.plans.scan import Scan
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+WEEK = 604800
+#: Settings at which the detectors fire on the driver's events.
+CFG = ScanConfig(portscan_window_seconds=WEEK, portscan_threshold=8, exfil_bytes_threshold=1_000_000, beaconing_tolerance=0.8, dns_tunnel_len=4, dns_tunnel_entropy=1.5)
+IPS = ("10.0.0.5", "10.0.0.77", "93.184.216.3", "10.0.0.16/28", "10.0.0.128/26")
+NAMES = ("example.net", "blog.example.com", "ththth.example.org")
+WORDS = ("token", "is the", "of the", "the th", "password", "the", "secret", "idiot")
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+PKT = "with " + adapter.EVENTS
+PROTO = "case l4 when 6 then 'TCP' when 17 then 'UDP' when 1 then 'ICMP' end"
+
+
+# --- counters, heavy hitters, flows
+
+
+@query(f"""{PKT} select count(*)::bigint packets, sum(raw_len)::bigint bytes, count(*)::bigint ipv4, 0::bigint ipv6,
+  count(*) filter (where l4 = 6)::bigint tcp, count(*) filter (where l4 = 17)::bigint udp, count(*) filter (where l4 = 1)::bigint icmp, 0::bigint icmpv6,
+  0::bigint arp, 0::bigint other, 0::bigint dns_queries, 0::bigint http_requests, 0::bigint tls_handshakes, 0::bigint dhcp_messages from pkt""")
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.counters(adapter.events(spark, sf_dir))
+
+
+@query(f"{PKT} select src_ip ip, sum(raw_len)::bigint count from pkt group by src_ip, src order by 2 desc, src limit 50")
+def top_src_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.top_bytes(adapter.events(spark, sf_dir), "src", 50)
+
+
+@query(f"{PKT} select dst_ip ip, sum(raw_len)::bigint count from pkt group by dst_ip, dst order by 2 desc, dst limit 5")
+def top_dst_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.top_bytes(adapter.events(spark, sf_dir), "dst", 5)
+
+
+@query(f"""{PKT} select case when l4 = 1 then '0.0.0.0' else src_ip end ip, sum(raw_len)::bigint count from pkt
+  group by 1, case when l4 = 1 then 0 else src end order by 2 desc, case when l4 = 1 then 0 else src end limit 50""")
+def top_src_bytes_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets = adapter.events(spark, sf_dir).withColumn("src_ip4", F.when(F.col("l4") != c.ICMP, F.col("src_ip4")))
+    return aggregate.top_bytes(packets, "src", 50, legacy=True)
+
+
+@query(f"select {adapter.HOST} as key, count(*)::bigint count from pages where {adapter.HOST} <> '' group by 1 order by 2 desc, 1 limit 50")
+def top_http_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.top_names(adapter.pages(spark, sf_dir), "http_host", 50)
+
+
+@query(f"select {adapter.HOST} as key, count(*)::bigint count from pages where {adapter.HOST} <> '' group by 1 order by 2 desc, 1 limit 20")
+def merged_top_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of parts of the packets, merged."""
+    packets = adapter.pages(spark, sf_dir)
+    parts = [aggregate.top_names(packets.where(F.col("packet_id") % 3 == k), "dns_qname_lower", 1_000_000) for k in range(3)]
+    return aggregate.merged_top(parts[0].unionByName(parts[1]).unionByName(parts[2]), 20)
+
+
+@query(None)
+def approx_top_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.approx_top(adapter.pages(spark, sf_dir), "http_host", 20)
+
+
+FLOW = f"""flow as (select src_ip, dst_ip, src_port, dst_port, {PROTO} proto, count(*)::bigint packets, sum(raw_len)::bigint bytes,
+  arg_min(ts, packet_id) first_ts, arg_max(ts, packet_id) last_ts, '' app_proto from pkt group by all)"""
+
+
+@query(f"{PKT}, {FLOW} select * from flow")
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.flows(adapter.events(spark, sf_dir))
+
+
+@query(f"""{PKT}, ends as (select src_ip a, src_port ap, dst_ip b, dst_port bp, l4, raw_len, ts from pkt
+  union all select dst_ip, dst_port, src_ip, src_port, l4, raw_len + 1, ts from pkt where packet_id % 2 = 0),
+  f as (select a, ap, b, bp, l4, count(*) n, sum(raw_len) s, min(ts) first_ts, max(ts) last_ts from ends group by all)
+  select least((a, ap), (b, bp))[1] src_ip, least((a, ap), (b, bp))[2] src_port, greatest((a, ap), (b, bp))[1] dst_ip, greatest((a, ap), (b, bp))[2] dst_port,
+  {PROTO} proto, coalesce(sum(n) filter (where (a, ap) <= (b, bp)), 0)::bigint packets, coalesce(sum(s) filter (where (a, ap) <= (b, bp)), 0)::bigint bytes,
+  coalesce(sum(n) filter (where (a, ap) > (b, bp)), 0)::bigint packets_rev, coalesce(sum(s) filter (where (a, ap) > (b, bp)), 0)::bigint bytes_rev,
+  min(first_ts) first_ts, max(last_ts) last_ts from f group by 1, 2, 3, 4, 5""")
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows and, of every second packet, an answer, put together by their ends."""
+    sent = adapter.events(spark, sf_dir)
+    back = sent.where("packet_id % 2 = 0").select(
+        *(F.col({"src_ip": "dst_ip", "dst_ip": "src_ip", "src_port": "dst_port", "dst_port": "src_port"}.get(x, x)).alias(x) if x != "raw_len" else (F.col(x) + 1).alias(x) for x in sent.columns)
+    )
+    return aggregate.conversations(aggregate.flows(sent.unionByName(back)))
+
+
+# --- indicator matching
+
+IN_LIST = "({0} in (10*16777216+5, 10*16777216+77, 93*16777216+184*65536+216*256+3) or {0} >> 4 = (10*16777216+16) >> 4 or {0} >> 6 = (10*16777216+128) >> 6)"
+
+
+def _alert(check: str, kind: str, detail: str, proto: str, extra: str = "", source: str = "hit", time: str = "strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%SZ')") -> str:
+    """An alert's columns for DuckDB; ``extra`` gives the ones that are not null."""
+    given = dict(x.split("=", 1) for x in extra.split(";") if x)
+    kinds = {"subdomain_len": "int", "entropy": "double", "interval_mean": "double", "interval_stddev": "double", "sample_count": "int", "bytes_sent": "bigint"}
+    rest = ", ".join(f"{given.get(k, 'null')}::{t} {k}" for k, t in kinds.items())
+    return (
+        f"select packet_id, {detect.ORDER[check]} check_ord, ts, {time} as time, '{kind}' as type, src_ip, dst_ip, {proto} proto, src_port, dst_port, {detail} detail, {rest} from {source}"
+    )
+
+
+TCP_OR_UDP = "case when l4 = 6 then 'TCP' else 'UDP' end"
+IP_SQL = f"""{PKT}, flagged as (select *, {IN_LIST.format('src')} s, {IN_LIST.format('dst')} d from pkt), hit as (select * from flagged where s or d)
+  {_alert('ip', 'blocklisted_ip', "'Matched IP blocklist' || case when s then ' (src: ' || src_ip || ')' else '' end || case when d then ' (dst: ' || dst_ip || ')' else '' end", TCP_OR_UDP)}"""
+
+
+@query(IP_SQL)
+def blocklisted_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.blocklisted_ip(adapter.events(spark, sf_dir), match.of_lists(spark, IPS).networks)
+
+
+@query(f"{PKT} select packet_id, {IN_LIST.format('src')} blocked_src, {IN_LIST.format('dst')} blocked_dst from pkt")
+def blocked_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.blocked(adapter.events(spark, sf_dir), match.of_lists(spark, IPS).networks, "src", "dst")
+    return found.select("packet_id", "blocked_src", "blocked_dst")
+
+
+PAGE = f"""page as (select page_id packet_id, page_id::double ts, page_id * 1000000 ts_us, {adapter.HOST} host, 6 l4, '10.0.0.' || (page_id % 250) src_ip, '93.184.216.' || (page_id % 7) dst_ip,
+  40000 src_port, 80 dst_port from pages)"""
+
+
+@query(f"""with {PAGE}, listed as (select unnest({list(NAMES)}) d), hit as (select * from page where exists (select 1 from listed where host = d or suffix(host, '.' || d)))
+  {_alert('domain', 'blocklisted_domain', "'Matched domain blocklist: ' || host", "'TCP'")}""")
+def blocklisted_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.blocklisted_domain(adapter.pages(spark, sf_dir), match.of_lists(spark, (), NAMES).domains)
+
+
+DOC = f"""doc as (select doc_id packet_id, doc_id::double ts, doc_id * 1000000 ts_us, {adapter.ASCII} body, 6 l4, '10.0.0.' || (doc_id % 250) src_ip, '93.184.216.' || (doc_id % 7) dst_ip,
+  40000 src_port, 9999 dst_port from documents)"""
+_WORDS = ", ".join(f"case when instr(b, '{w}') > 0 then {{'e': instr(b, '{w}') + {len(w)}, 's': {-len(w)}, 'i': {k}, 'w': '{w}'}} end" for k, w in enumerate(WORDS))
+KEYWORD_SQL = f"""with {DOC}, cut as (select *, substr(body, 1, 512) b from doc where length(body) > 0), found as (select *, list_min(list_filter([{_WORDS}], lambda x: x is not null)) m from cut),
+  hit as (select *, m.w as word from found where m is not null)
+  {_alert('keyword', 'keyword_match', "'Matched keyword: ' || word", "'TCP'")}"""
+
+
+@query(KEYWORD_SQL)
+def keyword_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.keyword_match(adapter.documents(spark, sf_dir), WORDS, CFG)
+
+
+# --- detectors without state
+
+
+
+@query(f"""with {PAGE}, l as (select *, substr(host, 1, instr(host, '.') - 1) label from page where instr(host, '.') > 1),
+  e as (select packet_id, sum(-k / n * log2(k / n)) bits from (select packet_id, n, x, count(*)::double k from (select packet_id, length(label)::double n, unnest(string_split(label, '')) x from l) group by all) group by packet_id),
+  hit as (select l.*, e.bits from l join e using (packet_id) where length(label) >= 4 and bits >= 1.5)
+  {_alert('dns_tunnel', 'dns_tunnel', "'Potential DNS tunnel: ' || host", "'DNS'", "subdomain_len=length(label);entropy=round(bits, 2)")}""")
+def dns_tunnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.dns_tunnel(adapter.pages(spark, sf_dir), CFG)
+
+
+@query("""select page_id, coalesce(round(sum(-k / n * log2(k / n)), 6), 0) bits from
+  (select page_id, n, x, count(*)::double k from (select page_id, length(url)::double n, unnest(string_split(url, '')) x from pages) group by all) group by page_id""")
+def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapter.table(spark, sf_dir, "pages").select("page_id", F.round(c.entropy("url"), 6).alias("bits"))
+
+
+_CASE = "case " + " ".join(f"when contains(low, '{p}') then '{what}'" for p, what in detect.PATTERNS) + " end"
+_PUT = [p for p, _ in detect.PATTERNS]
+
+
+@query(f"""with {DOC}, put as (select *, case when packet_id % 5 = 0 then {_PUT}[(packet_id // 5 % {len(_PUT)} + 1)::int] else '' end || body b from doc),
+  low as (select *, lower(substr(b, 1, 1024)) low from put where length(b) > 10), hit as (select *, {_CASE} what from low where {_CASE} is not null)
+  {_alert('pattern', 'sensitive_data', "'Sensitive data pattern: ' || what", "'TCP'")}""")
+def sensitive_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern is put before every fifth text."""
+    chosen = F.element_at(F.array(*map(F.lit, _PUT)), (F.floor(F.col("doc_id") / 5) % len(_PUT) + 1).cast("int"))
+    body = F.concat(F.when(F.col("doc_id") % 5 == 0, chosen).otherwise(""), adapter.ascii_text())
+    return detect.sensitive_pattern(adapter.documents(spark, sf_dir, body))
+
+
+def _ftp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FTP logins of all events, as frames. Source port 8080 makes one of them HTTP."""
+    packets = adapter.events(spark, sf_dir).withColumn("l4", F.lit(c.TCP)).withColumn("dst_port", F.lit(21))
+    secret = F.substring(F.lit("abcdefghijkl"), F.lit(1), (F.col("packet_id") % 12).cast("int"))
+    lines = F.concat(F.lit("USER  name"), F.col("packet_id").cast("string"), F.lit("\r\nPASS "), secret, F.lit("\r\n"))
+    return decode.decoded(adapter.framed(packets, lines))
+
+
+REDACT = "case when length({0}) <= 4 then repeat('*', length({0})) else substr({0}, 1, 2) || repeat('*', length({0}) - 4) || right({0}, 2) end"
+FTP = f"{PKT}, hit as (select * replace (6 as l4, 21 as dst_port), 'name' || packet_id u, substr('abcdefghijkl', 1, (packet_id % 12)::int) p from pkt where src_port <> 8080)"
+
+
+@query(f"{FTP} {_alert('credential', 'sensitive_data', '$$Plaintext credentials detected (ftp) user: $$ || ' + REDACT.format('u'), '$$ftp$$')}")
+def plaintext_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.plaintext_credentials(_ftp(spark, sf_dir), CFG)
+
+
+@query(f"{FTP} select packet_id, ts, src_ip, dst_ip, 'ftp' protocol, {REDACT.format('u')} || ':' || {REDACT.format('p')} credential from hit")
+def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.credentials(_ftp(spark, sf_dir))
+
+
+# --- detectors with state: recursive SQL steps through the n-th packet of every key
+
+STEPS = f"""with recursive {adapter.EVENTS}, p as (select *, row_number() over (partition by src order by packet_id) n from pkt where l4 <> 1 and dst_port <> 0),
+  w as (select src, n, packet_id, tsec, dst_port, tsec win from p where n = 1
+    union all select p.src, p.n, p.packet_id, p.tsec, p.dst_port, case when p.tsec >= w.win + {WEEK} then p.tsec else w.win end from w join p on p.src = w.src and p.n = w.n + 1),
+  m as (select *, ((xor(dst_port, dst_port >> 7))::bigint * 2654435761 & 4294967295)::bigint v from w), h as (select *, (xor(v, v >> 11) & 2047) hh from m),
+  f as (select *, (row_number() over (partition by src, win, hh order by packet_id) = 1)::int nw from h), g as (select *, sum(nw) over (partition by src, win order by packet_id) pop from f)"""
+
+
+@query(f"{STEPS}, hit as (select pkt.* from g join pkt using (packet_id) where pop = 8) {_alert('portscan', 'port_scan', '$$Approx distinct dst ports in window >= T$$', TCP_OR_UDP)}")
+def port_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.port_scan(adapter.events(spark, sf_dir), CFG)
+
+
+@query(f"{STEPS}, hit as (select pkt.* from g join pkt using (packet_id) where pop = 8 and nw = 1) {_alert('portscan', 'port_scan', '$$Approx distinct dst ports in window >= T$$', TCP_OR_UDP)}")
+def port_scan_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.port_scan(adapter.events(spark, sf_dir), ScanConfig.of(**{**CFG.__dict__, "portscan_once": True}))
+
+
+@query(f"{STEPS}, hit as (select pkt.* from g join pkt using (packet_id) where pop = 8) {_alert('portscan', 'port_scan_suspected', '$$Approx distinct dst ports in window >= T$$', PROTO)}")
+def port_scan_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.port_scan(adapter.events(spark, sf_dir), ScanConfig.of(**{**CFG.__dict__, "profile": "legacy"}))
+
+
+@query(f"{STEPS} select '10.0.' || ((src - 167772160) // 256) || '.' || ((src - 167772160) % 256) ip, max(pop)::bigint count from g where pop >= 8 group by src order by 2 desc, src limit 50")
+def port_scan_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.port_scan_suspects(adapter.events(spark, sf_dir), CFG)
+
+
+@query(f"""with recursive {adapter.EVENTS}, p as (select *, row_number() over (partition by src order by packet_id) n from pkt where l4 <> 1),
+  b as (select src, n, packet_id, [ts] q, 0 hit, null::double mean, null::double sd, 1 cnt from p where n = 1
+   union all select src, n, packet_id, case when hit = 1 then []::double[] else q end, hit, mean, sd, cnt from (
+    select *, case when len(q) >= 10 and mean > 1 and sd < mean * 0.8 then 1 else 0 end hit, len(q) cnt from (
+     select *, list_avg(iv) mean, sqrt(list_var_pop(iv)) sd from (
+      select *, list_transform(range(2, len(q) + 1), lambda i: q[i] - q[i - 1]) iv from (
+       select p.src, p.n, p.packet_id, (list_append(b.q, p.ts))[-100:] q from b join p on p.src = b.src and p.n = b.n + 1))))),
+  hit as (select pkt.* replace ('93.184.216.0' as dst_ip, 80 as dst_port), round(mean, 2) im, round(sd, 2) isd, b.cnt from b join pkt using (packet_id) where b.hit = 1)
+  {_alert('beaconing', 'beaconing', '$$Potential beaconing detected$$', TCP_OR_UDP, 'interval_mean=im;interval_stddev=isd;sample_count=cnt')}""")
+def beaconing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All packets of a user go to one port of one host."""
+    return detect.beaconing(adapter.events(spark, sf_dir, one_target=True), CFG)
+
+
+EXFIL = f"""{PKT}, run as (select *, sum(payload_len) over (partition by dst order by packet_id) cum from pkt),
+  hit as (select * from run where cum >= 1000000 qualify row_number() over (partition by dst order by packet_id) = 1)
+  {_alert('exfil', 'exfiltration', '$$Potential data exfiltration detected$$', TCP_OR_UDP, 'bytes_sent=cum')}"""
+
+
+@query(EXFIL)
+def exfiltration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.exfiltration(adapter.events(spark, sf_dir), CFG)
+
+
+@query(f"{PKT} select dst_ip, sum(payload_len)::bigint bytes from pkt group by dst_ip")
+def bytes_to_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapter.events(spark, sf_dir).where(c.outbound()).groupBy("dst_ip").agg(F.sum("payload_len").alias("bytes"))
+
+
+# --- all alerts together
+
+
+def _scan(spark: SparkSession, sf_dir: str, **settings: object) -> Scan:
+    return Scan(adapter.events(spark, sf_dir), match.of_lists(spark, IPS), ScanConfig.of(**{**CFG.__dict__, "beaconing_min_count": 100_000, **settings}))
+
+
+_KINDS = f"""{STEPS}, run as (select *, sum(payload_len) over (partition by dst order by packet_id) cum from pkt),
+  a as (select packet_id, 1 check_ord, 'blocklisted_ip' as type, src_ip from pkt where {IN_LIST.format('src')} or {IN_LIST.format('dst')}
+   union all select packet_id, 4, 'port_scan', src_ip from g join pkt using (packet_id) where pop = 8
+   union all (select packet_id, 7, 'exfiltration', src_ip from run where cum >= 1000000 qualify row_number() over (partition by dst order by packet_id) = 1))"""
+SEVERITY = "case when type in ('blocklisted_ip', 'blocklisted_domain', 'exfiltration') then 'critical' when type in ('port_scan', 'dns_tunnel', 'beaconing') then 'high' when type in ('keyword_match', 'sensitive_data') then 'medium' else 'low' end"
+
+
+@query(f"{_KINDS} select type, count(*)::bigint count, {SEVERITY} severity from a group by type")
+def alert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.alert_counts(_scan(spark, sf_dir).alerts)
+
+
+@query(f"""{_KINDS} select count(*)::bigint alerts_total, count(*) filter (where type = 'blocklisted_ip')::bigint alerts_blocklisted_ip, 0::bigint alerts_blocklisted_domain, 0::bigint alerts_keyword,
+  count(*) filter (where type = 'port_scan')::bigint alerts_portscan, 0::bigint alerts_dns_tunnel, 0::bigint alerts_beaconing, count(*) filter (where type = 'exfiltration')::bigint alerts_exfil, 0::bigint alerts_sensitive from a""")
+def alert_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.alert_counters(_scan(spark, sf_dir).alerts)
+
+
+@query(f"{_KINDS} select packet_id, check_ord, type from a order by packet_id, check_ord limit 25")
+def capped_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first alerts, as many as are to be written."""
+    return _scan(spark, sf_dir, max_alerts=25).written_alerts.select("packet_id", "check_ord", "type")
+
+
+@query(f"{_KINDS} select packet_id, type, src_ip, {SEVERITY} severity from a where {SEVERITY} = 'critical' and contains(src_ip, '10.0.0.7') order by packet_id, check_ord limit 2000")
+def alerts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _scan(spark, sf_dir).alerts.drop("detail")
+    return views.alerts(found, severity="critical", text='"src_ip":"10.0.0.7').select("packet_id", "type", "src_ip", "severity")
+
+
+@query(f"{_KINDS} select distinct src_ip from a")
+def alert_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.unique_sources(_scan(spark, sf_dir).alerts)
+
+
+@query(f"""{PKT} select 1::int world_size, count(*)::bigint packets, sum(raw_len)::bigint bytes,
+  (select string_agg(ip || '=' || n, ',' order by n desc, d) from (select dst_ip ip, dst d, sum(raw_len)::bigint n from pkt group by all)) top_dst from pkt""")
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = _scan(spark, sf_dir).summary
+    listed = F.array_join(F.transform("top_dst_bytes", lambda x: F.concat(x["ip"], F.lit("="), x["count"].cast("string"))), ",")
+    return row.select("world_size", "packets", "bytes", listed.alias("top_dst"))
+
+
+# --- views
+
+
+@query(f"""{PKT}, ends as (select src_ip ip, sum(raw_len)::bigint s, 0::bigint d from pkt group by src_ip union all select dst_ip, 0, sum(raw_len)::bigint from pkt group by dst_ip)
+  select ip, sum(s)::bigint src_bytes, sum(d)::bigint dst_bytes, sum(s + d)::bigint total_bytes, case when sum(s) > sum(d) then 'Client' else 'Server' end as role from ends group by ip""")
+def hosts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets = adapter.events(spark, sf_dir)
+    return views.hosts(aggregate.top_bytes(packets, "src", 1_000_000), aggregate.top_bytes(packets, "dst", 1_000_000))
+
+
+@query(f"{PKT}, {FLOW} select * from flow where proto = 'UDP' and contains(src_ip, '10.0.0.1') order by bytes desc, src_ip, dst_ip, src_port, dst_port, proto limit 500")
+def sessions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.sessions(aggregate.flows(adapter.events(spark, sf_dir)), "udp", '"src_ip":"10.0.0.1')
+
+
+@query(f"select {adapter.HOST} as key, count(*)::bigint count from pages where contains({adapter.HOST}, 'blog') group by 1")
+def names_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.names(aggregate.top_names(adapter.pages(spark, sf_dir), "http_host", 1_000_000), "BLOG")
+
+
+# --- scalar functions
+
+
+@query(f"{PKT}, v as (select packet_id, dst_port, ((xor(dst_port, dst_port >> 7))::bigint * 2654435761 & 4294967295)::bigint v from pkt) select packet_id, xor(v, v >> 11) hash, (xor(v, v >> 11) & 2047)::int bucket from v")
+def hash16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapter.events(spark, sf_dir).select("packet_id", c.hash16("dst_port").alias("hash"), c.bucket("dst_port").alias("bucket"))
+
+
+@query(f"select page_id, {REDACT.format('url')} redacted, {REDACT.format('substr(url, 1, (page_id % 8)::int)')} short from pages")
+def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = F.substring("url", F.lit(1), (F.col("page_id") % 8).cast("int"))
+    return adapter.table(spark, sf_dir, "pages").select("page_id", c.redact("url").alias("redacted"), c.redact(short).alias("short"))
+
+
+@query(f"""with {DOC} select packet_id, array_to_string(list_filter(list_transform(regexp_extract_all(substr(body, 1, 2048), '[\\x20-\\x7E\\t\\n\\r]{{4,}}'), lambda s: trim(s, E' \\t\\r\\n')), lambda s: length(s) >= 4), '|') strings from doc""")
+def extract_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapter.documents(spark, sf_dir).select("packet_id", F.array_join(c.extract_strings("payload"), "|").alias("strings"))
+
+
+@query(f"{PKT} select packet_id, src_ip, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%SZ') as time, ts, true private, false public, lower(substr(hex(encode(dst_ip)), 1, 16)) head from pkt")
+def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = adapter.events(spark, sf_dir)
+    return df.select(
+        "packet_id", c.ip4_text(c.parse_ip4("src_ip")).alias("src_ip"), c.iso8601("ts_us").alias("time"), c.epoch_double("ts_us").alias("ts"),
+        c.is_private("src_ip4").alias("private"), c.is_private("dst_ip4").alias("public"), c.hex_preview(F.col("dst_ip").cast("binary"), 8).alias("head"),
+    )
+
+
+# --- frames: built from the adapter, decoded again
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets = adapter.events(spark, sf_dir)
+    return adapter.framed(packets, F.concat(F.lit("event "), F.col("packet_id").cast("string")), F.col("packet_id") % 3 == 0)
+
+
+@query(f"""{PKT} select packet_id, src_ip, dst_ip, l4, case when l4 = 1 then 0 else src_port end::int src_port, case when l4 = 1 then 0 else dst_port end::int dst_port,
+  (length('event ' || packet_id) + case when l4 = 1 then 2 else 0 end)::int payload_len, l4 = 6 as ack, false as syn from pkt""")
+def roundtrip_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decode.decoded(_frames(spark, sf_dir))
+    return found.select("packet_id", "src_ip", "dst_ip", "l4", "src_port", "dst_port", "payload_len", F.col("tcp.ack").alias("ack"), F.col("tcp.syn").alias("syn"))
+
+
+@query(f"{PKT} select packet_id from pkt where packet_id % 3 <> 0 and ((l4 = 6 and dst_port between 1 and 200) or (l4 = 17 and src >> 4 = (10*16777216) >> 4) or (l4 = 1 and src <> 10*16777216+7))")
+def filtered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged frames are not looked into."""
+    text = "tcp and dst portrange 1-200 or (udp && src net 10.0.0.0/28) or icmp and not src host 10.0.0.7"
+    return where(_frames(spark, sf_dir), text).select("packet_id")
+
+
+@query(f"{PKT} select packet_id from pkt where packet_id % 3 = 0 and l4 = 6")
+def filtered_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return where(_frames(spark, sf_dir), "vlan 100 and tcp").select("packet_id")
+
+
+def _http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as an HTTP response."""
+    rows = adapter.table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("packet_id"), (F.col("page_id") * 1000000).alias("ts_us"), F.col("page_id").cast("double").alias("ts"),
+        (F.lit(adapter.SRC) + F.col("page_id") % 250).alias("dst_ip4"), (F.lit(adapter.DST) + F.col("page_id") % 7).alias("src_ip4"),
+        F.lit(c.TCP).alias("l4"), F.lit(80).alias("src_port"), F.lit(40000).alias("dst_port"), F.substring(adapter.ascii_text("html"), 1, 40000).alias("body"),
+    )
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nServer: x\r\nCONTENT-TYPE:  text/html \r\nHost: h"), F.col("packet_id").cast("string"), F.lit("\r\n\r\n"))
+    return decode.decoded(adapter.framed(rows, F.concat(head, "body")))
+
+
+HTML = "substr(regexp_replace(coalesce(html, ''), '[^\\x00-\\x7F]', chr(1), 'g'), 1, 40000)"
+
+
+@query(f"""select page_id packet_id, page_id::double ts, substr(sha256({HTML}), 1, 16) || '.html' filename, sha256({HTML}) sha256, 'text/html' content_type, length({HTML})::int size,
+  '93.184.216.' || (page_id % 7) src_ip, '10.0.0.' || (page_id % 250) dst_ip from pages where length({HTML}) >= 16""")
+def carved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.carved(_http(spark, sf_dir)).drop("body")
+
+
+@query("""select page_id packet_id, page_id::double ts, '93.184.216.' || (page_id % 7) || ':80' src, '10.0.0.' || (page_id % 250) || ':40000' dst, null::varchar as method, null::varchar uri,
+  'h' || page_id host, 200 status, 'text/html' content_type from pages""")
+def http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.http(_http(spark, sf_dir))
+
+
+@query(f"""{PKT} select packet_id, ts, src_ip || ':' || case when l4 = 1 then 0 else src_port end src, dst_ip || ':' || case when l4 = 1 then 0 else dst_port end dst, {PROTO} proto,
+  (length('event ' || packet_id) + case when l4 = 1 then 2 else 0 end)::int payload_len, case when l4 = 1 then 8 end::int icmp_type, case when l4 = 1 then 0 end::int icmp_code,
+  'event ' || packet_id strings, case when l4 = 1 then '0800' else '' end || lower(hex(encode('event ' || packet_id))) hex_preview from pkt
+  where l4 = 1 or (src_port not in (53, 67, 68) and dst_port not in (53, 67, 68, 80, 443)) or (l4 = 6 and dst_port in (67, 68)) or (l4 = 17 and dst_port in (80, 443))
+   or (l4 = 6 and (dst_port in (80, 443))) or dst_port in (53, 67, 68)""")
+def payload_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads too short for the protocols of their ports are logged like any other."""
+    return logs.payload(decode.decoded(_frames(spark, sf_dir))).withColumn("strings", F.array_join("strings", "|"))
+
+
+def _dns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DNS query for the host of every page."""
+    host = adapter.host(F.col("url"))
+    rows = adapter.table(spark, sf_dir, "pages").withColumn("host", F.upper(host)).select(
+        F.col("page_id").alias("packet_id"), (F.col("page_id") * 1000000).alias("ts_us"), F.col("page_id").cast("double").alias("ts"),
+        (F.lit(adapter.SRC) + F.col("page_id") % 250).alias("src_ip4"), F.lit(adapter.DST).cast("long").alias("dst_ip4"),
+        F.lit(c.UDP).alias("l4"), F.lit(40000).alias("src_port"), F.lit(53).alias("dst_port"), "host",
+    )
+    labels = F.array_join(F.transform(F.split("host", "\\."), lambda x: F.concat(F.lpad(F.hex(F.length(x)), 2, "0"), F.hex(x.cast("binary")))), "")
+    return decode.decoded(adapter.framed(rows, F.unhex(F.concat(F.lit("000101000001000000000000"), labels, F.lit("0000010001")))))
+
+
+@query(f"select page_id packet_id, page_id::double ts, '10.0.0.' || (page_id % 250) || ':40000' src, '93.184.216.0:53' dst, lower({adapter.HOST}) queries, '' answers from pages")
+def dns_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.dns(_dns(spark, sf_dir)).withColumns({x: F.array_join(x, "|") for x in ("queries", "answers")})
+
+
+@query(f"select lower({adapter.HOST}) as key, count(*)::bigint count from pages group by 1 order by 2 desc, 1 limit 50")
+def top_dns_qnames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.top_names(_dns(spark, sf_dir), "dns_qname_lower", 50)
