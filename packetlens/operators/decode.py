@@ -365,14 +365,14 @@ def _arrow(fn, schema: str):
     return of
 
 
-_dns = _arrow(dns_message, "struct<asked: int; answered: int; queries: array<string>; answers: array<string>>")
-_tls = _arrow(client_hello, "struct<version: int; sni: string; alpn: array<string>; ciphers: array<int>; ja3: string>")
-_dhcp = _arrow(dhcp_message, "struct<op: int; client: binary; your: binary; mac: binary; host: string>")
+DNS = "struct<asked: int; answered: int; queries: array<string>; answers: array<string>>"
+TLS = "struct<version: int; sni: string; alpn: array<string>; ciphers: array<int>; ja3: string>"
+DHCP = "struct<op: int; client: binary; your: binary; mac: binary; host: string>"
 
 
 def _dns_columns(df: DataFrame) -> DataFrame:
     message = F.when(F.col("tcp_ok"), c.bytes_at("payload", 2, F.col("payload_len") - 2)).otherwise(F.col("payload"))
-    df = df.withColumn("m", F.get(_dns(F.when(F.col("app") == "dns", message)), F.lit(0)))
+    df = df.withColumn("m", F.get(_arrow(dns_message, DNS)(F.when(F.col("app") == "dns", message)), F.lit(0)))
     none = F.array().cast("array<string>")
     return (
         df.withColumn("is_dns", F.col("m").isNotNull())
@@ -384,7 +384,7 @@ def _dns_columns(df: DataFrame) -> DataFrame:
 
 
 def _tls_columns(df: DataFrame) -> DataFrame:
-    df = df.withColumn("m", F.get(_tls(F.when(F.col("app") == "tls", F.col("payload"))), F.lit(0)))
+    df = df.withColumn("m", F.get(_arrow(client_hello, TLS)(F.when(F.col("app") == "tls", F.col("payload"))), F.lit(0)))
     return (
         df.withColumn("is_tls", F.col("m").isNotNull()).withColumn("tls_version", F.coalesce("m.version", F.lit(0)))
         .withColumn("tls_sni", F.coalesce("m.sni", F.lit(""))).withColumn("tls_alpn", F.coalesce("m.alpn", F.array().cast("array<string>")))
@@ -394,7 +394,7 @@ def _tls_columns(df: DataFrame) -> DataFrame:
 
 
 def _dhcp_columns(df: DataFrame) -> DataFrame:
-    df = df.withColumn("m", F.get(_dhcp(F.when(F.col("app") == "dhcp", F.col("payload"))), F.lit(0)))
+    df = df.withColumn("m", F.get(_arrow(dhcp_message, DHCP)(F.when(F.col("app") == "dhcp", F.col("payload"))), F.lit(0)))
     text = lambda x: F.when(F.col("m").isNotNull(), c.ip4_text(c.u32(x, 0))).otherwise("")
     return (
         df.withColumn("is_dhcp", F.col("m").isNotNull()).withColumn("dhcp_op", F.coalesce("m.op", F.lit(0)))
@@ -422,13 +422,13 @@ def headers(raw: DataFrame) -> DataFrame:
 
 def _addresses(df: DataFrame) -> DataFrame:
     """Text of IPv6 addresses, where there are any."""
-    text = lambda side: F.when(F.col("is_ipv6"), _ip6(f"{side}_ip6")).otherwise(F.col(f"{side}_ip"))
-    return df.withColumns({f"{side}_ip": text(side) for side in ("src", "dst")})
 
+    @F.pandas_udf("string")
+    def text6(addresses: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else socket.inet_ntop(socket.AF_INET6, bytes(a)) for a in addresses], dtype=object)
 
-@F.pandas_udf("string")
-def _ip6(addresses: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None else socket.inet_ntop(socket.AF_INET6, bytes(a)) for a in addresses], dtype=object)
+    text = lambda side: F.when(F.col("is_ipv6"), text6(f"{side}_ip6")).otherwise(F.col(f"{side}_ip"))
+    return df.withColumns({f"{side}_ip": text(side) for side in ("src", "dst")})
 
 
 def decoded(raw: DataFrame) -> DataFrame:
