@@ -167,6 +167,9 @@ def where(raw: DataFrame, expression: str) -> DataFrame:
     """Raw packets that the expression selects; only headers are decoded for it."""
     df = decode.headers(raw)
     fragment = F.col("is_ipv4") & (c.u16("data", F.col("off") + 6).bitwiseAND(F.lit(0x1FFF)) != 0)
-    df = df.withColumn("proto", F.when(F.col("is_ipv4"), c.u8("data", F.col("off") + 9)).when(F.col("is_ipv6"), F.col("ip6.nh")))
+    # a filter sees the IPv6 header's own next header, or the one a fragment header names
+    next6 = c.u8("data", F.col("off") + 6)
+    next6 = F.when(next6 == 44, c.u8("data", F.col("off") + 40)).otherwise(next6)
+    df = df.withColumn("proto", F.when(F.col("is_ipv4"), c.u8("data", F.col("off") + 9)).when(F.col("is_ipv6"), next6))
     df = df.withColumn("ports", F.col("l4").isin(c.TCP, c.UDP) & ~F.coalesce(fragment, F.lit(False)))
     return df.where(_Parser(expression).whole()).select(*raw.columns)
