@@ -279,13 +279,13 @@ def labelled_pages(count: int = 1200, seed: int = 5) -> list[str]:
 
     def block() -> str:
         x = rng.random()
-        if x < 0.7:
+        if x < 0.64:
             inner = prose(*rng.choice([(1, 4), (2, 12), (2, 90), (20, 90)]))
             return element("p", rng.choice([inner, f"<b>{inner}</b>", f"{inner} {link()} {prose(2, 20)}", f"{inner}<br>{prose(2, 9)}"]), 1)
-        if x < 0.8:
-            return element(rng.choice(["h2", "h3"]), prose(2, 9), 1)
+        if x < 0.72:
+            return element(rng.choice(["h2", "h3"]), prose(1, 9), 1)
         if x < 0.88:
-            return element("ul", "".join(element("li", prose(3, 20), 1) for _ in range(rng.randint(2, 5))), 1)
+            return element(rng.choice(["ul", "ol"]), "".join(element("li", prose(*rng.choice([(1, 3), (3, 20)])), 1) for _ in range(rng.randint(2, 8))), 1)
         if x < 0.94:
             return element("blockquote", element("p", prose(5, 40), 1), 1)
         return prose(4, 40) + rng.choice(["", " " + link() + " " + prose(1, 9)])
