@@ -7,6 +7,7 @@ for all packets that their port rules out. Missing values are '', 0 or false, no
 
 from __future__ import annotations
 
+import functools
 import socket
 import struct
 
@@ -192,7 +193,8 @@ def _http(df: DataFrame) -> DataFrame:
     return out.drop("h", "request", "response", "fields")
 
 
-def _credentials(df: DataFrame) -> DataFrame:
+def _credentials(df: DataFrame, auth_plain: bool = False) -> DataFrame:
+    """``auth_plain`` also takes the token that stands right behind AUTH PLAIN."""
     text = F.when(F.col("app").isin("smtp", "ftp") & (F.col("payload_len") >= 4), c.latin1(c.bytes_at("payload", 0, 512)))
 
     def step(acc: Column, line: Column) -> Column:
@@ -200,7 +202,7 @@ def _credentials(df: DataFrame) -> DataFrame:
         long = F.length(line) > 5
         user, secret = F.startswith(low, F.lit("user ")) & long, F.startswith(low, F.lit("pass ")) & long
         login = ~user & ~secret & low.contains("auth login")
-        space = F.call_function("locate", F.lit(" "), line, F.lit(12))
+        space = F.call_function("locate", F.lit(" "), line, F.instr(low, "auth plain") + 10 if auth_plain else F.lit(12))
         plain = ~user & ~secret & ~login & low.contains("auth plain") & (space > 0) & (space < F.length(line))
         value = c.trim_blank(F.substring(line, F.lit(6), F.length(line)))
         return F.struct(
@@ -243,8 +245,11 @@ def dns_name(m: bytes, at: int, depth: int = 0) -> tuple[str, int]:
 _FOLD = {ord(a): b for a, b in zip(c.UPPER, c.LOWER)}
 
 
-def dns_message(m: bytes) -> tuple[int, int, list[str], list[str]] | None:
-    """Question and answer counts, question names, and A and AAAA answers."""
+def dns_message(m: bytes, late: int = 0) -> tuple[int, int, list[str], list[str]] | None:
+    """Question and answer counts, question names, and A and AAAA answers.
+
+    ``late``: bytes by which every question is read too late, to compare with readers that do so.
+    """
     if len(m) < 12:
         return None
     asked, answered = struct.unpack(">HH", m[4:8])
@@ -252,7 +257,7 @@ def dns_message(m: bytes) -> tuple[int, int, list[str], list[str]] | None:
     for _ in range(asked):
         if at >= len(m):
             break
-        name, at = dns_name(m, at)
+        name, at = dns_name(m, at + late)
         if name:
             queries.append(name)
         at += 4
@@ -370,9 +375,13 @@ TLS = "struct<version: int; sni: string; alpn: array<string>; ciphers: array<int
 DHCP = "struct<op: int; client: binary; your: binary; mac: binary; host: string>"
 
 
-def _dns_columns(df: DataFrame) -> DataFrame:
-    message = F.when(F.col("tcp_ok"), c.bytes_at("payload", 2, F.col("payload_len") - 2)).otherwise(F.col("payload"))
-    df = df.withColumn("m", F.get(_arrow(dns_message, DNS)(F.when(F.col("app") == "dns", message)), F.lit(0)))
+def _dns_columns(df: DataFrame, late_tcp: bool = False) -> DataFrame:
+    over_tcp = F.col("tcp_ok")
+    message = F.when(over_tcp, c.bytes_at("payload", 2, F.col("payload_len") - 2)).otherwise(F.col("payload"))
+    found = _arrow(dns_message, DNS)(F.when((F.col("app") == "dns") & (~over_tcp if late_tcp else F.lit(True)), message))
+    if late_tcp:
+        found = F.coalesce(found, _arrow(functools.partial(dns_message, late=2), DNS)(F.when((F.col("app") == "dns") & over_tcp, message)))
+    df = df.withColumn("m", F.get(found, F.lit(0)))
     none = F.array().cast("array<string>")
     return (
         df.withColumn("is_dns", F.col("m").isNotNull())
@@ -431,9 +440,87 @@ def _addresses(df: DataFrame) -> DataFrame:
     return df.withColumns({f"{side}_ip": text(side) for side in ("src", "dst")})
 
 
-def decoded(raw: DataFrame) -> DataFrame:
-    """All packet columns. Every frame gives one row, however broken."""
-    df = settled(_credentials(_http(_application(headers(raw)))))
-    for part in (_addresses, _dns_columns, _tls_columns, _dhcp_columns):
-        df = part(df)
-    return df.select(*PACKETS)
+def decoded(raw: DataFrame, late_dns_tcp: bool = False, auth_plain: bool = False, keep_data: bool = False) -> DataFrame:
+    """All packet columns. Every frame gives one row, however broken.
+
+    ``late_dns_tcp`` reads questions over TCP two bytes late; ``keep_data`` keeps the frames in column data.
+    """
+    df = settled(_credentials(_http(_application(headers(raw))), auth_plain))
+    df = _dhcp_columns(_tls_columns(_dns_columns(_addresses(df), late_dns_tcp)))
+    return df.select(*PACKETS, *(["data"] if keep_data else []))
+
+
+#: Defaults of packet columns, as SQL; '' for those not named.
+DEFAULTS = {
+    "caplen": "raw_len", "wirelen": "raw_len", "is_ipv4": "true", "is_ipv6": "false", "is_arp": "false", "payload": "cast(null as binary)", "payload_off": "0",
+    "tcp": "named_struct('syn', false, 'ack', false, 'fin', false, 'rst', false, 'psh', false, 'seq', 0L, 'ack_num', 0L)", "icmp_type": "0", "icmp_code": "0",
+    "is_dns": "false", "dns_queries": "cast(array() as array<string>)", "dns_answers": "cast(array() as array<string>)", "dns_query_count": "0", "dns_answer_count": "0",
+    "is_http": "false", "http_status_code": "0", "http_body_offset": "0", "http_body_len": "0", "is_tls": "false", "tls_version": "0",
+    "tls_alpn": "cast(array() as array<string>)", "tls_cipher_suites": "cast(array() as array<int>)", "is_dhcp": "false", "dhcp_op": "0", "arp_op": "0",
+}
+
+
+def with_defaults(df: DataFrame) -> DataFrame:
+    """All packet columns: those of ``df``, and defaults for the rest."""
+    return df.select(*(F.col(k) if k in df.columns else F.expr(DEFAULTS.get(k, "''")).alias(k) for k in PACKETS))
+
+
+def question_name(m: bytes) -> str:
+    """Name of a message's first question in lower case, or '': uncompressed, whole, and of 253 characters at most."""
+    if len(m) < 12 or not _u16(m, 4):
+        return ""
+    at, labels, size = 12, [], 0
+    while at < len(m):
+        n = m[at]
+        if not n:
+            return ".".join(labels) if at + 5 <= len(m) else ""
+        if n & 0xC0 or at + 1 + n > len(m):
+            return ""
+        labels.append(m[at + 1 : at + 1 + n].decode("latin-1").translate(_FOLD))
+        size += n + 1
+        at += 1 + n
+        if size > 253:
+            return ""
+    return ""
+
+
+def legacy(raw: DataFrame) -> DataFrame:
+    """Packet columns of the legacy profile: IPv4 only, all bounded by the IP length, and the first DNS question.
+
+    A broken IPv4 header still counts as IPv4, from and to 0.0.0.0; a transport header that is cut counts as other.
+    """
+    df = settled(_links(raw))
+    off, n = F.col("off"), F.col("n")
+    head = c.u8("data", off)
+    hlen, total = head.bitwiseAND(F.lit(15)) * 4, c.u16("data", off + 2)
+    v4 = ~F.col("bad") & (F.col("et") == IP4) & (off + 20 <= n) & (F.shiftright(head, 4) == 4)
+    df = df.withColumn("is_ipv4", F.coalesce(v4, F.lit(False)))
+    df = df.withColumn("whole", F.coalesce(F.col("is_ipv4") & (hlen >= 20) & (off + hlen <= n) & (total >= hlen), F.lit(False)))
+    whole = F.col("whole")
+    df = df.withColumn("at", F.when(whole, off + hlen).otherwise(off)).withColumn("size", F.when(whole, F.least(total, n - off) - hlen).otherwise(n - off))
+    proto = F.when(whole, c.u8("data", off + 9)).otherwise(-1)
+    at, size = F.col("at"), F.col("size")
+    l4 = F.when((proto == c.TCP) & (size >= 20), c.TCP).when((proto == c.UDP) & (size >= 8), c.UDP).when(proto == c.ICMP, c.ICMP).otherwise(c.OTHER)
+    for side, k in (("src", 12), ("dst", 16)):
+        df = df.withColumn(f"{side}_ip4", F.when(whole, c.u32("data", off + k)).otherwise(F.lit(0).cast("long"))).withColumn(f"{side}_ip", c.ip4_text(f"{side}_ip4"))
+    df = settled(df.withColumn("l4", l4.cast("int")))
+    tcp, udp = F.col("l4") == c.TCP, F.col("l4") == c.UDP
+    thl, ulen = F.shiftright(c.u8("data", at + 12), 4) * 4, c.u16("data", at + 4)
+    tcp_ok, udp_ok = tcp & (thl >= 20) & (size >= thl), udp & (ulen >= 8)
+    skip = F.when(tcp_ok, thl).when(udp, 8).otherwise(0)
+    length = F.when(udp_ok, F.least(ulen, size) - 8).otherwise(size - skip)
+    df = (
+        df.withColumn("src_port", F.when(tcp | udp, c.u16("data", at)).otherwise(0)).withColumn("dst_port", F.when(tcp | udp, c.u16("data", at + 2)).otherwise(0))
+        .withColumn("payload_off", (at + skip).cast("int")).withColumn("payload_len", length.cast("int")).withColumn("named", tcp_ok | udp_ok)
+    )
+    df = settled(df.withColumn("payload", c.bytes_at("data", F.col("payload_off"), F.col("payload_len"))).withColumn("raw_len", F.col("caplen")))
+    over_tcp = F.col("l4") == c.TCP
+    inside = c.u16("payload", 0)
+    message = F.when(over_tcp, F.when(inside + 2 <= F.col("payload_len"), c.bytes_at("payload", 2, inside))).otherwise(F.col("payload"))
+
+    @F.pandas_udf("string")
+    def named(messages: pd.Series) -> pd.Series:
+        return pd.Series(["" if m is None else question_name(bytes(m)) for m in messages], dtype=object)
+
+    asked = F.col("named") & ((F.col("src_port") == 53) | (F.col("dst_port") == 53))
+    return with_defaults(df.withColumn("dns_qname_lower", named(F.when(asked, message))))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.functions import columns as c
-from packetlens.operators.decode import PACKETS
+from packetlens.operators.decode import with_defaults
 
 SRC, DST = 167772160, 1572395008
 
@@ -27,20 +27,10 @@ def micros(ts: Column, kind: str) -> Column:
     return F.unix_micros(ts)
 
 
-#: Defaults of packet columns, as SQL.
-_DEFAULT = {
-    "caplen": "raw_len", "wirelen": "raw_len", "is_ipv4": "true", "is_ipv6": "false", "is_arp": "false", "payload": "cast(null as binary)", "payload_off": "0",
-    "tcp": "named_struct('syn', false, 'ack', false, 'fin', false, 'rst', false, 'psh', false, 'seq', 0L, 'ack_num', 0L)", "icmp_type": "0", "icmp_code": "0",
-    "is_dns": "false", "dns_queries": "cast(array() as array<string>)", "dns_answers": "cast(array() as array<string>)", "dns_query_count": "0", "dns_answer_count": "0",
-    "is_http": "false", "http_status_code": "0", "http_body_offset": "0", "http_body_len": "0", "is_tls": "false", "tls_version": "0",
-    "tls_alpn": "cast(array() as array<string>)", "tls_cipher_suites": "cast(array() as array<int>)", "is_dhcp": "false", "dhcp_op": "0", "arp_op": "0",
-}
-
-
 def completed(df: DataFrame) -> DataFrame:
     """All packet columns: those given, and defaults for the rest."""
     df = df.withColumn("src_ip", c.ip4_text("src_ip4")).withColumn("dst_ip", c.ip4_text("dst_ip4")).withColumn("ts", c.epoch_double("ts_us"))
-    return df.select(*(F.col(k) if k in df.columns else F.expr(_DEFAULT.get(k, "''")).alias(k) for k in PACKETS))
+    return with_defaults(df)
 
 
 def events(spark: SparkSession, sf_dir: str, one_target: bool = False) -> DataFrame:

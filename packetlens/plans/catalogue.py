@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.config import ScanConfig
@@ -465,3 +465,82 @@ def dns_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select lower({adapter.HOST}) as key, count(*)::bigint count from pages group by 1 order by 2 desc, 1 limit 50")
 def top_dns_qnames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.top_names(_dns(spark, sf_dir), "dns_qname_lower", 50)
+
+
+@query(f"""{PKT} select packet_id, src_ip, dst_ip, l4, case when l4 = 1 then 0 else src_port end::int src_port, case when l4 = 1 then 0 else dst_port end::int dst_port,
+  (length('event ' || packet_id) + case when l4 = 1 then 2 else 0 end)::int payload_len from pkt""")
+def legacy_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.legacy(_frames(spark, sf_dir)).select("packet_id", "src_ip", "dst_ip", "l4", "src_port", "dst_port", "payload_len")
+
+
+def _plain_frames(rows: DataFrame, kind: str, body: Column) -> DataFrame:
+    """Raw frames of an ethertype and a body in hex."""
+    data = F.unhex(F.concat(F.lit("00" * 12 + kind), body))
+    return rows.select("packet_id", "ts_us", "ts", F.octet_length(data).alias("caplen"), F.octet_length(data).alias("wirelen"), F.lit(1).alias("linktype"), data.alias("data"))
+
+
+@query(f"""{PKT} select packet_id, case when src = {adapter.SRC} then '2001:db8::' else '2001:db8::' || lower(to_hex(src - {adapter.SRC})) end src_ip,
+  'fe80::' || lower(to_hex(packet_id % 7 + 1)) || ':0:0:1' dst_ip, 17 l4, src_port, dst_port, case when packet_id % 2 = 0 then 2 else 4 end::int payload_len from pkt""")
+def roundtrip_ip6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDP over IPv6, with a hop-by-hop header on every second packet."""
+    rows = adapter.events(spark, sf_dir)
+    h = adapter._hex
+    even = F.col("packet_id") % 2 == 0
+    src = F.concat(F.lit("20010DB8" + "0" * 20), h(F.col("src_ip4") - adapter.SRC, 4))
+    dst = F.concat(F.lit("FE80" + "0" * 12), h(F.col("packet_id") % 7 + 1, 4), F.lit("000000000001"))
+    payload = F.when(even, "6869").otherwise("68696869")
+    udp = F.concat(h(F.col("src_port"), 4), h(F.col("dst_port"), 4), h(8 + F.length(payload) / 2, 4), F.lit("0000"), payload)
+    body = F.concat(F.lit("600000000000"), F.when(even, "00").otherwise("11"), F.lit("40"), src, dst, F.when(even, "1100" + "0" * 12).otherwise(""), udp)
+    found = decode.decoded(_plain_frames(rows, "86DD", body))
+    return found.select("packet_id", "src_ip", "dst_ip", "l4", "src_port", "dst_port", "payload_len")
+
+
+@query(f"""{PKT} select packet_id, true is_arp, (1 + packet_id % 2)::int arp_op, src_ip arp_sender_ip, dst_ip arp_target_ip, 'aa:bb:cc:00:00:' || lpad(lower(to_hex(packet_id % 256)), 2, '0') arp_sender_mac, 0 l4 from pkt""")
+def roundtrip_arp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = adapter._hex
+    mac = F.concat(F.lit("AABBCC0000"), h(F.col("packet_id") % 256, 2))
+    body = F.concat(F.lit("000108000604000"), (1 + F.col("packet_id") % 2).cast("string"), mac, h(F.col("src_ip4"), 8), F.lit("0" * 12), h(F.col("dst_ip4"), 8))
+    found = decode.decoded(_plain_frames(adapter.events(spark, sf_dir), "0806", body))
+    return found.select("packet_id", "is_arp", "arp_op", "arp_sender_ip", "arp_target_ip", "arp_sender_mac", "l4")
+
+
+def _tls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client's first message to the host of every page."""
+    h = adapter._hex
+    rows = adapter.table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("packet_id"), (F.col("page_id") * 1000000).alias("ts_us"), F.col("page_id").cast("double").alias("ts"),
+        (F.lit(adapter.SRC) + F.col("page_id") % 250).alias("src_ip4"), F.lit(adapter.DST).cast("long").alias("dst_ip4"),
+        F.lit(c.TCP).alias("l4"), F.lit(40000).alias("src_port"), F.lit(443).alias("dst_port"), adapter.host(F.col("url")).alias("host"),
+    )
+    n = F.length("host")
+    name = F.concat(F.lit("0000"), h(n + 5, 4), h(n + 3, 4), F.lit("00"), h(n, 4), F.hex(F.col("host").cast("binary")))
+    # a reserved extension, the name, two curves and a reserved one, one point format, and one protocol
+    rest = F.concat(F.lit("1A1A0000"), name, F.lit("000A00080006001D4A4A0017"), F.lit("000B00020100"), F.lit("0010000500030268" + "32"))
+    hello = F.concat(F.lit("0303" + "72" * 32 + "00" + "0006" + "13010A0AC02F" + "0100"), h(F.length(rest) / 2, 4), rest)
+    shake = F.concat(F.lit("01"), h(F.length(hello) / 2, 6), hello)
+    return decode.decoded(adapter.framed(rows, F.unhex(F.concat(F.lit("160301"), h(F.length(shake) / 2, 4), shake))))
+
+
+@query(f"""select page_id packet_id, page_id::double ts, '10.0.0.' || (page_id % 250) || ':40000' src, '93.184.216.0:443' dst, 771 as version, {adapter.HOST} sni,
+  md5('771,4865-49199,0-10-11-16,29-23,0') ja3, 'h2' alpn from pages""")
+def tls_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.tls(_tls(spark, sf_dir)).withColumn("alpn", F.array_join("alpn", "|"))
+
+
+@query(f"select {adapter.HOST} as key, count(*)::bigint count from pages group by 1 order by 2 desc, 1 limit 50")
+def top_tls_sni(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.top_names(_tls(spark, sf_dir), "tls_sni", 50)
+
+
+@query(f"""{PKT}, hit as (select *, {IN_LIST.format('src')} or {IN_LIST.format('dst')} b from pkt)
+  select packet_id, 'blocklisted_ip' as type, src_ip, dst_ip, {PROTO} proto, 'Matched IP blocklist (src or dst)' detail from hit where b""")
+def blocklisted_ip_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = ScanConfig.of(profile="legacy", portscan_threshold=2048)
+    found = detect.alerts(adapter.events(spark, sf_dir), match.of_lists(spark, IPS), cfg)
+    return found.select("packet_id", "type", "src_ip", "dst_ip", "proto", "detail")
+
+
+@query(f"""{PKT}, log as (select packet_id, 'event ' || packet_id s, {PROTO} proto from pkt where contains('event ' || packet_id, 'event 77')) select packet_id, proto, s strings from log where proto = 'UDP' order by packet_id limit 500""")
+def payload_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = logs.payload(decode.decoded(_frames(spark, sf_dir)))
+    return views.payloads(log, "UDP", "EVENT 77").select("packet_id", "proto", F.array_join("strings", "|").alias("strings"))

@@ -86,10 +86,8 @@ class Scan:
 def scan_raw(raw: DataFrame, ioc: match.Indicators, cfg: ScanConfig | None = None, bpf: str = "", land: str | None = None) -> Scan:
     """Scan of raw packets. ``bpf`` filters frames before anything counts; ``land`` keeps the packets as Parquet."""
     cfg = cfg or ScanConfig()
-    packets = decode.decoded(where(raw, bpf) if bpf else raw)
-    if cfg.profile == "legacy":
-        packets = packets.where(F.lit(True)).withColumns({x: F.when(F.col("is_ipv6"), F.lit("")).otherwise(F.col(x)) for x in ("src_ip", "dst_ip")})
-        packets = packets.withColumn("is_ipv6", F.lit(False))
+    chosen = where(raw, bpf) if bpf else raw
+    packets = decode.legacy(chosen) if cfg.profile == "legacy" else decode.decoded(chosen)
     if land:
         packets.write.mode("overwrite").parquet(land)
         packets = raw.sparkSession.read.parquet(land)

@@ -163,3 +163,26 @@ def test_filters(spark):
     for bad in ("port", "tcp port 99999", "host nowhere", "(tcp", "tcp tcp", "frob 3", "tcp[13] & 2"):
         with pytest.raises(FilterError):
             where(raw, bad)
+
+
+def test_switches(spark):
+    plain = fr.eth(fr.ip4(fr.tcp(b"AUTH PLAIN AGJvYg==\r\n", 40000, 587)))
+    over_tcp = fr.eth(fr.ip4(fr.tcp(b"\0\x20" + fr.dns("t.example"), 40000, 53)))
+    raw = spark.createDataFrame([(k, 0, 0.0, len(f), len(f), 1, bytearray(f)) for k, f in enumerate((plain, over_tcp))], decode_schema())
+    rows = decode.decoded(raw, late_dns_tcp=True, auth_plain=True, keep_data=True).orderBy("packet_id").collect()
+    assert pick(rows[0], "cred_password", "cred_protocol") == ("AGJvYg==", "smtp_auth_plain") and bytes(rows[0].data) == plain
+    assert rows[1].is_dns and rows[1].dns_queries != ["t.example"]
+
+
+def test_legacy_profile(spark):
+    rows = [(k, 0, 0.0, len(f), len(f), 1, bytearray(f)) for k, f in enumerate(CASES.values())]
+    found = dict(zip(CASES, decode.legacy(spark.createDataFrame(rows, decode_schema())).orderBy("packet_id").collect()))
+    assert all(len(CASES[n]) >= r.payload_off + r.payload_len for n, r in found.items())
+    assert pick(found["padded"], "payload_len", "l4") == (0, 6)  # the IP length bounds it
+    assert pick(found["small total"], "is_ipv4", "src_ip", "l4", "payload_len") == (True, "0.0.0.0", 0, len(CASES["small total"]) - 14)
+    assert pick(found["bad version"], "is_ipv4", "l4") == (False, 0)
+    assert pick(found["tagged"], "l4", "payload_len") == (0, 11)
+    assert pick(found["bad offset"], "src_port", "payload_len") == (11, 24) and pick(found["bad udp"], "payload_len", "l4") == (4, 17)
+    assert pick(found["v6"], "is_ipv4", "l4", "payload_len") == (False, 0, len(CASES["v6"]) - 14)
+    assert found["dns"].dns_qname_lower == "www.example.com" and found["dns tcp"].dns_qname_lower == "" and found["dns loop"].dns_qname_lower == ""
+    assert pick(found["short icmp"], "l4", "payload_len") == (1, 1) and found["arp"].payload_len == 28
