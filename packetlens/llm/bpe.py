@@ -20,8 +20,11 @@ import pandas as pd
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CHUNK, OVERLAP = 1 << 16, 256
+#: Code points beyond which a text's chunks are dealt to several tasks, and how many each gets.
+LONG, PART = 1 << 21, 1 << 18
 #: Pieces whose ids a worker keeps; beyond it the table starts anew.
 CACHE = 400_000
 SCHEMA = "n_tokens long, n_bytes long, ids binary, ids_sha256 string, decoded_sha256 string"
@@ -105,35 +108,92 @@ def located(vocabulary: str | None, pattern: str | None) -> tuple[str, str]:
     return (name if "/" in name else public_tokenizers.path(name)), pattern or public_tokenizers.PATTERN
 
 
-def encoded(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, keep_ids: bool = True) -> DataFrame:
+def measured(c: Codec, ids: bytes, keep_ids: bool) -> tuple:
+    """The columns of SCHEMA for a text's ids."""
+    back = c.decode(ids)
+    return len(ids) // 4, len(back), ids if keep_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+
+
+NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+
+
+def _long(docs: DataFrame, key: list[str], chunk: int, overlap: int, vocabulary: str | None, pattern: str | None, keep_ids: bool) -> DataFrame:
+    """``key`` and SCHEMA of texts by chunks that are pre-tokenised in as many tasks, then stitched and encoded by text."""
+    at, n = F.col("at"), F.length("text")
+    low = F.greatest(at - overlap, F.lit(0))
+    chunks = (
+        docs.dropDuplicates(key).withColumn("at", F.explode(F.sequence(F.lit(0), n - 1, F.lit(chunk))))
+        .select(*key, low.alias("low"), n.alias("n"), F.substring("text", low + 1, at - low + chunk + overlap).alias("slice"))
+        .repartition(*key, "low")
+    )
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = codec(*located(vocabulary, pattern))
+        for b in batches:
+            yield b.assign(bounds=[np.array(boundaries(c.pattern, x, 0, len(x)), dtype="<i4").tobytes() for x in b["slice"]])
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = codec(*located(vocabulary, pattern))
+        now, ids, text, start, ours = None, [], "", 0, []  # ours: boundaries from a true one on, in text, which begins at start
+
+        def take(to: int | None) -> None:
+            places = ours[: bisect_left(ours, to) + 1] if to is not None else ours
+            ids.append(b"".join([c[text[a - start : b - start]] for a, b in zip(places, places[1:])]))
+
+        def ended() -> pd.DataFrame:
+            take(None)
+            return pd.DataFrame([(*now, *measured(c, b"".join(ids), keep_ids))], columns=[*key, *NAMES])
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                own, theirs = tuple(getattr(r, k) for k in key), (np.frombuffer(r.bounds, dtype="<i4") + r.low).tolist()
+                if own != now:
+                    if now is not None:
+                        yield ended()
+                    now, ids, text, start, ours = own, [], r.slice, r.low, theirs
+                    continue
+                # what a slice ends with is not final: the pattern looks ahead
+                if meet := min(set(ours[:-2]) & set(theirs[:-2] if r.low + len(r.slice) < r.n else theirs), default=None):
+                    take(meet)
+                    text, start, ours = r.slice, r.low, theirs[bisect_left(theirs, meet) :]
+                else:
+                    text, start = text[ours[0] - start :] + r.slice[start + len(text) - r.low :], ours[0]
+                    ours = [x + start for x in boundaries(c.pattern, text, 0, len(text))]
+        if now is not None:
+            yield ended()
+
+    kinds = ", ".join(f"{k} long" for k in key)
+    cuts = chunks.mapInPandas(cut, f"{kinds}, low int, n int, slice string, bounds binary")
+    return cuts.repartition(*key).sortWithinPartitions(*key, "low").mapInPandas(join, f"{kinds}, {SCHEMA}")
+
+
+def encoded(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, keep_ids: bool = True, long: int = LONG, chunk: int = PART, overlap: int = OVERLAP) -> DataFrame:
     """``docs`` with n_tokens, n_bytes, ids (binary, little-endian u32; null without ``keep_ids``) and digests.
 
-    Null and empty texts have no tokens and the digest of no bytes. The decoded digest is of the bytes that the ids
-    give back. Rows are independent: nothing is shuffled, repeated rows repeat, a lost task is simply run again.
-    Columns of ``docs`` that share a name with a new one are replaced.
+    Texts of up to ``long`` code points are encoded where they are, without a shuffle. Longer ones are dealt out by
+    chunks, so that one does not hold up a task; they are told apart by hashes of all columns. Null and empty texts
+    have no tokens and the digest of no bytes. The decoded digest is of the bytes that the ids give back. Repeated
+    rows repeat. Columns of ``docs`` that share a name with a new one are replaced.
     """
-    from pyspark.sql import functions as F
-
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     @F.pandas_udf(SCHEMA)
     def run(texts: pd.Series) -> pd.DataFrame:
         c = codec(*located(vocabulary, pattern))
-        rows = []
-        for text in texts:
-            ids = c.encode(text) if text else b""
-            back = c.decode(ids)
-            rows.append((len(ids) // 4, len(back), ids if keep_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
-        return pd.DataFrame(rows, columns=names)
+        return pd.DataFrame([measured(c, c.encode(t) if t else b"", keep_ids) for t in texts], columns=NAMES)
 
-    kept = [c for c in docs.columns if c not in names]
-    return docs.select(*kept, run(F.col("text")).alias("encoded ids")).select(*kept, "`encoded ids`.*")
+    kept = [c for c in docs.columns if c not in NAMES]
+    large = F.coalesce(F.length("text") > long, F.lit(False))
+    near = docs.where(~large).select(*kept, run(F.col("text")).alias("encoded ids")).select(*kept, "`encoded ids`.*")
+    hashes = [F.xxhash64(*kept, F.lit(k)).alias(f"row hash {k}") for k in (1, 2)]
+    apart = docs.where(large).select(*kept, *hashes)
+    key = ["h1", "h2"]
+    parts = _long(apart.select("text", *(F.col(f"row hash {k}").alias(f"h{k}") for k in (1, 2))), key, chunk, overlap, vocabulary, pattern, keep_ids)
+    far = apart.join(parts, (F.col("row hash 1") == F.col("h1")) & (F.col("row hash 2") == F.col("h2"))).select(*kept, *NAMES)
+    return near.unionByName(far)
 
 
 def decoded(ids: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """``ids`` (with a binary column ids) with the column bytes: the raw bytes of the tokens, joined. Null: null."""
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("binary")
     def back(col: pd.Series) -> pd.Series:
         c = codec(*located(vocabulary, pattern))

@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixture": mixture.oracle()}
+    return {"op1_mixture": mixture.oracle(), "op5_warc": warc.oracle()}

@@ -221,3 +221,14 @@ def archived(pages: DataFrame, folder: str | None = None, revisit_bytes: int = 0
     """Writes ``pages`` to bundles in ``folder`` (default: a new one in the shared folder) and reads them back."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     return read_back(written(pages, folder, revisit_bytes), folder)
+
+
+def oracle() -> str:
+    """DuckDB SQL for what reading back ``archived`` pages must give: base32 from the hex digest, five bits a letter."""
+    letter = " + ".join(f"{16 >> k} * bits[5 * i + {k + 1}]::int" for k in range(5))
+    return f"""
+with p as (select page_id, coalesce(html, '') html from pages),
+b as (select *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', sha1(html)[i]) - 1), 4, '0')), '') bits from p),
+d as (select *, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + {letter}]), '') digest, min(page_id) over (partition by html) f from b)
+select page_id, octet_length(encode(html))::bigint payload_bytes, digest payload_digest, case when page_id = f then 'response' else 'revisit' end record_type,
+  case when page_id <> f then f end refers_to from d"""

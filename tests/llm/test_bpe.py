@@ -54,3 +54,11 @@ def test_odd_rows(odd_docs, no_docs, library):
     assert bpe.encoded(no_docs).count() == 0
     back = bpe.decoded(bpe.encoded(odd_docs)).collect()
     assert all(bytes(r.bytes) == (r.text or "").encode() for r in back)
+
+
+def test_long_texts_by_chunks(spark, odd_docs, library):
+    rows = [(k, t * 3, "s") for k, t in enumerate(texts(40))] + [(1, texts(2)[1] * 3, "s"), (1, texts(2)[1] * 3, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for frame in (df, odd_docs):
+        whole = sorted(map(str, bpe.encoded(frame).collect()))
+        assert sorted(map(str, bpe.encoded(frame, long=20, chunk=37, overlap=6).collect())) == whole
