@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from packetlens.functions import columns as c
 from packetlens.operators.decode import with_defaults
+from packetlens.session import importable
 
 SRC, DST = 167772160, 1572395008
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def micros(ts: Column, kind: str) -> Column:

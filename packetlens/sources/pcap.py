@@ -4,9 +4,13 @@ Reads classic captures (either byte order, micro- or nanoseconds) and pcapng (se
 packet blocks). Options: path (a file, a glob, or several by commas), mode (FAILFAST: a broken tail is an error;
 PERMISSIVE: reading stops there), splitBytes (default 64 MiB).
 
-Records carry no sync marks, so the planner hops over the record headers of a file larger than splitBytes, sixteen
-bytes each, and cuts it where a record begins; tasks then read disjoint byte ranges. Smaller files are one task each
-and are not walked. packet_id is the record's place in its file, plus 2^40 for each file before it in name order.
+Records carry no sync marks, so by default the planner hops over the record headers of a file larger than splitBytes,
+sixteen bytes each, and cuts it where a record begins; tasks then read disjoint byte ranges. Smaller files are one task
+each and are not walked. packet_id is the record's place in its file, plus 2^40 for each file before it in name order.
+
+ids=offset is for very large files: nothing is walked on the driver. Classic captures are cut at any byte, each task
+finds the first record by a chain of plausible headers, and packet_id is the record's byte offset instead of its
+number: it orders packets just the same. pcapng files then are one task each.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from packetlens.schema import RAW
+from packetlens.session import importable
 
 ETHERNET = 1
 #: packet_id: bits for the place within a file.
@@ -140,6 +145,42 @@ def _interface(order: str, body: bytes) -> tuple[int, int, int, int]:
     return link, ticks, shift, snap
 
 
+#: Headers in a row that must be plausible where a reader joins a file in its middle, and how far it looks.
+CHAIN, WINDOW = 12, 1 << 20
+
+
+def joined(f, state: State, at: int, size: int, first_second: int) -> int:
+    """Offset of the first record at or after ``at``: where a chain of plausible headers begins that, unless the file
+    ends in it, is CHAIN long. Plausible: lengths within limits, fractions below a second, times within ten years."""
+    limit = 1_000_000 * state.divisor
+
+    def header(data: bytes, k: int) -> int:
+        """Length of the record at ``k``; 0 if it is none."""
+        sec, frac, caplen, wirelen = struct.unpack_from(state.order + "IIII", data, k)
+        good = 0 < caplen <= 262_144 and caplen <= wirelen <= 1 << 24 and frac < limit and abs(sec - first_second) < 315_360_000
+        return 16 + caplen if good else 0
+
+    def chained(place: int) -> bool:
+        for _ in range(CHAIN):
+            if place == size:
+                return True
+            f.seek(place)
+            head = f.read(16)
+            if len(head) < 16 or not (step := header(head, 0)):
+                return False
+            place += step
+        return True
+
+    while at < size:
+        f.seek(at)
+        data = f.read(WINDOW + 16)
+        for k in range(min(WINDOW, len(data) - 15)):
+            if header(data, k) and chained(at + k):
+                return at + k
+        at += WINDOW
+    return size
+
+
 def opened(path: str):
     """A file to read, local or in a store that Arrow reaches by URI."""
     if "://" in path and not path.startswith("file://"):
@@ -174,6 +215,20 @@ class Range(InputPartition):
     start: int | None = None
     end: int | None = None
     state: State | None = None
+    #: packet_id is the offset; ``start`` may lie within a record.
+    loose: bool = False
+
+
+def loosely_planned(path: str, first_id: int, split: int) -> list[Range]:
+    """Ranges of a file by size alone."""
+    with opened(path) as f:
+        state = begin(f)
+        f.seek(0, 2)
+        size = f.tell()
+    if state.kind != "pcap" or size <= split:
+        return [Range(path, first_id, loose=state.kind == "pcap")]
+    cuts = list(range(0, size, split))
+    return [Range(path, first_id, a or None, b, loose=True) for a, b in zip(cuts, [*cuts[1:], None])]
 
 
 def planned(path: str, first_id: int, split: int, strict: bool) -> list[Range]:
@@ -206,8 +261,11 @@ class PcapReader(DataSourceReader):
         self.path = options.get("path", "")
         self.strict = options.get("mode", "FAILFAST").upper() != "PERMISSIVE"
         self.split = int(options.get("splitbytes", options.get("splitBytes", 64 << 20)))
+        self.loose = options.get("ids", "order").lower() == "offset"
 
     def partitions(self) -> list[Range]:
+        if self.loose:
+            return [r for k, p in enumerate(located(self.path)) for r in loosely_planned(p, k << FILE_BITS, self.split)]
         return [r for k, p in enumerate(located(self.path)) for r in planned(p, k << FILE_BITS, self.split, self.strict)]
 
     def read(self, part: Range) -> Iterator:
@@ -222,13 +280,18 @@ class PcapReader(DataSourceReader):
 
         with opened(part.path) as f:
             state = begin(f)
-            if part.start is not None:
+            if part.start is not None and part.loose:
+                (first_second,) = struct.unpack(state.order + "I", f.read(4))
+                f.seek(0, 2)
+                size = f.tell()
+                f.seek(joined(f, state, part.start, size, first_second))
+            elif part.start is not None:
                 f.seek(part.start)
                 state = part.state
             n = part.first_id
             try:
-                for _, _, (us, caplen, wirelen, link, body) in records(f, state, part.end):
-                    rows.append((n, us, us // 1_000_000 + us % 1_000_000 / 1e6, caplen, wirelen & 0x7FFFFFFF, link, body))
+                for at, _, (us, caplen, wirelen, link, body) in records(f, state, part.end):
+                    rows.append((part.first_id + at if part.loose else n, us, us // 1_000_000 + us % 1_000_000 / 1e6, caplen, wirelen & 0x7FFFFFFF, link, body))
                     n, held = n + 1, held + caplen
                     if len(rows) >= 8192 or held > 16 << 20:
                         yield batch()
@@ -256,7 +319,7 @@ class PcapSource(DataSource):
 
 def register(spark: SparkSession) -> SparkSession:
     """Makes the format known to the session."""
-    spark.dataSource.register(PcapSource)
+    importable(spark).dataSource.register(PcapSource)
     return spark
 
 

@@ -1,3 +1,5 @@
+import random
+
 import frames as fr
 import pytest
 
@@ -61,3 +63,18 @@ def test_other_links_warn(tmp_path):
     p.write_bytes(fr.pcap(FRAMES[:1], linktype=101))
     with pytest.warns(UserWarning, match="link type 101"):
         pcap.planned(str(p), 0, 1 << 20, True)
+
+
+@pytest.mark.parametrize("order, nanos", [("<", False), (">", True)])
+def test_loose_splits_lose_nothing(spark, tmp_path, order, nanos):
+    rng = random.Random(order)
+    frames, t = [], 1_700_000_000_000_000
+    for _ in range(1500):
+        t += rng.randint(0, 2_000_000)
+        frames.append((t, fr.eth(fr.ip4(fr.tcp(rng.choice([b"\0" * 300, bytes(rng.choices(range(256), k=rng.randint(1, 1400)))]))))))
+    p = tmp_path / "big.pcap"
+    p.write_bytes(fr.pcap(frames, order, nanos))
+    size, rows = p.stat().st_size, read(spark, p, ids="offset", splitBytes="50000")
+    assert [(r.ts_us, r.data) for r in rows] == frames and rows[0].packet_id == 24 and len({r.packet_id for r in rows}) == 1500
+    assert len(pcap.loosely_planned(str(p), 0, 50000)) == -(-size // 50000) > 10
+    assert [(r.ts_us, r.data) for r in read(spark, p, ids="offset")] == frames
