@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetlens.session import importable
+
 #: ASCII white space as the contracts count it: space and \t to \r. bytes.split() cuts at exactly these.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -21,8 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with batches to Python of bounded size, so that long texts do not fill a worker's memory."""
-    # workers started from here on find this package as the driver did; a cluster ships it with --py-files
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
