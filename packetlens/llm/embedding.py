@@ -110,3 +110,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, tables: int = TABL
         F.when(whole["h"].isNotNull(), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``near_duplicates`` of sound vectors, by all pairs of a label: for small tables."""
+    return """
+with recursive v as (select vec_id, embedding::double[] e, label from embeddings),
+links as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+c as (select v.vec_id, least(v.vec_id, coalesce(min(r.b), v.vec_id)) component_id from v left join reach r on r.a = v.vec_id group by v.vec_id)
+select vec_id, (select count(*) from links where a = vec_id)::bigint n_links, component_id, vec_id = component_id kept from c"""

@@ -343,3 +343,14 @@ def extracted(pages: DataFrame) -> DataFrame:
         return pd.Series(["\n\n".join(main_blocks(x, trained)) for x in pages], dtype=object)
 
     return pages.select("page_id", "url", text("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``extracted`` on pages like the driver's: one article of h1 and p blocks, three references."""
+    tags, blanks = "'<[^>]*>'", "'[\\s\\x{00A0}]+'"
+    clean = f"trim(regexp_replace(replace(replace(replace(regexp_replace(x, {tags}, ' ', 'g'), '&quot;', '\"'), '&lt;', '<'), '&amp;', '&'), {blanks}, ' ', 'g'))"
+    blocks = f"list_filter(list_transform(string_split_regex(replace(replace(body, '<b>', ''), '</b>', ''), '</?(p|h1)>'), lambda x: {clean}), lambda x: x <> '')"
+    return f"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) body from pages),
+b as (select page_id, url, array_to_string({blocks}, chr(10) || chr(10)) as text from a)
+select page_id, url, text, length(text)::bigint n_chars from b"""

@@ -62,4 +62,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixture": mixture.oracle(), "op5_warc": warc.oracle()}
+    return {
+        "op1_mixture": mixture.oracle(), "op5_warc": warc.oracle(), "op6_secrets": secrets.oracle(), "op8_html": html.oracle(), "op9_embeddings": embedding.oracle(),
+    }

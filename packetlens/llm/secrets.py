@@ -93,7 +93,7 @@ def _entropy_hits(text: Column) -> Column:
         for _, whole, letters, bits in reversed(CLASSES[:-1]):
             alphabet = F.when(w["word"].rlike(whole), F.lit(letters)).otherwise(alphabet)
             least = F.when(w["word"].rlike(whole), F.lit(bits)).otherwise(least)
-        return window_entropy(w["word"], alphabet) >= least
+        return F.round(window_entropy(w["word"], alphabet), 9) >= least
 
     allowed = lambda w: F.greatest(*[w["word"].rlike(p).cast("int") for p in ALLOW]) == 1
     plausible = F.filter(_located(text, CANDIDATE, "entropy"), lambda w: w["word"].rlike("[0-9]") & w["word"].rlike("[A-Za-z]"))
@@ -163,3 +163,35 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
     return found.withColumn("text", F.when(F.size("secret_spans") > 0, whole).otherwise(text)).select(*docs.columns)
+
+
+def oracle() -> str:
+    """DuckDB SQL for the counts and spans of ``scanned``: every window is counted by itself."""
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    found = " union all ".join(
+        f"select doc_id, '{k}' kind, {r} ord, regexp_extract_all(t, {quoted(p)}) w, string_split_regex(t, {quoted(p)}) g from t where regexp_matches(t, {quoted(p)})"
+        for r, (k, p) in enumerate((("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("entropy", CANDIDATE)))
+    )
+    least = "case " + " ".join(f"when regexp_matches(word, {quoted(p)}) then {bits}" for _, p, _, bits in CLASSES[:-1]) + f" else {CLASSES[-1][3]} end"
+    allowed = " or ".join(f"regexp_matches(word, {quoted(p)})" for p in ALLOW)
+    listed = lambda table: f"(select doc_id, string_agg(kind || ':' || a || ':' || b, ',' order by a, ord, b) s from {table} group by doc_id)"
+    return f"""
+with t as (select doc_id, coalesce(text, '') t from documents), f as ({found}),
+p as (select doc_id, kind, ord, unnest(w) word, unnest(range(1, len(w) + 1)) i, w, g from f),
+q as (select doc_id, kind, ord, word, (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0))::bigint a from p),
+x as (select *, a + length(word) b from q),
+base as (select * from x where (kind = 'assign' and length(regexp_extract(word, {quoted(ASSIGN)}, 2)) >= 6) or (kind = 'access' and length(word) >= 20) or kind = 'hex'),
+cand as (select * from x where kind = 'entropy' and regexp_matches(word, '[0-9]') and regexp_matches(word, '[A-Za-z]') and not ({allowed})
+  and not exists (select 1 from base where base.doc_id = x.doc_id and base.a < x.b and x.a < base.b)),
+win as (select doc_id, a, word, unnest(range(1, length(word) - {WINDOW - 2})) k from cand),
+ch as (select doc_id, a, word, k, unnest(string_split(substr(word, k::int, {WINDOW}), '')) c from win),
+n as (select doc_id, a, word, k, c, count(*)::double n from ch where c <> '' group by all),
+e as (select doc_id, a, word, k, -sum(n / {WINDOW} * log2(n / {WINDOW})) bits from n group by all),
+top as (select doc_id, a, word, round(max(bits), 9) bits from e group by all),
+more as (select cand.* from cand join top using (doc_id, a, word) where top.bits >= {least}),
+spans as (select doc_id, kind, ord, a, b from base union all select doc_id, kind, ord, a, b from more),
+c as (select doc_id, count(*) filter (where kind = 'assign') na, count(*) filter (where kind = 'access') nk, count(*) filter (where kind = 'hex') nh from base group by doc_id)
+select t.doc_id, coalesce(na, 0)::bigint n_assign, coalesce(nk, 0)::bigint n_access, coalesce(nh, 0)::bigint n_hex, sha256(coalesce(bs.s, '')) base_sha256, coalesce(ss.s, '') spans
+from t left join c using (doc_id) left join {listed('base')} bs using (doc_id) left join {listed('spans')} ss using (doc_id)"""

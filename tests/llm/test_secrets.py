@@ -66,3 +66,16 @@ def test_masks(spark, no_docs, odd_docs):
 
 def test_no_python_in_the_plan(odd_docs):
     assert "Python" not in secrets.scanned(odd_docs)._jdf.queryExecution().toString()
+
+
+def test_against_sql(spark):
+    import duckdb
+
+    rng = random.Random(12)
+    bits = ["token", "=", " ", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "ff", "é", "aB3dE5gH7jK9mN1pQ3rS5tU7", "x9Y8", "-", "/", "example", "zzzzzzzzzz", "1234567890"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for k in range(500)] + [(1000, None), (1001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    got = secrets.scanned(df).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()
+    assert sorted(con.execute(secrets.oracle()).fetchall()) == sorted(map(tuple, got)) and sum("entropy" in r.spans for r in got) > 50
