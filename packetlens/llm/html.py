@@ -37,15 +37,26 @@ _WORD = re.compile(r"[a-z]+")
 class Node:
     """A block element, or a run of text (tag "#"), with its place in the list of nodes as its parent's index."""
 
-    __slots__ = ("parent", "tag", "words", "label", "inside", "place", "parts", "size", "linked")
+    __slots__ = ("parent", "tag", "words", "above", "label", "inside", "place", "parts", "size", "linked")
 
-    def __init__(self, parent: int, tag: str, words: tuple[str, ...], label: int | None, inside: bool):
-        self.parent, self.tag, self.words, self.label, self.inside = parent, tag, words, label, inside
+    def __init__(self, parent: int, tag: str, words: tuple[str, ...], above: tuple[str, ...], label: int | None, inside: bool):
+        self.parent, self.tag, self.words, self.above, self.label, self.inside = parent, tag, words, above, label, inside
         self.place = "inside" if inside else ""
         self.parts: list[str] = []
         self.size = self.linked = 0
 
 
+#: Tags that tell something of all that is in them, and the ancestors' marks that a node sees: the nearest ones.
+TELLING = frozenset("article aside blockquote dialog footer form header main nav section table".split())
+MARKS = 12
+
+
+def _below(node: Node) -> tuple[str, ...]:
+    """What a child of ``node`` sees of its ancestors: words of their classes and telling tags."""
+    own = (f"<{node.tag}>", *node.words) if node.tag in TELLING else node.words
+    return tuple(dict.fromkeys(node.above + own))[-MARKS:] if own else node.above
+
+
 def _tag_end(html: str, at: int) -> int:
     """Index after the tag that begins at ``at``: its first > that is in no quotes, or the first one of all."""
     first = end = html.find(">", at)
@@ -61,7 +72,7 @@ def _tag_end(html: str, at: int) -> int:
 
 def parsed(html: str) -> list[Node]:
     """Nodes in page order, parents first."""
-    nodes = [Node(-1, "html", (), None, False)]
+    nodes = [Node(-1, "html", (), (), None, False)]
     stack: list[tuple[str, int]] = [("html", 0)]  # inline elements stand for the block they are in
     run: Node | None = None
     links = 0
@@ -76,7 +87,7 @@ def parsed(html: str) -> list[Node]:
             if s.isspace():
                 return
             block = nodes[stack[-1][1]]
-            run = Node(stack[-1][1], "#", block.words, block.label, block.inside)
+            run = Node(stack[-1][1], "#", (), _below(block), block.label, block.inside)
             nodes.append(run)
         run.parts.append(s)
         size = len(s.strip())
@@ -159,7 +170,7 @@ def parsed(html: str) -> list[Node]:
             nodes[0].label = label if label is not None else nodes[0].label
             continue
         above = nodes[stack[-1][1]]
-        node = Node(stack[-1][1], tag, tuple(dict.fromkeys(words)), label if label is not None else above.label, above.inside or tag in ("article", "main"))
+        node = Node(stack[-1][1], tag, tuple(dict.fromkeys(words)), _below(above), label if label is not None else above.label, above.inside or tag in ("article", "main"))
         nodes.append(node)
         if len(stack) < 5000:
             stack.append((tag, len(nodes) - 1))
@@ -173,14 +184,16 @@ def evidence(node: Node) -> list[tuple[str, str]]:
     """What is seen of a node by itself: pairs of a kind and a value. Kinds tell apart nodes inside an article, beside
     one, and of pages that mark none."""
     within = f" {node.place}"
+    above = [(f"above{within}", w) for w in node.above]
     if node.tag != "#":
-        return [(f"tag{within}", node.tag), *(("word", w) for w in node.words)]
+        return [(f"tag{within}", node.tag), *(("word", w) for w in node.words), *above]
     tail = next((x.rstrip()[-1:] for x in reversed(node.parts) if x.strip()), "")
     return [
         ("links", str(min(3, int(node.linked / max(1, node.size) * 4)))),
         (f"length{within}", str(min(4, int(math.log2(1 + node.size)) // 2))),
         (f"ends{within}", str(tail in ".!?")),
         ("copyright", str(any("©" in x for x in node.parts))),
+        *above,
     ]
 
 
@@ -260,6 +273,22 @@ def labelled_pages(count: int = 1200, seed: int = 5) -> list[str]:
     def box(tag: str, inner: str, *names: str) -> str:
         return element(tag, inner, 0, list(names))
 
+    def remarks() -> str:
+        """Readers' comments, with a heading or without, in lists, boxes or bare paragraphs."""
+        head = element(rng.choice(["h2", "h3", "h4"]), prose(1, 3), 0) if rng.random() < 0.6 else ""
+        each = [element("p", prose(4, 60), 0) for _ in range(rng.randint(1, 5))]
+        kind = rng.choice(["div", "li", "article", ""])
+        each = [box(kind, x, "comment", "reply", "comment-body") if kind else x for x in each]
+        body = element("ol", "".join(each), 0) if kind == "li" else "".join(each)
+        return box(rng.choice(["section", "div"]), head + body, "comments", "comment-list", "responses", "discussion", "disqus")
+
+    def teasers() -> str:
+        """Other stories."""
+        head = element(rng.choice(["h2", "h3"]), prose(1, 4), 0) if rng.random() < 0.7 else ""
+        each = [element(rng.choice(["h3", "p", "h4"]), link(5), 0) + rng.choice(["", element("p", prose(4, 25), 0)]) for _ in range(rng.randint(1, 4))]
+        body = "".join(box(rng.choice(["div", "article"]), x, "teaser", "card", "story-card") for x in each) if rng.random() < 0.5 else "".join(each)
+        return box(rng.choice(["section", "div", "aside"]), head + body, "related", "more", "recommended", "popular", "latest")
+
     def junk() -> str:
         p = lambda lo=3, hi=25: element("p", prose(lo, hi), 0)
         some = lambda: rng.choice([prose(2, 20), p(), p() + p()])
@@ -273,7 +302,8 @@ def labelled_pages(count: int = 1200, seed: int = 5) -> list[str]:
             lambda: box("div", some(), "ad", "ads", "advert", "advertisement", "sponsored", "banner-ad", "promo"),
             lambda: box("div", some(), "cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "popup", "banner"),
             lambda: box("form", element("label", prose(1, 3), 0) + prose(1, 6) + element("p", prose(1, 8), 0), "search", "login", "newsletter", "subscribe", "form"),
-            lambda: box(rng.choice(["section", "div"]), "".join(box(rng.choice(["div", "li", "article"]), p(4, 60), "comment", "reply", "comment-body") for _ in range(rng.randint(1, 4))), "comments", "comment-list", "responses", "discussion", "disqus"),
+            remarks,
+            teasers,
             lambda: box("div", link(1) * 3 + prose(1, 4), "share", "social", "follow"),
         ])()
 
@@ -281,7 +311,7 @@ def labelled_pages(count: int = 1200, seed: int = 5) -> list[str]:
         x = rng.random()
         if x < 0.64:
             inner = prose(*rng.choice([(1, 4), (2, 12), (2, 90), (20, 90)]))
-            return element("p", rng.choice([inner, f"<b>{inner}</b>", f"{inner} {link()} {prose(2, 20)}", f"{inner}<br>{prose(2, 9)}"]), 1)
+            return element("p", rng.choice([inner, f"<b>{inner}</b>", f"{inner} {link()} {prose(2, 20)}", f"{prose(1, 2)} {link(9)} {prose(1, 2)} {link(5)}.", f"{inner}<br>{prose(2, 9)}"]), 1)
         if x < 0.72:
             return element(rng.choice(["h2", "h3"]), prose(1, 9), 1)
         if x < 0.88:
@@ -294,7 +324,7 @@ def labelled_pages(count: int = 1200, seed: int = 5) -> list[str]:
         title = element("h1", prose(2, 9), 1)
         title = element("header", title, 1) if rng.random() < 0.15 else title
         inner = title + "".join(block() for _ in range(rng.choice([rng.randint(0, 9), rng.randint(0, 30)])))
-        if rng.random() < 0.25:
+        if rng.random() < 0.35:
             at = len(title)
             inner = rng.choice([inner + junk(), inner[:at] + junk() + inner[at:]])
         kind = rng.random()

@@ -54,3 +54,20 @@ def test_odd_rows(spark):
     by = {r.url: r.text for r in rows}
     assert by["u0"] == by["u1"] == by["u2"] == by["u8"] == "" and by["u11"] == by["u12"] == "\n\n".join(html.main_blocks(PAGE))
     assert html.extracted(df.limit(0)).count() == 0
+
+
+def test_layouts():
+    p, s, t = "<p>Ouwhea the of rend and threlyes of the stor nd of ouble, more words follow here.</p>", "<p>And onesea.</p>", "<h1>Some title here</h1>"
+    comments = "<section class='comments'><h2>Comments</h2><p>Nice article, thank you so much for it.</p><p>I do not agree with this at all.</p></section>"
+    layouts = [
+        f"<article>{t}{p}<aside>Related: other story about things.</aside>{s}</article>",
+        f"<article>{t}{p}<div class='ad'>Buy this now, it is great.</div>{s}{comments}</article>",
+        f"<article>{t}{p}<form><input name=q><label>Mail</label><p>Subscribe to our letter today.</p></form>{s}</article>{comments}",
+        f"<header><a href='/'>Site name</a></header><article><header>{t}</header>{p}{s}<footer>Posted in stuff</footer></article>",
+        f"<div class='cookie-banner'><p>We use cookies to make this site better for all of you.</p><button>OK</button></div><main><article>{t}{p}{s}</article></main>",
+        f"<div class='layout'><aside class='sidebar'><h3>Popular</h3><ul><li><a href=x>One story</a></li></ul><p>About this site.</p></aside><article>{t}{p}{s}</article></div>",
+        f"<nav><a href=/>Home</a></nav><main>{t}{p}{s}</main><footer><p>Copyright 2024 Some Company. All rights reserved.</p></footer>",
+        f"<div id='header'>Site</div><div id='content'>{t}{p}{s}</div><div id='sidebar'><p>About this site and its authors.</p></div><div id='footer'>Imprint</div>",
+    ]
+    for x in layouts:
+        assert html.main_blocks(f"<!DOCTYPE html><html><body>{x}</body></html>") == ["Some title here", p[3:-4], "And onesea."], x
