@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from packetlens.config import ScanConfig
 from packetlens.operators import match
+from packetlens.plans.progress import reported
 from packetlens.plans.scan import scan_files
 from packetlens.sources import results
 
@@ -32,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--profile", choices=("ext", "legacy"), default="ext")
     p.add_argument("--parts", action="store_true", help="write folders of part files")
     p.add_argument("--land", help="folder to keep the decoded packets in, as Parquet")
+    p.add_argument("--progress", help="file that tells how far the scan is")
     p.add_argument("--keylog", help="accepted and not used")
     p.add_argument("--openmp", action="store_true", help="accepted and not used")
     return p
@@ -50,7 +52,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("packetlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     began = time.time()
     ioc = match.loaded(spark, a.ip_blocklist, a.domain_blocklist, a.keywords)
-    scan = scan_files(spark, a.pcap, ioc, cfg, a.bpf, a.land or f"{a.out}/packets.parquet")
+    with reported(spark, a.pcap, a.progress):
+        scan = scan_files(spark, a.pcap, ioc, cfg, a.bpf, a.land or f"{a.out}/packets.parquet")
     results.write(scan, a.out, single=not a.parts)
     print(f"scanned {scan.packets.count()} packets in {time.time() - began:.1f} s; results in {a.out}")
     return 0

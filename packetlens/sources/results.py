@@ -86,15 +86,6 @@ def write_carved(carved: DataFrame, folder: str) -> None:
     carved.select("filename", "body").foreachPartition(put)
 
 
-def progress_text(packets: int, size: int, seconds: float, total: int) -> str:
-    """progress.json of a running scan."""
-    share = 100.0 * packets / total if total else 0.0
-    return (
-        f'{{\n  "packets_processed": {packets},\n  "bytes_processed": {size},\n  "time_elapsed": {seconds:.2f},\n'
-        f'  "rank": 0,\n  "world_size": 1,\n  "percentage": {share:.1f}\n}}\n'
-    )
-
-
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """Alerts of a file; lines that are no JSON are skipped."""
     kinds = "ts double, time string, type string, src_ip string, dst_ip string, proto string, src_port int, dst_port int, detail string, subdomain_len int, entropy double, interval_mean double, interval_stddev double, sample_count int, bytes_sent long"

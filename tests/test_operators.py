@@ -306,11 +306,13 @@ def test_views(spark, capture):
 def test_command_line(capture, tmp_path):
     from packetlens import cli
 
-    path, _ = capture
+    path, n = capture
     for wrong in (["--pcap", str(path)], ["--nonsense"], ["--pcap", "a", "--out", "b", "--top-k", "x"]):
         with pytest.raises(SystemExit) as e:
             cli.main(wrong)
         assert e.value.code == 2
     assert cli.main(["--pcap", str(path), "--out", str(tmp_path), "--top-k", "0"]) == 2
-    assert cli.main(["--pcap", str(path), "--out", str(tmp_path / "o"), "--enable-carving", "--parts"]) == 0
+    assert cli.main(["--pcap", str(path), "--out", str(tmp_path / "o"), "--enable-carving", "--parts", "--progress", str(tmp_path / "p.json")]) == 0
+    told = json.loads((tmp_path / "p.json").read_text())
+    assert list(told) == ["packets_processed", "bytes_processed", "time_elapsed", "rank", "world_size", "percentage"] and told["packets_processed"] == n and told["percentage"] == 100.0
     assert (tmp_path / "o/summary.json").exists() and (tmp_path / "o/alerts.ndjson").is_dir()
