@@ -77,11 +77,12 @@ def _small(df: DataFrame) -> DataFrame:
 
 def blocked(packets: DataFrame, nets: DataFrame, *sides: str) -> DataFrame:
     """``packets`` with blocked_<side> for each address column <side>_ip4: whether a listed network holds it."""
-    prefixes = [r.prefix for r in nets.select("prefix").distinct().orderBy("prefix").collect()]  # at most 33
+    prefixes = {r["prefix"]: r["count"] for r in nets.groupBy("prefix").count().orderBy("prefix").collect()}  # at most 33
     for side in sides:
         ip, flag = F.col(f"{side}_ip4"), F.lit(False)
-        for p in prefixes:
-            hit = _small(nets.where(F.col("prefix") == p).select(F.col("network").alias(f"net {p}"), F.lit(True).alias(f"hit {p}")))
+        for p, n in prefixes.items():
+            hit = nets.where(F.col("prefix") == p).select(F.col("network").alias(f"net {p}"), F.lit(True).alias(f"hit {p}"))
+            hit = F.broadcast(hit) if n <= BROADCAST_ROWS else hit
             packets = packets.join(hit, F.shiftright(ip, 32 - p) == F.col(f"net {p}"), "left")
             flag = flag | F.coalesce(F.col(f"hit {p}"), F.lit(False))
         packets = packets.withColumn(f"blocked_{side}", flag).drop(*(f"{x} {p}" for p in prefixes for x in ("net", "hit")))
