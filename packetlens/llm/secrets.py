@@ -49,55 +49,61 @@ def _located(text: Column, pattern: str, kind: str) -> Column:
         )
 
     kinds = "array<struct<start: int, stop: int, kind: string, word: string>>"
-    pairs = F.transform(found, lambda w, i: F.struct(F.get(gaps, i).alias("gap"), w.alias("word")))
+    # inside a lambda the split would be done again for each match
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
     first = F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("out"))
     return F.when(F.size(found) > 0, F.aggregate(pairs, first, step)["out"]).otherwise(F.array().cast(kinds))
 
 
 def _terms(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
 def window_entropy(word: Column, alphabet: Column, window: int = WINDOW) -> Column:
     """Largest Shannon entropy (bits a character) of the word's windows, by incremental counts of its characters."""
-    chars = F.transform(
-        F.sequence(F.lit(1), F.length(word)), lambda i: F.call_function("instr", alphabet, F.substring(word, i, F.lit(1))) - 1
-    )
-    slots = F.array_repeat(F.lit(0.0), F.length(alphabet))
+    chars = F.transform(F.split(word, ""), lambda c: F.call_function("instr", alphabet, c) - 1)
+    # each character with the one that leaves the window as it enters, -1 for none
+    shifted = F.concat(F.array_repeat(F.lit(-1), window), chars)
+    steps = F.slice(F.zip_with(chars, shifted, lambda c, o: F.struct(c.alias("c"), o.alias("out"))), F.lit(1), F.length(word))
+    # a window's counts are one string, a character for each of the alphabet: '0' and the count above it
+    count = lambda counts, c: F.ascii(F.substring(counts, c + 1, F.lit(1))) - 48
+    put = lambda counts, c, n: F.overlay(counts, F.char(n + 48), c + 1, F.lit(1))
 
     def step(acc: Column, x: Column) -> Column:
-        out = F.when(x["i"] >= window, F.get(acc["chars"], x["i"] - window)).otherwise(F.lit(-1))
-        come, gone = F.get(acc["n"], x["c"]), F.get(acc["n"], out)
+        out = x["out"]
+        come, gone = count(acc["n"], x["c"]), count(acc["n"], out)
         same = out == x["c"]
-        s = F.when(same, acc["s"]).otherwise(
-            acc["s"] + _terms(come + 1) - _terms(come) + F.when(out >= 0, _terms(gone - 1) - _terms(gone)).otherwise(F.lit(0.0))
-        )
-        n = F.transform(
-            acc["n"],
-            lambda v, k: v + F.when(k == x["c"], F.lit(1.0)).otherwise(F.lit(0.0)) - F.when(k == out, F.lit(1.0)).otherwise(F.lit(0.0)),
+        s = acc["s"] + F.when(same, 0.0).otherwise(
+            _terms(come + 1) - _terms(come) + F.when(out >= 0, _terms(gone - 1) - _terms(gone)).otherwise(F.lit(0.0))
         )
-        full = F.log2(F.lit(float(window))) - s / F.lit(float(window))
-        top = F.when(x["i"] >= window - 1, F.greatest(acc["top"], full)).otherwise(acc["top"])
-        return F.struct(acc["chars"].alias("chars"), n.alias("n"), s.alias("s"), top.alias("top"))
+        entered = put(acc["n"], x["c"], come + 1)
+        n = F.when(same, acc["n"]).when(out >= 0, put(entered, out, gone - 1)).otherwise(entered)
+        seen = acc["seen"] + 1
+        top = F.when(seen >= window, F.greatest(acc["top"], F.log2(F.lit(float(window))) - s / F.lit(float(window)))).otherwise(acc["top"])
+        return F.struct(n.alias("n"), s.alias("s"), top.alias("top"), seen.alias("seen"))
 
-    steps = F.transform(chars, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    first = F.struct(chars.alias("chars"), slots.alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("top"))
+    first = F.struct(F.repeat(F.lit("0"), F.length(alphabet)).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("top"), F.lit(0).alias("seen"))
     return F.aggregate(steps, first, step)["top"]
 
 
 def _entropy_hits(text: Column) -> Column:
     """Candidates whose class's window entropy is reached and that no allow-list pattern takes."""
 
-    def high(w: Column) -> Column:
+    fields = ("start", "stop", "kind", "word")
+
+    def classed(w: Column) -> Column:
+        """The candidate with its class's alphabet and threshold, so that they are found once, not for each character."""
         alphabet, least = F.lit(CLASSES[-1][2]), F.lit(CLASSES[-1][3])
         for _, whole, letters, bits in reversed(CLASSES[:-1]):
             alphabet = F.when(w["word"].rlike(whole), F.lit(letters)).otherwise(alphabet)
             least = F.when(w["word"].rlike(whole), F.lit(bits)).otherwise(least)
-        return F.round(window_entropy(w["word"], alphabet), 9) >= least
+        return F.struct(*(w[k].alias(k) for k in fields), alphabet.alias("alphabet"), least.alias("least"))
 
     allowed = lambda w: F.greatest(*[w["word"].rlike(p).cast("int") for p in ALLOW]) == 1
     plausible = F.filter(_located(text, CANDIDATE, "entropy"), lambda w: w["word"].rlike("[0-9]") & w["word"].rlike("[A-Za-z]"))
-    return F.filter(F.filter(plausible, lambda w: ~allowed(w)), high)
+    each = F.transform(F.filter(plausible, lambda w: ~allowed(w)), classed)
+    high = F.filter(each, lambda w: F.round(window_entropy(w["word"], w["alphabet"]), 9) >= w["least"])
+    return F.transform(high, lambda w: F.struct(*(w[k].alias(k) for k in fields)))
 
 
 def scanned(docs: DataFrame) -> DataFrame:

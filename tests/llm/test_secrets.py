@@ -79,3 +79,12 @@ def test_against_sql(spark):
     con.register("documents", df.toPandas())
     got = secrets.scanned(df).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()
     assert sorted(con.execute(secrets.oracle()).fetchall()) == sorted(map(tuple, got)) and sum("entropy" in r.spans for r in got) > 50
+
+
+def test_long_candidates(spark):
+    rng = random.Random(1)
+    blob = "".join(rng.choice(secrets.CLASSES[-1][2]) for _ in range(200_000))
+    df = spark.createDataFrame([(1, "a " + blob + " b"), (2, "deadbeef" * 3 + " " + "word " * 50_000)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in secrets.scanned(df).collect()}
+    assert found[1].endswith("entropy:2:200002") or "hex" in found[1]
+    assert found[2] == "hex:0:24"
