@@ -135,14 +135,13 @@ def json_escape(s: Column | str) -> Column:
 
 def entropy(s: Column | str) -> Column:
     """Shannon entropy in bits a character; terms are added by ascending character. 0 for empty text."""
-    chars = F.split(col(s), "")
     n = F.length(col(s)).cast("double")
 
     def term(acc: Column, c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
+        p = (n - F.length(F.replace(col(s), c, F.lit("")))) / n
         return acc - p * F.log2(p)
 
-    each = F.aggregate(F.sort_array(F.array_distinct(chars)), F.lit(0.0), term)
+    each = F.aggregate(F.sort_array(F.array_distinct(F.split(col(s), ""))), F.lit(0.0), term)
     return F.when(F.length(col(s)) > 0, each).otherwise(F.lit(0.0))
 
 
@@ -235,10 +234,3 @@ def file_extension(content_type: Column | str, body: Column | str) -> Column:
     for magic, ext in reversed(BY_MAGIC):
         out = F.when(F.startswith(head, F.lit(magic)), ext).otherwise(out)
     return F.when(F.octet_length(col(body)) >= 4, out).otherwise(by_type)
-
-
-SQL_FUNCTIONS = {
-    "ip4_text": ip4_text, "parse_ip4": parse_ip4, "ip6_text": ip6_text, "mac_text": mac_text, "ascii_lower": ascii_lower,
-    "trim_blank": trim_blank, "entropy": entropy, "redact": redact, "hash16": hash16, "is_private": is_private,
-    "proto_name": proto_name, "severity": severity, "iso8601": iso8601,
-}
