@@ -50,6 +50,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``durable`` rows in as many partitions as their number asks for: small tables that are read often cost few tasks."""
+    out = durable(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
 def grouped(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
     """``fn`` over each group of ``keys``; groups must be of bounded size.
 
@@ -133,12 +139,14 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
             )
         seen = now
+        parts = max(1, -(-now[0] // 20_000))
+        e = e.coalesce(parts)
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        e = durable(both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
-        least = durable(e.groupBy("b").agg(F.min("a").alias("m")))
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))).coalesce(parts)
+        e = durable(both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()).coalesce(parts)
+        least = durable(e.groupBy("b").agg(F.min("a").alias("m"))).coalesce(parts)
         e = durable(
             e.join(least, "b")
             .where("a <> m")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import components, durable, grouped, in_blocks, spanning
+from packetlens.llm.common import compact, components, durable, grouped, in_blocks, spanning
 
 #: Rows of a bucket that one task compares at once.
 BLOCK = 512
@@ -173,12 +173,12 @@ def links(classes: DataFrame, bits: int, most: int) -> DataFrame:
         return pd.DataFrame({"u": u, "v": v})
 
     keyed = classes.select("rep", F.explode(keys_of("fp")).alias("key"))
-    buckets = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u")).where("n > 1"))
-    members = durable(keyed.join(buckets, "key"))
+    buckets = compact(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u")).where("n > 1"))
+    members = compact(keyed.join(buckets, "key"))
     pairs = members.where("rep <> u").groupBy("u", "rep").agg(F.collect_set("key").alias("keys"))
     # a class has at most as many such pairs as keys
     listed = pairs.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct((-F.size("keys")).alias("order"), "u", "keys"))).alias("found"))
-    ranked = durable(
+    ranked = compact(
         listed.select(F.col("rep").alias("q"), F.posexplode("found").alias("place", "x"))
         .select("q", F.col("x.u").alias("p"), "x.keys", (F.col("place") < NEAREST).alias("tried"))
     )
@@ -188,10 +188,10 @@ def links(classes: DataFrame, bits: int, most: int) -> DataFrame:
         .where(linked("fp_p", "fp_q", "key")).select(F.col("p").alias("u"), F.col("q").alias("v")).distinct()
     )
     roots = components(stars)
-    rooted = durable(classes.join(roots, classes.rep == roots.node, "left").select("rep", "fp", F.coalesce("root", "rep").alias("root")))
+    rooted = compact(classes.join(roots, classes.rep == roots.node, "left").select("rep", "fp", F.coalesce("root", "rep").alias("root")))
     root_of = lambda x: rooted.select(F.col("rep").alias(x), F.col("root").alias(f"root_{x}"))
     apart = ranked.join(root_of("p"), "p").join(root_of("q"), "q").where("root_p <> root_q")
-    open_ = durable(apart.select(F.explode("keys").alias("key"), "tried").groupBy("key").agg(F.bool_and("tried").alias("tried")))
+    open_ = compact(apart.select(F.explode("keys").alias("key"), "tried").groupBy("key").agg(F.bool_and("tried").alias("tried")))
     # the pair of a bucket of two that was tried need not be compared again
     left = members.join(open_, "key").where("n > 2 or not tried").select("key", "n", "rep").join(rooted, "rep")
     more = grouped(in_blocks(left, "key", "n", F.col("rep"), BLOCK), ["key", "pa", "pb"], block, "u long, v long")
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, most: int =
     if no row with an id holds it. Columns besides doc_id and text are not read. An empty table gives no rows.
     """
     rows = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), words, bits).alias("fp")))
-    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
+    classes = compact(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), 2_000)
     roots = components(links(classes, bits, most))
     named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return rows.join(durable(named), "fp", "left").select("doc_id", "fp", "component_id")
