@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import compact, components, durable, grouped, in_blocks, spanning
+from packetlens.llm.common import components, durable, grouped, in_blocks, spanning
 
 #: Rows of a bucket that one task compares at once.
 BLOCK = 512
@@ -137,10 +137,11 @@ def _matrix(fps: pd.Series) -> np.ndarray:
 def links(classes: DataFrame, bits: int, most: int) -> DataFrame:
     """Edges (u, v) that connect ``classes`` (rep long, fp binary, distinct) as all links within ``most`` bits do.
 
-    First each class is compared with the smallest members of its buckets, with those NEAREST it shares most keys
-    with. Then only buckets that hold members of different components are compared, members of one component left
-    out, in blocks of bounded size of which a spanning forest leaves. A large group of near copies so costs about its
-    own size, not its square, and whatever the first pass finds, the two together connect exactly what all pairs would.
+    First each class is compared with the smallest members of its buckets; of a wide fingerprint's many, with those
+    NEAREST it shares most keys with. Then only buckets that hold members of different components are compared,
+    members of one component left out, in blocks of bounded size of which a spanning forest leaves. A large group of
+    near copies so costs about its own size, not its square, and whatever the first pass finds, the two together
+    connect exactly what all pairs would.
     """
 
     @F.pandas_udf("array<bigint>")
@@ -173,27 +174,35 @@ def links(classes: DataFrame, bits: int, most: int) -> DataFrame:
         return pd.DataFrame({"u": u, "v": v})
 
     keyed = classes.select("rep", F.explode(keys_of("fp")).alias("key"))
-    buckets = compact(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u")).where("n > 1"))
-    members = compact(keyed.join(buckets, "key"))
-    pairs = members.where("rep <> u").groupBy("u", "rep").agg(F.collect_set("key").alias("keys"))
-    # a class has at most as many such pairs as keys
-    listed = pairs.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct((-F.size("keys")).alias("order"), "u", "keys"))).alias("found"))
-    ranked = compact(
-        listed.select(F.col("rep").alias("q"), F.posexplode("found").alias("place", "x"))
-        .select("q", F.col("x.u").alias("p"), "x.keys", (F.col("place") < NEAREST).alias("tried"))
-    )
+    buckets = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u")).where("n > 1"))
+    members = durable(keyed.join(buckets, "key"))
+    pairs = members.where("rep <> u").select(F.col("u").alias("p"), F.col("rep").alias("q"), "key").groupBy("p", "q").agg(F.collect_set("key").alias("keys"))
+    all_tried = complete(bits, most)
+    if not all_tried:
+        # a class has at most as many such pairs as keys
+        listed = pairs.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.size("keys")).alias("order"), "p", "keys"))).alias("found"))
+        pairs = durable(
+            listed.select("q", F.posexplode("found").alias("place", "x"))
+            .select("q", F.col("x.p").alias("p"), "x.keys", (F.col("place") < NEAREST).alias("tried"))
+        )
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("fp").alias(f"fp_{x}"))
     stars = durable(
-        ranked.where("tried").join(side("p"), "p").join(side("q"), "q").select("p", "q", "fp_p", "fp_q", F.explode("keys").alias("key"))
+        (pairs if all_tried else pairs.where("tried")).join(side("p"), "p").join(side("q"), "q")
+        .select("p", "q", "fp_p", "fp_q", F.explode("keys").alias("key"))
         .where(linked("fp_p", "fp_q", "key")).select(F.col("p").alias("u"), F.col("q").alias("v")).distinct()
     )
     roots = components(stars)
-    rooted = compact(classes.join(roots, classes.rep == roots.node, "left").select("rep", "fp", F.coalesce("root", "rep").alias("root")))
-    root_of = lambda x: rooted.select(F.col("rep").alias(x), F.col("root").alias(f"root_{x}"))
-    apart = ranked.join(root_of("p"), "p").join(root_of("q"), "q").where("root_p <> root_q")
-    open_ = compact(apart.select(F.explode("keys").alias("key"), "tried").groupBy("key").agg(F.bool_and("tried").alias("tried")))
+    rooted = durable(classes.join(roots, classes.rep == roots.node, "left").select("rep", "fp", F.coalesce("root", "rep").alias("root")))
     # the pair of a bucket of two that was tried need not be compared again
-    left = members.join(open_, "key").where("n > 2 or not tried").select("key", "n", "rep").join(rooted, "rep")
+    if all_tried:
+        named = members.where("n > 2").select("key", "n", "rep").join(rooted.select("rep", "root"), "rep")
+        open_ = durable(named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"))
+        left = named.join(open_, "key").join(rooted.select("rep", "fp"), "rep")
+    else:
+        root_of = lambda x: rooted.select(F.col("rep").alias(x), F.col("root").alias(f"root_{x}"))
+        apart = pairs.join(root_of("p"), "p").join(root_of("q"), "q").where("root_p <> root_q")
+        open_ = durable(apart.select(F.explode("keys").alias("key"), "tried").groupBy("key").agg(F.bool_and("tried").alias("tried")))
+        left = members.join(open_, "key").where("n > 2 or not tried").select("key", "n", "rep").join(rooted, "rep")
     more = grouped(in_blocks(left, "key", "n", F.col("rep"), BLOCK), ["key", "pa", "pb"], block, "u long, v long")
     return stars.unionByName(more)
 
@@ -206,7 +215,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, most: int =
     if no row with an id holds it. Columns besides doc_id and text are not read. An empty table gives no rows.
     """
     rows = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), words, bits).alias("fp")))
-    classes = compact(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), 2_000)
+    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     roots = components(links(classes, bits, most))
     named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return rows.join(durable(named), "fp", "left").select("doc_id", "fp", "component_id")
