@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,14 +72,15 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            for x, t in zip(b["lang"], b["text"]):
+            for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 g = grams(t)
                 # a document weighs the same whatever its length, beyond the first thousands of grams
                 sums[x] = sums.get(x, 0) + g * min(1.0, 20_000 / max(1, g.sum()))
-        yield pd.DataFrame({"lang": list(sums), "sums": [v.astype("<f8").tobytes() for v in sums.values()]})
+        packed = pa.array([v.astype("<f8").tobytes() for v in sums.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), packed], ["lang", "sums"])
 
     counts = np.zeros((DIMS, len(langs)))
-    for r in part.mapInPandas(count, "lang string, sums binary").toLocalIterator():
+    for r in part.mapInArrow(count, "lang string, sums binary").toLocalIterator():
         counts[:, langs.index(r.lang)] += np.frombuffer(r.sums, dtype="<f8")
     # what all languages share smooths each one
     whole = (counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * DIMS)
