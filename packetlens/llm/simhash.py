@@ -6,8 +6,8 @@ bits and 3 differences that means: two segments alike, and of the next three at
 fingerprint is filed under 8 starts x 3 segments that may differ = 24 keys of 32 bits, and no link is lost. Candidates
 that share a key must hold the chain's other budgets before the full Hamming check.
 
-Wide fingerprints (the pipeline's 1,024 bits) are filed under runs of three like segments, one run from every second
-segment on. Such keys ask for more than the ring's budget promises, so the recall is measured: the README has it.
+Wide fingerprints are filed under runs of three like segments, one run from every segment on. Such keys ask for more
+than the ring's budget promises, so they may miss links.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from packetlens.llm.common import components, durable, grouped, in_blocks, spann
 
 #: Rows of a bucket that one task compares at once.
 BLOCK = 512
-#: Segments from one start of a wide fingerprint's keys to the next.
-STEP = 2
 #: Smallest members that each class is compared with at first.
 NEAREST = 3
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -105,7 +103,7 @@ def ring_keys(fps: np.ndarray, most: int) -> np.ndarray:
             for skip in range(3):
                 a, b = (x for k, x in enumerate(tail) if k != skip)
                 keys.append(((3 * i + skip) << 32) | (at(i) << 24 | at(i + 1) << 16 | at(a) << 8 | at(b)))
-        elif i % STEP == 0:
+        else:
             keys.append((i << 32) | (at(i) << 16 | at(i + 1) << 8 | at(i + 2)))
     return np.stack(keys, axis=1)
 

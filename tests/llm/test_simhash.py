@@ -76,6 +76,16 @@ def test_every_near_pair_shares_a_key():
     assert (ka == kb).any(axis=1).all()
 
 
+def test_wide_fingerprints_have_a_key_at_every_start():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 256, (1, 128), dtype=np.uint8)
+    for start in range(128):
+        b = ~a
+        at = (start + np.arange(3)) % 128
+        b[:, at] = a[:, at]
+        assert (simhash.ring_keys(a, 166) == simhash.ring_keys(b, 166)).any()
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = simhash.near_duplicates(odd_docs).collect()
     texts = odd_docs.select("doc_id", "text").collect()
