@@ -4,10 +4,10 @@ The bytes of a fingerprint are the segments of a ring. If two fingerprints of m
 some segment starts a chain in which every l consecutive segments together differ in at most l * t / m bits. For 64
 bits and 3 differences that means: two segments alike, and of the next three at most one that differs. So each
 fingerprint is filed under 8 starts x 3 segments that may differ = 24 keys of 32 bits, and no link is lost. Candidates
-that share a key must hold the chain's other budgets before the full Hamming check.
+that share a key must hold the chain's other budgets before the full Hamming check: some start's chain does.
 
 Wide fingerprints are filed under runs of three like segments, one run from every segment on. Such keys ask for more
-than the ring's budget promises, so they may miss links.
+than the ring's budget promises, so they may miss links, and a pair that shares one is decided by all its bits.
 """
 
 from __future__ import annotations
@@ -123,6 +123,11 @@ def chain_linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def within(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of a, b differ in ``most`` bits or fewer."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32) <= most
+
+
 def _start(key: np.ndarray | int, bits: int, most: int):
     slot = key >> 32
     return slot // 3 if complete(bits, most) else slot
@@ -139,7 +144,7 @@ def links(classes: DataFrame, bits: int, most: int) -> DataFrame:
     NEAREST it shares most keys with. Then only buckets that hold members of different components are compared,
     members of one component left out, in blocks of bounded size of which a spanning forest leaves. A large group of
     near copies so costs about its own size, not its square, and whatever the first pass finds, the two together
-    connect exactly what all pairs would.
+    connect exactly what all pairs that share a key would; for 64 bits and 3 differences that is all pairs.
     """
 
     @F.pandas_udf("array<bigint>")
@@ -150,14 +155,17 @@ def links(classes: DataFrame, bits: int, most: int) -> DataFrame:
     def linked(a: pd.Series, b: pd.Series, key: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=bool)
+        if not complete(bits, most):
+            return pd.Series(within(_matrix(a), _matrix(b), most))
         m = bits // 8
         turn = (_start(key.to_numpy(), bits, most)[:, None] + np.arange(m)[None, :]) % m
         x, y = (np.take_along_axis(_matrix(s), turn, axis=1) for s in (a, b))
         return pd.Series(chain_linked(x, y, most))
 
     def block(g: pd.DataFrame) -> pd.DataFrame | None:
-        start = int(_start(int(g["key"].iat[0]), bits, most))
-        f = np.roll(_matrix(g["fp"]), -start, axis=1)
+        f, holds = _matrix(g["fp"]), within
+        if complete(bits, most):
+            f, holds = np.roll(f, -int(_start(int(g["key"].iat[0]), bits, most)), axis=1), chain_linked
         root, my = g["root"].to_numpy(), g["my"].to_numpy()
         apart = np.triu(root[:, None] != root[None, :], 1)
         if g["pa"].iat[0] != g["pb"].iat[0]:
@@ -166,7 +174,7 @@ def links(classes: DataFrame, bits: int, most: int) -> DataFrame:
         adj = np.zeros((len(g), len(g)), dtype=bool)
         for lo in range(0, len(i), 1 << 13):
             a, b = i[lo : lo + (1 << 13)], j[lo : lo + (1 << 13)]
-            hit = chain_linked(f[a], f[b], most)
+            hit = holds(f[a], f[b], most)
             adj[a[hit], b[hit]] = True
         u, v = spanning(adj, g["rep"].to_numpy())
         return pd.DataFrame({"u": u, "v": v})

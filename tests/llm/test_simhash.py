@@ -86,6 +86,17 @@ def test_wide_fingerprints_have_a_key_at_every_start():
         assert (simhash.ring_keys(a, 166) == simhash.ring_keys(b, 166)).any()
 
 
+def test_wide_pairs_are_decided_by_all_bits(spark):
+    a = np.zeros((1, 128), dtype=np.uint8)
+    b = a.copy()
+    b[0, 10:26] = 255  # the only shared keys start before or behind a cluster of 128 differing bits
+    b[0, [k for k in range(128) if k % 3 == 2 and not 10 <= k < 26]] = 1
+    b[0, 5] = 0
+    assert np.bitwise_count(a ^ b).sum() <= 166 and (simhash.ring_keys(a, 166) == simhash.ring_keys(b, 166)).any()
+    df = spark.createDataFrame([(1, bytearray(a.tobytes())), (2, bytearray(b.tobytes()))], "rep long, fp binary")
+    assert {(r.u, r.v) for r in simhash.links(df, 1024, 166).select("u", "v").collect()} == {(1, 2)}
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = simhash.near_duplicates(odd_docs).collect()
     texts = odd_docs.select("doc_id", "text").collect()
