@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from packetlens.llm import bpe, mixture, quality, secrets, simhash
 from packetlens.llm.common import durable, prepared, shared_dir
 
-#: Near-duplicates of the corpus: five-word shingles of similarity 0.8 or more. Fingerprints of such a pair differ
-#: in acos(2 * 0.8 / 1.8) / pi = 15.1 % of the bits, give or take 1.1 %: 155, and one deviation so that few are lost.
-WORDS, BITS, MOST = 5, 1024, 166
+#: Near-duplicates of the corpus: sets of five-word shingles of similarity 0.8 or more.
+WORDS, SIMILARITY = 5, 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest id, once. Rows without an id stay."""
-    found = durable(simhash.near_duplicates(docs, WORDS, BITS, MOST).select("doc_id", "component_id"))
+    found = durable(simhash.similar(docs, WORDS, SIMILARITY))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = durable(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))

@@ -126,6 +126,35 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert all(v // 10 == k // 10 for k, v in got.items())
 
 
+@pytest.mark.parametrize("block", [512, 8])
+def test_similar_texts_are_those_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(block)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    texts = []
+    for k in range(60):
+        w = [word() for _ in range(rng.choice([5, 9, 40, 300]))]
+        texts.append(w)
+        for _ in range(k % 4):
+            v = list(w)
+            for at in rng.sample(range(len(w)), min(len(w), rng.randint(0, max(1, len(w) // 30)))):
+                v[at] = word()
+            texts.append(v)
+        texts.append(w + w[:5] * rng.choice([0, 40]))  # a repeated passage changes the fingerprint, not the set much
+    common = [word() for _ in range(120)]
+    texts += [common + [word() for _ in range(rng.randint(0, 60))] for _ in range(80)]  # near 0.8, on both sides
+    texts = [" ".join(w) for w in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 0.8).collect()}
+    assert [got[k] for k in range(len(texts))] == root
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randint(2000, 2300), rng.randint(2000, 2300)) for _ in range(150)] + [(5, 5), (None, 3)]
