@@ -96,14 +96,17 @@ def _hex(x: Column, digits: int) -> Column:
 
 
 def framed(packets: DataFrame, payload: Column, tagged: Column | None = None) -> DataFrame:
-    """Raw frames of IPv4 packets: Ethernet (with a VLAN tag where ``tagged``), IPv4, and TCP, UDP or ICMP."""
+    """Raw frames of IPv4 packets: Ethernet (with a VLAN tag where ``tagged``), IPv4, and TCP, UDP or ICMP.
+
+    A length beyond 65,535 is written as that; the frame has all of the payload.
+    """
     body = F.hex(payload.cast("binary"))
     size = F.octet_length(payload.cast("binary"))
     ports = F.concat(_hex(F.col("src_port"), 4), _hex(F.col("dst_port"), 4))
     tcp = F.concat(ports, F.lit("00000001000000025018FFFF00000000"))
     udp = F.concat(ports, _hex(size + 8, 4), F.lit("0000"))
     l4 = F.when(F.col("l4") == c.TCP, tcp).when(F.col("l4") == c.UDP, udp).otherwise(F.lit("0800"))
-    total = 20 + F.length(l4) / 2 + size
+    total = F.least(20 + F.length(l4) / 2 + size, F.lit(65535))
     ip = F.concat(F.lit("4500"), _hex(total, 4), F.lit("0000000040"), _hex(F.col("l4"), 2), F.lit("0000"), _hex(F.col("src_ip4"), 8), _hex(F.col("dst_ip4"), 8))
     tag = F.when(tagged, "81000064").otherwise("") if tagged is not None else F.lit("")
     frame = F.unhex(F.concat(F.lit("00" * 12), tag, F.lit("0800"), ip, l4, body))

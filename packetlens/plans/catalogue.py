@@ -414,7 +414,7 @@ def _http(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapter.table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("packet_id"), (F.col("page_id") * 1000000).alias("ts_us"), F.col("page_id").cast("double").alias("ts"),
         (F.lit(adapter.SRC) + F.col("page_id") % 250).alias("dst_ip4"), (F.lit(adapter.DST) + F.col("page_id") % 7).alias("src_ip4"),
-        F.lit(c.TCP).alias("l4"), F.lit(80).alias("src_port"), F.lit(40000).alias("dst_port"), F.substring(adapter.ascii_text("html"), 1, 40000).alias("body"),
+        F.lit(c.TCP).alias("l4"), F.lit(80).alias("src_port"), F.lit(40000).alias("dst_port"), adapter.ascii_text("html").alias("body"),
     )
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nServer: x\r\nCONTENT-TYPE:  text/html \r\nHost: h"), F.col("packet_id").cast("string"), F.lit("\r\n\r\n"))
     return decode.decoded(adapter.framed(rows, F.concat(head, "body")))
