@@ -288,7 +288,7 @@ def bytes_to_external(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scan(spark: SparkSession, sf_dir: str, **settings: object) -> Scan:
-    return Scan(adapter.events(spark, sf_dir), match.of_lists(spark, IPS), ScanConfig.of(**{**CFG.__dict__, "beaconing_min_count": 100_000, **settings}))
+    return Scan(adapter.events(spark, sf_dir), match.of_lists(spark, IPS), ScanConfig.of(**{**CFG.__dict__, **settings}))
 
 
 _KINDS = f"""{STEPS}, run as (select *, sum(payload_len) over (partition by dst order by packet_id) cum from pkt),
