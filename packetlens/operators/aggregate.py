@@ -34,19 +34,20 @@ def alert_counters(alerts: DataFrame) -> DataFrame:
     return alerts.agg(F.count("*").alias("alerts_total"), *(F.count_if(F.startswith("type", F.lit(t))).alias(k) for k, t in ALERT_COUNTERS))
 
 
-def top(df: DataFrame, key: str, weight: Column, k: int, name: str = "key") -> DataFrame:
-    """(name, count): the ``k`` keys of largest weight, equal ones by key."""
-    return df.groupBy(F.col(key).alias(name)).agg(F.sum(weight).alias("count")).orderBy(F.desc("count"), name).limit(k)
+def top(df: DataFrame, key: str, weight: Column, k: int | None, name: str = "key") -> DataFrame:
+    """(name, count): the ``k`` keys of largest weight, equal ones by key; for None all keys, in no order."""
+    counted = df.groupBy(F.col(key).alias(name)).agg(F.sum(weight).alias("count"))
+    return counted if k is None else counted.orderBy(F.desc("count"), name).limit(k)
 
 
-def top_bytes(packets: DataFrame, side: str, k: int, legacy: bool = False) -> DataFrame:
+def top_bytes(packets: DataFrame, side: str, k: int | None, legacy: bool = False) -> DataFrame:
     """(ip, count): bytes by source or destination. In the legacy profile frames without an address count as 0.0.0.0."""
     ip = f"{side}_ip4"
     rows = packets.select(F.coalesce(ip, F.lit(0).cast("long")).alias(ip), "raw_len") if legacy else packets.where("is_ipv4").select(ip, "raw_len")
     return top(rows, ip, F.col("raw_len").cast("long"), k, "n").select(c.ip4_text("n").alias("ip"), "count")
 
 
-def top_names(packets: DataFrame, column: str, k: int) -> DataFrame:
+def top_names(packets: DataFrame, column: str, k: int | None) -> DataFrame:
     """(key, count): packets by a name that is not empty."""
     return top(packets.where(F.col(column) != ""), column, F.lit(1).cast("long"), k)
 

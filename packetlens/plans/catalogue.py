@@ -341,7 +341,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
   select ip, sum(s)::bigint src_bytes, sum(d)::bigint dst_bytes, sum(s + d)::bigint total_bytes, case when sum(s) > sum(d) then 'Client' else 'Server' end as role from ends group by ip""")
 def hosts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = adapter.events(spark, sf_dir)
-    return views.hosts(aggregate.top_bytes(packets, "src", 1_000_000), aggregate.top_bytes(packets, "dst", 1_000_000))
+    return views.hosts(aggregate.top_bytes(packets, "src", None), aggregate.top_bytes(packets, "dst", None))
 
 
 @query(f"{PKT}, {FLOW} select * from flow where proto = 'UDP' and contains(src_ip, '10.0.0.1') order by bytes desc, src_ip, dst_ip, src_port, dst_port, proto limit 500")
@@ -351,7 +351,7 @@ def sessions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select {adapter.HOST} as key, count(*)::bigint count from pages where contains({adapter.HOST}, 'blog') group by 1")
 def names_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.names(aggregate.top_names(adapter.pages(spark, sf_dir), "http_host", 1_000_000), "BLOG")
+    return views.names(aggregate.top_names(adapter.pages(spark, sf_dir), "http_host", None), "BLOG")
 
 
 # --- scalar functions
