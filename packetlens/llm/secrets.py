@@ -1,8 +1,8 @@
 """Secret scan in DataFrame expressions only: key patterns, and sliding-window entropy per character class.
 
 A pattern's matches and the stretches between them come from one regexp_extract_all and one split, so the running sum
-of their lengths gives every match's place in code points. Candidate strings for the entropy scan are runs of key
-characters that hold a digit; a window of 20 characters slides over each, its Shannon entropy kept by incremental
+of their lengths, taken in blocks, gives every match's place in code points. Candidate strings for the entropy scan
+are runs of key characters; a window of 20 characters slides over each, its Shannon entropy kept by incremental
 counts: one character enters, one leaves, and only their two terms of sum(n * log2 n) change.
 """
 
@@ -18,41 +18,85 @@ HEX = "[0-9a-f]{24,}"  # runs are maximal, so shorter ones need not be matched f
 WINDOW = 20
 #: Candidate strings of the entropy scan.
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: Candidates that are looked into: letters with a digit among them, or letters only.
+PLAUSIBLE = "[A-Za-z].*[0-9]|[0-9].*[A-Za-z]|^[A-Za-z]+$"
 #: Character class: what the candidate wholly consists of, its alphabet, and the least entropy of a window in bits.
 CLASSES = (
-    ("digits", "^[0-9]+$", "0123456789", 99.0),
     ("hex", "^[0-9a-fA-F]+$", "0123456789abcdefABCDEF", 3.0),
-    ("lower", "^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 3.6),
-    ("upper", "^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.6),
+    ("lower", "^[a-z]*[0-9][a-z0-9]*$", "0123456789abcdefghijklmnopqrstuvwxyz", 3.6),
+    ("upper", "^[A-Z]*[0-9][A-Z0-9]*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.6),
+    ("letters", "^[A-Za-z]+$", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 4.0),
     ("base64", "", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.8),
 )
-#: Candidates that are known not to be secrets: UUIDs, and words joined by signs with numbers at their end, paths.
+#: Candidates that are known not to be secrets: UUIDs, words of common length joined by signs with a number at their end,
+#: paths, numbers, placeholders.
 ALLOW = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "^[A-Za-z]{2,}([-_/=+][A-Za-z]{2,})*[-_/=+]?[0-9]{0,6}$",
+    "^[-_/=+]?[A-Za-z]{2,15}([-_/=+][A-Za-z]{2,15})*[-_/=+]?[0-9]{0,6}$",
     "^[0-9+/_=-]+$",
     "(?i)(example|placeholder|changeme|dummy|xxxx)",
 )
 
 
+#: A place behind every text.
+FAR = (1 << 31) - 1
+SPANS = "array<struct<start: int, stop: int, kind: string, word: string>>"
+#: Members of a block of a running value, and levels of blocks of blocks.
+RUN, LEVELS = 32, 4
+#: Code points of a piece that a text is cut into before spans are taken out of it.
+PIECE = 1024
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, not again for each step of a loop inside."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, op, zero: Column, levels: int = LEVELS) -> Column:
+    """Running results of the associative ``op`` over an array: block by block, the blocks' totals likewise.
+
+    An array that grows step by step is copied at each; here none that grows is longer than RUN, but for the totals of
+    the last level, one for RUN ** LEVELS members.
+    """
+
+    def grown(array: Column, first: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            now = op(acc["at"], x)
+            return F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+        return F.aggregate(array, F.struct(first.alias("at"), F.array_remove(F.array(zero), zero).alias("out")), step)["out"]
+
+    if not levels:
+        return _bound(values, lambda v: grown(v, zero))
+
+    def in_blocks(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda b: F.slice(v, b * RUN + 1, F.lit(RUN)))
+
+        def from_totals(k: Column) -> Column:
+            totals = F.transform(k, lambda b: F.aggregate(b, zero, lambda a, x: op(a, x)))
+            return _bound(
+                running(totals, op, zero, levels - 1),
+                lambda t: F.flatten(F.transform(k, lambda b, i: grown(b, F.when(i > 0, F.get(t, i - 1)).otherwise(zero)))),
+            )
+
+        return F.when(F.size(v) <= RUN, grown(v, zero)).otherwise(_bound(blocks, from_totals))
+
+    return _bound(values, in_blocks)
+
+
 def _located(text: Column, pattern: str, kind: str) -> Column:
     """Array of (start, stop, kind, word) of the pattern's leftmost non-overlapping matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        stop = start + F.length(pair["word"])
-        return F.struct(
-            stop.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), pair["word"].alias("word")))).alias("out"),
+
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        sizes = F.zip_with(gaps, found, lambda g, w: F.length(g) + F.length(w))
+        return F.zip_with(
+            running(sizes, lambda a, b: a + b, F.lit(0)), found,
+            lambda stop, w: F.struct((stop - F.length(w)).alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), w.alias("word")),
         )
 
-    kinds = "array<struct<start: int, stop: int, kind: string, word: string>>"
-    # inside a lambda the split would be done again for each match
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, first, step)["out"]).otherwise(F.array().cast(kinds))
+    some = lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast(SPANS))
+    return _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some)
 
 
 def _terms(n: Column) -> Column:
@@ -100,12 +144,28 @@ def _entropy_hits(text: Column) -> Column:
         return F.struct(*(w[k].alias(k) for k in fields), alphabet.alias("alphabet"), least.alias("least"))
 
     allowed = lambda w: F.greatest(*[w["word"].rlike(p).cast("int") for p in ALLOW]) == 1
-    plausible = F.filter(_located(text, CANDIDATE, "entropy"), lambda w: w["word"].rlike("[0-9]") & w["word"].rlike("[A-Za-z]"))
-    each = F.transform(F.filter(plausible, lambda w: ~allowed(w)), classed)
+    plausible = F.filter(_located(text, CANDIDATE, "entropy"), lambda w: w["word"].rlike(PLAUSIBLE) & ~allowed(w))
+    each = F.transform(plausible, classed)
     high = F.filter(each, lambda w: F.round(window_entropy(w["word"], w["alphabet"]), 9) >= w["least"])
     return F.transform(high, lambda w: F.struct(*(w[k].alias(k) for k in fields)))
 
 
+def _clear(spans: Column) -> Column:
+    """Spans by start, without the entropy spans that touch another one: the furthest end of the base spans before and
+    at each place, and the nearest start of those from it on, tell which."""
+    more = lambda w: w["kind"] == "entropy"
+
+    def kept(all_: Column) -> Column:
+        ends = running(F.transform(all_, lambda w: F.when(more(w), 0).otherwise(w["stop"])), F.greatest, F.lit(0))
+        starts = F.transform(F.reverse(all_), lambda w: F.when(more(w), FAR).otherwise(w["start"]))
+        starts = F.reverse(running(starts, F.least, F.lit(FAR)))
+        near = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("end"), s.alias("start")))
+        each = F.zip_with(all_, near, lambda w, x: F.struct(w.alias("w"), (more(w) & ((x["end"] > w["start"]) | (x["start"] < w["stop"]))).alias("gone")))
+        return F.transform(F.filter(each, lambda x: ~x["gone"]), lambda x: x["w"])
+
+    return _bound(spans, kept)
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """``docs`` with n_assign, n_access, n_hex (long), base_sha256, spans (strings), and secret_spans, an array of
     (start, stop, kind, word), by start, then kind as listed, entropy last.
@@ -117,8 +177,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     names = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "secret_spans")
     kept = [c for c in docs.columns if c not in names]
     text = F.coalesce(F.col("text"), F.lit(""))
-    kinds = "array<struct<start: int, stop: int, kind: string, word: string>>"
-    none = F.array().cast(kinds)
+    none = F.array().cast(SPANS)
     # cheap tests first, so that the searches run only where they can match
     gate = lambda p, x: F.when(text.rlike(p), x).otherwise(none)
     value = lambda w: F.regexp_extract(w["word"], ASSIGN, 2)
@@ -135,19 +194,19 @@ def scanned(docs: DataFrame) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda w: F.concat_ws(":", w["kind"], w["start"].cast("string"), w["stop"].cast("string"))), ",")
     found = docs.select(*kept, assign.alias("found assign"), access.alias("found access"), hexes.alias("found hex"), gate("[A-Za-z0-9+/_=-]{20}", _entropy_hits(text)).alias("found more"))
     base = F.concat("found assign", "found access", "found hex")
-    clear = F.filter("found more", lambda e: ~F.exists(base, lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"])))
+    some = F.size(base) > 0
     found = found.select(
         *kept,
         *(F.size(f"found {k}").cast("long").alias(f"n_{k}") for k in KINDS),
-        F.when(F.size(base) > 0, placed(base)).otherwise(base).alias("found base"),
-        clear.alias("found clear"),
+        F.when(some, placed(base)).otherwise(base).alias("found base"),
+        F.when(some & (F.size("found more") > 0), _clear(placed(F.concat(base, "found more")))).when(some, placed(base)).otherwise(F.col("found more")).alias("secret_spans"),
     )
     return found.select(
         *kept,
         "n_assign", "n_access", "n_hex",
         F.sha2(joined(F.col("found base")), 256).alias("base_sha256"),
-        joined(placed(F.concat("found base", "found clear"))).alias("spans"),
-        placed(F.concat("found base", "found clear")).alias("secret_spans"),
+        joined(F.col("secret_spans")).alias("spans"),
+        "secret_spans",
     )
 
 
@@ -157,18 +216,22 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     A null text stays null; texts without a span are unchanged.
     """
     found = scanned(docs)
-    text = F.col("text")
+    text, spans = F.col("text"), F.col("secret_spans")
+    ends = running(F.transform(spans, lambda w: w["stop"]), F.greatest, F.lit(0))
 
-    def step(acc: Column, w: Column) -> Column:
-        fresh = w["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, w["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], w["stop"]).alias("at"), piece.alias("out"))
+    def cut(pieces: Column, at: Column, to: Column) -> Column:
+        """Code points ``at`` to ``to`` of the text, from the few pieces that hold them."""
+        first = F.floor(at / PIECE).cast("int")
+        few = F.array_join(F.slice(pieces, first + 1, F.floor(to / PIECE).cast("int") - first + 1), "")
+        return F.substring(few, at - first * PIECE + 1, to - at)
 
-    whole = F.aggregate(
-        "secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, whole).otherwise(text)).select(*docs.columns)
+    def masked(pieces: Column, e: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(e, i - 1)).otherwise(F.lit(0))
+        kept = F.transform(spans, lambda w, i: F.when(w["start"] >= before(i), F.concat(cut(pieces, before(i), w["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), cut(pieces, F.get(e, F.size(e) - 1), F.length(text)))
+
+    whole = _bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: _bound(ends, lambda e: masked(pieces, e)))
+    return found.withColumn("text", F.when(F.size(spans) > 0, whole).otherwise(text)).select(*docs.columns)
 
 
 def oracle() -> str:
@@ -189,7 +252,7 @@ p as (select doc_id, kind, ord, unnest(w) word, unnest(range(1, len(w) + 1)) i,
 q as (select doc_id, kind, ord, word, (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0))::bigint a from p),
 x as (select *, a + length(word) b from q),
 base as (select * from x where (kind = 'assign' and length(regexp_extract(word, {quoted(ASSIGN)}, 2)) >= 6) or (kind = 'access' and length(word) >= 20) or kind = 'hex'),
-cand as (select * from x where kind = 'entropy' and regexp_matches(word, '[0-9]') and regexp_matches(word, '[A-Za-z]') and not ({allowed})
+cand as (select * from x where kind = 'entropy' and regexp_matches(word, {quoted(PLAUSIBLE)}) and not ({allowed})
   and not exists (select 1 from base where base.doc_id = x.doc_id and base.a < x.b and x.a < base.b)),
 win as (select doc_id, a, word, unnest(range(1, length(word) - {WINDOW - 2})) k from cand),
 ch as (select doc_id, a, word, k, unnest(string_split(substr(word, k::int, {WINDOW}), '')) c from win),

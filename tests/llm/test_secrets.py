@@ -2,6 +2,8 @@ import hashlib
 import math
 import random
 import re
+import time
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +90,29 @@ def test_long_candidates(spark):
     found = {r.doc_id: r.spans for r in secrets.scanned(df).collect()}
     assert found[1].endswith("entropy:2:200002") or "hex" in found[1]
     assert found[2] == "hex:0:24"
+
+
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(4)
+    bits = ["token=abc1234 ", "AKIA" + "Q7" * 9 + " ", "0f" * 13 + " ", "aB3dE5gH7jK9mN1pQ3rS5tU7é ", "aB3dE5gH7jK9mN1pQ3rS5tU7/secret=hunter22 ", "words here, "]
+    text = "".join(rng.choice(bits) for _ in range(100_000))
+    began = time.monotonic()
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1)
+    (row,) = secrets.scanned(df).collect()
+    (masked,) = secrets.redacted(df).collect()
+    assert time.monotonic() - began < 60
+    assert ([row.n_assign, row.n_access, row.n_hex], row.base_sha256) == slow(text)
+    want, at = [], 0
+    for x in row.secret_spans:
+        if x.start >= at:
+            want += [text[at : x.start], "[secret]"]
+        at = max(at, x.stop)
+    assert masked.text == "".join(want) + text[at:] and len(row.secret_spans) > 60_000
+
+
+def test_running_values(spark):
+    rng = random.Random(2)
+    rows = [(k, [rng.randint(0, 99) for _ in range(n)]) for k, n in enumerate([0, 1, 31, 32, 33, 1024, 1025, 40_000])]
+    df = spark.createDataFrame(rows, "k int, v array<int>")
+    got = df.select("k", secrets.running(F.col("v"), lambda a, b: a + b, F.lit(0)).alias("s"), secrets.running(F.col("v"), F.greatest, F.lit(0)).alias("m")).collect()
+    assert [(r.k, r.s, r.m) for r in sorted(got)] == [(k, list(accumulate(v)), list(accumulate(v, max))) for k, v in rows]
