@@ -2,8 +2,9 @@
 
 Seven labellers vote good, bad or nothing on each text. Expectation-maximisation over the counts of vote patterns
 (at most 3^7, whatever the number of documents) estimates each labeller's rates under both classes and the classes'
-shares. The posterior of a document's votes is its label; a logistic scorer over hashed features of character shapes
-and of repetition is fitted to the posteriors of a bounded sample and scores every whole text.
+shares. The posterior of a document's votes is its label; a logistic scorer over hashed n-grams of words, bytes and
+character classes, none of the labellers' measures among them, is fitted to the posteriors of a bounded sample and
+scores every whole text.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetlens.llm.common import durable
+from packetlens.llm.weighted import word_hashes
 
 LABELLERS = ("symbols", "shouting", "tables", "word_runs", "line_repeats", "clean_words", "running_text")
 GOOD, BAD, NONE = 1, 0, 2
@@ -23,7 +25,11 @@ GOOD, BAD, NONE = 1, 0, 2
 MERITS = (5, 6)
 #: Rows whose posteriors the scorer is fitted to, the ones with the smallest hashes of their ids and texts.
 FIT_ROWS = 3000
-DIMS = 1 << 11
+#: Parts of the feature vector: n-grams of character classes, n-grams of bytes, words and how often they occur.
+SHAPES, LETTERS, TERMS = 1 << 10, 1 << 11, 1 << 10
+DIMS = SHAPES + LETTERS + TERMS
+#: N-grams that every text is taken to have besides its own, of no kind: a short one says little.
+FEW = 20.0
 
 _CLASS = np.full(256, 3, dtype=np.int64)  # 3: other punctuation
 _CLASS[list(range(97, 123))] = 0
@@ -37,6 +43,8 @@ _CLASS[ord("!")] = 7
 _CLASS[[ord(c) for c in "#$%&*"]] = 8
 _CLASS[ord("|")] = 9
 _N = 10
+_LOWER = np.arange(256, dtype=np.int64)
+_LOWER[65:91] += 32
 
 
 def measures(text: str | None) -> dict[str, float]:
@@ -57,7 +65,6 @@ def measures(text: str | None) -> dict[str, float]:
         "lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
         "lower": sum(w.islower() or w.istitle() for w in words) / n,
         "clean": sum(w.rstrip(".,;:?").isalpha() for w in words) / n,
-        "variety": len(shapes) / n**0.75,
     }
 
 
@@ -125,21 +132,29 @@ def posterior(v: np.ndarray, share: float, logs: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
 
 
-def features(text: str | None, m: dict[str, float], block: int = 1 << 20) -> np.ndarray:
-    """Hashed shares of the text's character-class 4-grams (whole text, in blocks), and of its measures."""
+def features(text: str | None, block: int = 1 << 20) -> np.ndarray:
+    """Hashed shares of the whole text's n-grams, read in blocks: of character classes (4), of bytes (3), of words (1).
+
+    A word also counts under how often it occurs in the text, in powers of two of its share, whatever the word is. Each
+    kind has its own part of the vector; what the labellers measure is not among them.
+    """
     data = (text or "").encode("utf-8", "surrogatepass")
-    out = np.zeros(DIMS)
+    classes, letters, terms = np.zeros(SHAPES), np.zeros(LETTERS), np.zeros(TERMS)
     for at in range(0, max(1, len(data) - 3), block):
-        c = _CLASS[np.frombuffer(data[at : at + block + 3], dtype=np.uint8)]
-        if len(c) > 3:
+        x = np.frombuffer(data[at : at + block + 3], dtype=np.uint8)
+        if len(x) > 3:
+            c = _CLASS[x]
             code = ((c[:-3] * _N + c[1:-2]) * _N + c[2:-1]) * _N + c[3:]
-            out += np.bincount((code * 2654435761 >> 7) % DIMS, minlength=DIMS)
-    out /= max(1.0, out.sum())
-    out = np.sqrt(out)
-    for i, k in enumerate(("symbols", "upper", "pipes", "runs", "lines", "lower", "clean")):
-        out[i] = 2 * m.get(k, 0.0)
-    out[7] = min(2.0, m.get("variety", 0.0)) if m["n"] >= 50 else 1.0
-    return out
+            classes += np.bincount((code * 2654435761 >> 7) % SHAPES, minlength=SHAPES)
+            y = _LOWER[x]
+            code = (y[:-3] << 16) | (y[1:-2] << 8) | y[2:-1]
+            letters += np.bincount((code * 2654435761 >> 9) % LETTERS, minlength=LETTERS)
+    words, n = np.unique(word_hashes(data.lower()), return_counts=True)
+    if len(words):
+        often = np.minimum(31, np.log2(n.sum() / n).astype(np.int64) * 2 + (n > 1))
+        place = np.concatenate([(words >> np.uint64(20)).astype(np.int64) % (TERMS - 32) + 32, often])
+        terms += np.bincount(place, weights=np.concatenate([n, n]), minlength=TERMS)
+    return np.concatenate([np.sqrt(v / (v.sum() + FEW)) for v in (classes, letters, terms)])
 
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, steps: int = 400, decay: float = 1e-4) -> np.ndarray:
@@ -171,8 +186,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[float, np.ndarray, n
     counts = [(digits(r.p), r.n) for r in seen.groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()]
     share, logs = fit_labellers(counts)
 
-    # The sample: hashes up to the one that leaves about fit_rows, half from patterns that look bad so that both
-    # classes are in it; what is collected is bounded by limit().
+    # The sample: the smallest hashes, half from patterns that look bad so that both classes are in it; equal rows
+    # have one hash and count once, so that what is collected is bounded.
     post = {p: q for (p, _), q in zip(counts, posterior(np.array([p for p, _ in counts]), share, logs))} if counts else {}
     bad = [sum(v * 3**i for i, v in enumerate(p)) for p, q in post.items() if q < 0.5]
     chosen = None
@@ -183,17 +198,19 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[float, np.ndarray, n
     @F.pandas_udf("struct<x: binary, p: array<int>>")
     def featured(texts: pd.Series) -> pd.DataFrame:
         ms = [measures(t) for t in texts]
-        return pd.DataFrame({"x": [features(t, m).astype("<f4").tobytes() for t, m in zip(texts, ms)], "p": [list(votes(m)) for m in ms]})
+        return pd.DataFrame({"x": [features(t).astype("<f2").tobytes() for t in texts], "p": [list(votes(m)) for m in ms]})
 
     hashes = F.broadcast(chosen)  # at most fit_rows longs
     rows = (
-        docs.withColumn("h", F.xxhash64("doc_id", "text")).join(hashes, "h", "left_semi")
-        .select("h", featured("text").alias("f")).select("h", "f.x", "f.p").limit(2 * fit_rows).collect()
+        docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").join(hashes, "h", "left_semi").dropDuplicates(["h"])
+        .select("h", featured("text").alias("f")).select("h", "f.x", "f.p").collect()  # one row a hash
     )
     rows.sort(key=lambda r: r.h)
-    x = np.frombuffer(b"".join(r.x for r in rows), dtype="<f4").reshape(-1, DIMS)
+    x = np.frombuffer(b"".join(r.x for r in rows), dtype="<f2").astype("f4").reshape(-1, DIMS)
     y = posterior(np.array([r.p for r in rows]), share, logs) if rows else np.zeros(0)
-    return share, logs, fit_scorer(x, y)
+    w = fit_scorer(x, y)
+    w[-1] += np.log(share / (1 - share))  # both classes weigh the same in the fit, but not in the corpus
+    return share, logs, w
 
 
 def classified(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
@@ -208,7 +225,7 @@ def classified(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5
     def score(texts: pd.Series) -> pd.DataFrame:
         ms = [measures(t) for t in texts]
         post = posterior(np.array([votes(m) for m in ms]), share, logs) if len(ms) else np.zeros(0)
-        z = np.array([features(t, m) @ w[:-1] + w[-1] for t, m in zip(texts, ms)], dtype=float)
+        z = np.array([features(t) @ w[:-1] + w[-1] for t in texts], dtype=float)
         return pd.DataFrame({"label_posterior": post, "quality_score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
 
     names = ("label_posterior", "quality_score", "kept")
