@@ -213,13 +213,9 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[float, np.ndarray, n
     return share, logs, w
 
 
-def classified(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with label_posterior (of the votes), quality_score (of the scorer) and kept (score >= threshold).
-
-    Null and empty texts have no words: the one vote they get is bad, and they are scored like any other. An empty
-    table gives no rows. Repeated rows get equal scores. Columns of ``docs`` with one of the new names are replaced.
-    """
-    share, logs, w = fit(docs, fit_rows)
+def scored(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:
+    """``docs`` with label_posterior (of the votes) and quality_score (of the scorer), by what ``fit`` found."""
+    share, logs, w = model
 
     @F.pandas_udf("label_posterior double, quality_score double")
     def score(texts: pd.Series) -> pd.DataFrame:
@@ -228,7 +224,14 @@ def classified(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5
         z = np.array([features(t) @ w[:-1] + w[-1] for t in texts], dtype=float)
         return pd.DataFrame({"label_posterior": post, "quality_score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
 
-    names = ("label_posterior", "quality_score", "kept")
-    own = [c for c in docs.columns if c not in names]
-    out = docs.select(*own, score("text").alias("scored text")).select(*own, "`scored text`.*")
-    return out.withColumn("kept", F.col("quality_score") >= F.lit(threshold))
+    own = [c for c in docs.columns if c not in ("label_posterior", "quality_score", "kept")]
+    return docs.select(*own, score("text").alias("scored text")).select(*own, "`scored text`.*")
+
+
+def classified(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
+    """``docs`` with label_posterior (of the votes), quality_score (of the scorer) and kept (score >= threshold).
+
+    Null and empty texts have no words: the one vote they get is bad, and they are scored like any other. An empty
+    table gives no rows. Repeated rows get equal scores. Columns of ``docs`` with one of the new names are replaced.
+    """
+    return scored(docs, fit(docs, fit_rows)).withColumn("kept", F.col("quality_score") >= F.lit(threshold))

@@ -6,20 +6,23 @@ bits and 3 differences that means: two segments alike, and of the next three at
 fingerprint is filed under 8 starts x 3 segments that may differ = 24 keys of 32 bits, and no link is lost. Candidates
 that share a key must hold the chain's other budgets before the full Hamming check: some start's chain does.
 
-Wide fingerprints are filed under runs of three like segments, one run from every segment on. Such keys ask for more
-than the ring's budget promises, so they may miss links, and a pair that shares one is decided by all its bits.
-
-``similar`` (the pipeline) asks for the similarity of the shingle sets themselves, which fingerprints only estimate and
-repeated passages distort. Its candidates share a band of three MinHashes, and each link is decided by both whole sets.
+``similar`` (the pipeline) asks for a Jaccard similarity of the sets of shingles, 0.8 or more. There a fingerprint has
+1,024 bits, each distinct shingle counts once, and two such sets differ in some 155 bits. A ring of 256 segments of 4
+bits then promises chains that are too common to be looked up, so keys ask for more than the budget: a chain whose
+first segments, as many as the number of documents calls for, are alike. Several rings, which visit the segments by
+different steps, give so many starts that a pair at 0.8 shares one but for one in fifty. The chain's next 16 segments
+travel with the key and must hold the budgets; what is left is decided by all bits and then by both whole sets.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +33,18 @@ from packetlens.llm.common import components, durable, grouped, in_blocks, spann
 BLOCK = 512
 #: Smallest members that each class is compared with at first.
 NEAREST = 3
-#: MinHashes of a shingle set and of a band. 21 bands miss (1 - 0.8 ** 3) ** 21, 3 in 10 million, of pairs of similarity 0.8.
-HASHES, BAND = 63, 3
-#: Like MinHashes from which on two sets are compared; 0.8 gives 50, 3.2 either way.
-LIKE = 30
+#: Fingerprints of shingle sets: bits, segments of 4 bits, and differing bits up to which two sets are compared: far
+#: beyond the 155 of similarity 0.8, 12 either way, and the 192 of sets of four and five shingles.
+WIDE, SEGMENTS, MOST = 1024, 256, 230
+#: Share of bits in which sets of similarity 0.8 differ, and of such pairs those that may share no key.
+DIFFERENT, MISSED = 0.1515, 0.02
+#: Segments of a chain that follow its key.
+FOLLOW = 16
+#: Sets of fewer shingles, whose fingerprints differ more, are filed under twice as many keys.
+FEW = 40
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
-_XOR, _TIMES = np.random.default_rng(42).integers(0, 1 << 64, (2, HASHES), dtype=np.uint64) | np.uint64(1)
-
-
 def shingle_hashes(text: str | None, words: int, block: int = 1 << 20) -> Iterator[np.ndarray]:
     """XXH64 (seed 42) of the word shingles of the lower-cased text, as 8-byte rows, in blocks of bounded size."""
     digest = functools.partial(xxhash.xxh64_digest, seed=42)
@@ -74,11 +79,11 @@ def widened(h: np.ndarray, lanes: int) -> np.ndarray:
     return out.astype(">u8").view(np.uint8).reshape(len(h), -1)
 
 
-def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> bytes:
-    """A bit is 1 if it is set in over half of the shingle hashes. No shingle: all zero."""
+def majority(blocks: Iterator[np.ndarray], bits: int) -> bytes:
+    """A bit is 1 if it is set in over half of the hashes (8-byte rows, in blocks). No hash: all zero."""
     width, ones, n = bits // 8, np.zeros(bits, dtype=np.int64), 0
-    for h in shingle_hashes(text, words):
-        for part in np.array_split(h, max(1, len(h) * width >> 22)):
+    for h in blocks:
+        for part in np.array_split(h, max(1, len(h) * width >> 22)) if len(h) else ():
             part, n = widened(part, bits // 64), n + len(part)
             if len(part) < 48:
                 ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
@@ -87,6 +92,11 @@ def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> bytes:
     return np.packbits(2 * ones > n).tobytes() if n else bytes(width)
 
 
+def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> bytes:
+    """Majority of the text's shingle hashes, repeats counted."""
+    return majority(shingle_hashes(text, words), bits)
+
+
 def fingerprint_column(text: Column | str, words: int = 3, bits: int = 64) -> Column:
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
@@ -95,25 +105,16 @@ def fingerprint_column(text: Column | str, words: int = 3, bits: int = 64) -> Co
     return of(text)
 
 
-def complete(bits: int, most: int) -> bool:
-    """Whether the 24 keys of the module's text lose no pair."""
-    return bits == 64 and most <= 3
-
-
-def ring_keys(fps: np.ndarray, most: int) -> np.ndarray:
-    """Keys (slot << 32 | value) of each row of fingerprint bytes; slot // 3 or slot is the chain's start."""
-    n, m = fps.shape
-    f = fps.astype(np.int64)
+def ring_keys(fps: np.ndarray) -> np.ndarray:
+    """The 24 keys (slot << 32 | value) of each row of 8 bytes; slot // 3 is the chain's start."""
+    f, m = fps.astype(np.int64), fps.shape[1]
     at = lambda i: f[:, i % m]
     keys = []
     for i in range(m):
-        if complete(8 * m, most):
-            tail = [i + 2, i + 3, i + 4]
-            for skip in range(3):
-                a, b = (x for k, x in enumerate(tail) if k != skip)
-                keys.append(((3 * i + skip) << 32) | (at(i) << 24 | at(i + 1) << 16 | at(a) << 8 | at(b)))
-        else:
-            keys.append((i << 32) | (at(i) << 16 | at(i + 1) << 8 | at(i + 2)))
+        tail = [i + 2, i + 3, i + 4]
+        for skip in range(3):
+            a, b = (x for k, x in enumerate(tail) if k != skip)
+            keys.append(((3 * i + skip) << 32) | (at(i) << 24 | at(i + 1) << 16 | at(a) << 8 | at(b)))
     return np.stack(keys, axis=1)
 
 
@@ -121,7 +122,7 @@ def chain_linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Which rows of a, b, fingerprint bytes from a chain's start on, hold the chain's budgets and the full check."""
     m = a.shape[1]
     ok, done, run = np.arange(len(a)), 0, np.zeros(len(a), dtype=np.int32)
-    for length in sorted({x for x in (3, 4, 5, 6, 7, 8, 16, 32) if x < m} | {m}):
+    for length in range(3, m + 1):
         run = run + np.bitwise_count(a[ok, done:length] ^ b[ok, done:length]).sum(axis=1, dtype=np.int32)
         keep = run <= length * most // m
         ok, run, done = ok[keep], run[keep], length
@@ -132,58 +133,38 @@ def chain_linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def within(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Which rows of a, b differ in ``most`` bits or fewer."""
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32) <= most
-
-
-def _start(key: np.ndarray | int, bits: int, most: int):
-    slot = key >> 32
-    return slot // 3 if complete(bits, most) else slot
-
-
 def _matrix(fps: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(fps), dtype=np.uint8).reshape(len(fps), -1)
 
 
-def links(classes: DataFrame, bits: int, most: int) -> DataFrame:
-    """Edges (u, v) that connect ``classes`` (rep long, fp binary, distinct) as all links within ``most`` bits do.
+def links(classes: DataFrame, most: int = 3) -> DataFrame:
+    """Edges (u, v) that connect ``classes`` (rep long, fp binary of 8 bytes, distinct) as all links within ``most`` do.
 
-    First each class is compared with the smallest members of its buckets; of a wide fingerprint's many, with those
-    NEAREST it shares most keys with. Then only buckets that hold members of different components are compared,
-    members of one component left out, in blocks of bounded size of which a spanning forest leaves. A large group of
-    near copies so costs about its own size, not its square, and whatever the first pass finds, the two together
-    connect exactly what all pairs that share a key would; for 64 bits and 3 differences that is all pairs.
+    First each class is compared with the smallest members of its buckets. Then only buckets that hold members of
+    different components are compared, members of one component left out, in blocks of bounded size of which a
+    spanning forest leaves. A large group of near copies so costs about its own size, not its square, and whatever
+    the first pass finds, the two together connect exactly what all pairs would. ``most`` is 3 or fewer.
     """
 
     @F.pandas_udf("array<bigint>")
     def keys_of(fps: pd.Series) -> pd.Series:
-        return pd.Series(list(ring_keys(_matrix(fps), most)) if len(fps) else [], dtype=object)
+        return pd.Series(list(ring_keys(_matrix(fps))) if len(fps) else [], dtype=object)
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series, key: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=bool)
-        if not complete(bits, most):
-            return pd.Series(within(_matrix(a), _matrix(b), most))
-        m = bits // 8
-        turn = (_start(key.to_numpy(), bits, most)[:, None] + np.arange(m)[None, :]) % m
+        turn = ((key.to_numpy() >> 32)[:, None] // 3 + np.arange(8)[None, :]) % 8
         x, y = (np.take_along_axis(_matrix(s), turn, axis=1) for s in (a, b))
         return pd.Series(chain_linked(x, y, most))
 
     def block(g: pd.DataFrame) -> pd.DataFrame | None:
-        f, holds = _matrix(g["fp"]), within
-        if complete(bits, most):
-            f, holds = np.roll(f, -int(_start(int(g["key"].iat[0]), bits, most)), axis=1), chain_linked
-        root, my = g["root"].to_numpy(), g["my"].to_numpy()
-        apart = np.triu(root[:, None] != root[None, :], 1)
-        if g["pa"].iat[0] != g["pb"].iat[0]:
-            apart &= my[:, None] != my[None, :]
-        i, j = np.nonzero(apart)
+        f = np.roll(_matrix(g["fp"]), -((int(g["key"].iat[0]) >> 32) // 3), axis=1)
+        i, j = apart(g)
         adj = np.zeros((len(g), len(g)), dtype=bool)
         for lo in range(0, len(i), 1 << 13):
             a, b = i[lo : lo + (1 << 13)], j[lo : lo + (1 << 13)]
-            hit = holds(f[a], f[b], most)
+            hit = chain_linked(f[a], f[b], most)
             adj[a[hit], b[hit]] = True
         u, v = spanning(adj, g["rep"].to_numpy())
         return pd.DataFrame({"u": u, "v": v})
@@ -192,46 +173,40 @@ def links(classes: DataFrame, bits: int, most: int) -> DataFrame:
     buckets = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u")).where("n > 1"))
     members = durable(keyed.join(buckets, "key"))
     pairs = members.where("rep <> u").select(F.col("u").alias("p"), F.col("rep").alias("q"), "key").groupBy("p", "q").agg(F.collect_set("key").alias("keys"))
-    all_tried = complete(bits, most)
-    if not all_tried:
-        # a class has at most as many such pairs as keys
-        listed = pairs.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.size("keys")).alias("order"), "p", "keys"))).alias("found"))
-        pairs = durable(
-            listed.select("q", F.posexplode("found").alias("place", "x"))
-            .select("q", F.col("x.p").alias("p"), "x.keys", (F.col("place") < NEAREST).alias("tried"))
-        )
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("fp").alias(f"fp_{x}"))
     stars = durable(
-        (pairs if all_tried else pairs.where("tried")).join(side("p"), "p").join(side("q"), "q")
-        .select("p", "q", "fp_p", "fp_q", F.explode("keys").alias("key"))
+        pairs.join(side("p"), "p").join(side("q"), "q").select("p", "q", "fp_p", "fp_q", F.explode("keys").alias("key"))
         .where(linked("fp_p", "fp_q", "key")).select(F.col("p").alias("u"), F.col("q").alias("v")).distinct()
     )
     roots = components(stars)
     rooted = durable(classes.join(roots, classes.rep == roots.node, "left").select("rep", "fp", F.coalesce("root", "rep").alias("root")))
-    # the pair of a bucket of two that was tried need not be compared again
-    if all_tried:
-        named = members.where("n > 2").select("key", "n", "rep").join(rooted.select("rep", "root"), "rep")
-        open_ = durable(named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"))
-        left = named.join(open_, "key").join(rooted.select("rep", "fp"), "rep")
-    else:
-        root_of = lambda x: rooted.select(F.col("rep").alias(x), F.col("root").alias(f"root_{x}"))
-        apart = pairs.join(root_of("p"), "p").join(root_of("q"), "q").where("root_p <> root_q")
-        open_ = durable(apart.select(F.explode("keys").alias("key"), "tried").groupBy("key").agg(F.bool_and("tried").alias("tried")))
-        left = members.join(open_, "key").where("n > 2 or not tried").select("key", "n", "rep").join(rooted, "rep")
+    # the pair of a bucket of two was tried and need not be compared again
+    named = members.where("n > 2").select("key", "n", "rep").join(rooted.select("rep", "root"), "rep")
+    open_ = durable(named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"))
+    left = named.join(open_, "key").join(rooted.select("rep", "fp"), "rep")
     more = grouped(in_blocks(left, "key", "n", F.col("rep"), BLOCK), ["key", "pa", "pb"], block, "u long, v long")
     return stars.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, most: int = 3) -> DataFrame:
+def apart(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block's rows that have different roots and meet nowhere else."""
+    root, my = g["root"].to_numpy(), g["my"].to_numpy()
+    wanted = np.triu(root[:, None] != root[None, :], 1)
+    if g["pa"].iat[0] != g["pb"].iat[0]:
+        wanted &= my[:, None] != my[None, :]
+    return np.nonzero(wanted)
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (binary), component_id (the smallest doc_id reachable by links).
 
     Null texts count as empty; the empty fingerprint is all zero and links like any other. Repeated rows give
     repeated rows. A null doc_id never is a component's id: such a row gets the component of its fingerprint, or null
     if no row with an id holds it. Columns besides doc_id and text are not read. An empty table gives no rows.
     """
-    rows = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), words, bits).alias("fp")))
+    rows = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), words).alias("fp")))
     classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    roots = components(links(classes, bits, most))
+    roots = components(links(classes, most))
     named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return rows.join(durable(named), "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -242,23 +217,45 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """MinHashes of a shingle set."""
-    least = np.full(HASHES, (1 << 64) - 1, dtype=np.uint64)
-    for lo in range(0, len(shingles), 1 << 13):
-        x = shingles[lo : lo + (1 << 13), None]
-        least = np.minimum(least, ((x ^ _XOR) * _TIMES).min(axis=0))
-    return (least >> np.uint64(32)).astype(np.uint32)
+def set_fingerprint(shingles: np.ndarray) -> bytes:
+    return majority(iter([shingles.astype(">u8").view(np.uint8).reshape(-1, 8)]), WIDE)
 
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
-    """A key for each band of each row of MinHashes."""
-    x = sketches.reshape(len(sketches), -1, BAND).astype(np.uint64)
-    out = np.zeros(x.shape[:2], dtype=np.uint64) + np.arange(x.shape[1], dtype=np.uint64)[None, :] * _ODD[0]
-    for k in range(BAND):
-        out = (out ^ x[:, :, k]) * _ODD[1]
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+def segments_alike(count: int) -> int:
+    """Segments that a chain's key holds: so many that unlike documents fill a key's bucket with one at most."""
+    return max(5, -(-max(1, count - 1).bit_length() // 4))
+
+
+def chains(alike: int) -> np.ndarray:
+    """Segments of each chain in order, key first. Each ring steps through all segments; its chains' keys are disjoint."""
+    need = 2 * math.ceil(-math.log(MISSED) / (1 - DIFFERENT) ** (4 * alike))
+    per_ring = SEGMENTS // alike
+    slot = np.arange(need)
+    step = 1 + 36 * (slot // per_ring) % SEGMENTS | 1  # odd: a step visits every segment
+    start = slot % per_ring * alike + slot // per_ring // 64
+    return ((start[:, None] + np.arange(alike + FOLLOW)[None, :]) * step[:, None]) % SEGMENTS
+
+
+def filed(fps: np.ndarray, alike: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (slot and its first segments) and the segments that follow, of each row of fingerprint bytes and chain."""
+    nibbles = np.empty((len(fps), SEGMENTS), dtype=np.uint64)
+    nibbles[:, ::2], nibbles[:, 1::2] = fps >> 4, fps & 15
+    key = np.zeros((len(fps), len(slots)), dtype=np.uint64) + np.arange(len(slots), dtype=np.uint64)
+    chain = np.zeros_like(key)
+    for k in range(slots.shape[1]):
+        part = key if k < alike else chain
+        part <<= np.uint64(4)
+        part |= nibbles[:, slots[:, k]]
+    return key.view(np.int64), chain.view(np.int64)
+
+
+def budgets(alike: int) -> list[tuple[int, int]]:
+    """(mask, most): bits of a chain's following segments, and how many of them may differ."""
+    return [(((1 << 4 * k) - 1) << 4 * (FOLLOW - k), (alike + k) * MOST // SEGMENTS) for k in (4, 8, FOLLOW)]
+
+
+def hamming(a: pd.Series, b: pd.Series) -> np.ndarray:
+    return np.bitwise_count(_matrix(a) ^ _matrix(b)).sum(axis=1, dtype=np.int32)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -267,23 +264,29 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _sketches(s: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(s), dtype=np.uint32).reshape(len(s), HASHES)
-
-
 def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Edges (u, v) that connect ``classes`` (rep long, sketch binary) as all links of similarity ``least`` do.
+    """Edges (u, v) that connect ``classes`` (rep long, fp binary, n shingles) as links of similarity ``least`` do.
 
-    texts: rep, text. The passes are those of ``links``; only texts of pairs with like sketches are cut to shingles.
+    texts: rep, text. The passes are those of ``links``, but of a class's many pairs with bucket minima only those
+    NEAREST with most common keys are tried first. Only texts of pairs that hold the budgets and are within MOST bits
+    are cut to shingles.
     """
-
-    @F.pandas_udf("array<bigint>")
-    def keys_of(x: pd.Series) -> pd.Series:
-        return pd.Series(list(band_keys(_sketches(x))) if len(x) else [], dtype=object)
+    alike = segments_alike(classes.count())
+    slots = chains(alike)
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reps, fps, n = (b.column(k) for k in range(3))
+            reps, n = reps.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False)
+            fps = np.frombuffer(b"".join(fps.to_pylist()), dtype=np.uint8).reshape(len(reps), WIDE // 8)
+            for rows, used in ((n >= FEW, slots[: len(slots) // 2]), (n < FEW, slots)):
+                if rows.any():
+                    key, chain = filed(fps[rows], alike, used)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(reps[rows], len(used))), pa.array(key.ravel()), pa.array(chain.ravel())], ["rep", "key", "chain"])
 
     @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series((_sketches(a) == _sketches(b)).sum(axis=1) >= LIKE if len(a) else [], dtype=bool)
+    def near_enough(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(hamming(a, b) <= MOST if len(a) else [], dtype=bool)
 
     @F.pandas_udf("binary")
     def set_of(x: pd.Series) -> pd.Series:
@@ -297,34 +300,40 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
     def sets_of(reps: DataFrame) -> DataFrame:
         return durable(texts.join(reps.select("rep").distinct(), "rep", "left_semi").select("rep", set_of("text").alias("shingles")))
 
-    def apart_alike(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        f, root, my = _sketches(g["sketch"]), g["root"].to_numpy(), g["my"].to_numpy()
-        apart = np.triu(root[:, None] != root[None, :], 1)
-        if g["pa"].iat[0] != g["pb"].iat[0]:
-            apart &= my[:, None] != my[None, :]
-        i, j = np.nonzero(apart)
-        hit = [(f[i[lo : lo + (1 << 13)]] == f[j[lo : lo + (1 << 13)]]).sum(axis=1) >= LIKE for lo in range(0, len(i), 1 << 13)]
-        hit = np.concatenate(hit) if hit else np.zeros(0, dtype=bool)
-        return i[hit], j[hit]
+    def holding(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        chain = g["chain"].to_numpy().astype(np.uint64)
+        i, j = apart(g)
+        for mask, most in budgets(alike):
+            ok = np.bitwise_count((chain[i] ^ chain[j]) & np.uint64(mask)) <= most
+            i, j = i[ok], j[ok]
+        return i, j
 
     def candidates(g: pd.DataFrame) -> pd.DataFrame | None:
-        i, j = apart_alike(g)
+        i, j = holding(g)
         return g.iloc[np.unique(np.concatenate([i, j]))] if len(i) else None
 
     def block(g: pd.DataFrame) -> pd.DataFrame | None:
         sets, rep, label = [np.frombuffer(x, dtype=np.uint64) for x in g["shingles"]], g["rep"].to_numpy(), g["root"].to_numpy().copy()
+        i, j = holding(g)
+        f = _matrix(g["fp"])
+        ok = np.concatenate([np.bitwise_count(f[i[k : k + (1 << 13)]] ^ f[j[k : k + (1 << 13)]]).sum(axis=1) <= MOST for k in range(0, len(i), 1 << 13)] or [np.zeros(0, dtype=bool)])
         u, v = [], []
-        for a, b in zip(*apart_alike(g)):
+        for a, b in zip(i[ok], j[ok]):
             if label[a] != label[b] and jaccard(sets[a], sets[b]) >= least:
                 label[label == label[b]] = label[a]
                 u.append(rep[a])
                 v.append(rep[b])
         return pd.DataFrame({"u": u, "v": v}, dtype="int64")
 
-    keyed = classes.select("rep", F.explode(keys_of("sketch")).alias("key"))
-    buckets = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u")).where("n > 1"))
-    members = durable(keyed.join(buckets, "key"))
-    pairs = members.where("rep <> u").select(F.col("u").alias("p"), F.col("rep").alias("q"), "key").groupBy("p", "q").agg(F.collect_set("key").alias("keys"))
+    keyed = classes.select("rep", "fp", "n").mapInArrow(keys_of, "rep long, key long, chain long")
+    buckets = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u"), F.min_by("chain", "rep").alias("c")).where("n > 1"))
+    holds = F.lit(True)
+    for mask, most in budgets(alike):
+        mask = mask - (1 << 64) if mask >> 63 else mask
+        holds = holds & (F.bit_count(F.col("c").bitwiseXOR(F.col("chain")).bitwiseAND(F.lit(mask))) <= most)
+    members = durable(keyed.join(buckets, "key").select("key", "n", "rep", "chain", "u", ((F.col("rep") != F.col("u")) & holds).alias("holds")))
+    pairs = members.where("holds").select(F.col("u").alias("p"), F.col("rep").alias("q"), "key").groupBy("p", "q").agg(F.collect_set("key").alias("keys"))
+    # a class has at most as many such pairs as keys
     listed = pairs.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.size("keys")).alias("order"), "p", "keys"))).alias("found"))
     pairs = durable(
         listed.select("q", F.posexplode("found").alias("place", "x"))
@@ -332,8 +341,8 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
     )
     side = lambda df, col, x: df.select(F.col("rep").alias(x), F.col(col).alias(f"{col}_{x}"))
     near = durable(
-        pairs.where("tried").select("p", "q").join(side(classes, "sketch", "p"), "p").join(side(classes, "sketch", "q"), "q")
-        .where(alike("sketch_p", "sketch_q")).select("p", "q").distinct()
+        pairs.where("tried").select("p", "q").join(side(classes, "fp", "p"), "p").join(side(classes, "fp", "q"), "q")
+        .where(near_enough("fp_p", "fp_q")).select("p", "q")
     )
     sets = sets_of(near.select(F.col("p").alias("rep")).union(near.select("q")))
     stars = durable(
@@ -341,32 +350,34 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
         .where(linked("shingles_p", "shingles_q")).select(F.col("p").alias("u"), F.col("q").alias("v")).distinct()
     )
     roots = components(stars)
-    rooted = durable(classes.join(roots, classes.rep == roots.node, "left").select("rep", "sketch", F.coalesce("root", "rep").alias("root")))
-    # the pair of a bucket of two that was tried need not be compared again
-    tried = durable(pairs.select(F.explode("keys").alias("key"), "tried").groupBy("key").agg(F.bool_and("tried").alias("tried")))
-    left = members.join(tried, "key").where("n > 2 or not tried").select("key", "n", "rep").join(rooted.select("rep", "root"), "rep")
+    rooted = durable(classes.join(roots, classes.rep == roots.node, "left").select("rep", F.coalesce("root", "rep").alias("root")))
+    # a bucket of two whose pair was tried, or does not hold the budgets, need not be compared again
+    untried = durable(pairs.where("not tried").select(F.explode("keys").alias("key")).distinct())
+    left = members.where("n > 2").select("key", "n", "rep", "chain").unionByName(members.where("n = 2").join(untried, "key", "left_semi").select("key", "n", "rep", "chain"))
+    left = durable(left.join(rooted, "rep"))
     open_ = durable(left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"))
-    left = left.join(open_, "key").join(rooted.select("rep", "sketch"), "rep")
-    dealt = in_blocks(left, "key", "n", F.col("rep"), BLOCK).select("key", "pa", "pb", "rep", "root", "my", "sketch")
-    rest = durable(grouped(dealt, ["key", "pa", "pb"], candidates, "key long, pa int, pb int, rep long, root long, my int, sketch binary"))
-    return stars.unionByName(grouped(rest.join(sets_of(rest), "rep"), ["key", "pa", "pb"], block, "u long, v long"))
+    dealt = in_blocks(left.join(open_, "key"), "key", "n", F.col("rep"), BLOCK).select("key", "pa", "pb", "rep", "root", "my", "chain")
+    rest = durable(grouped(dealt, ["key", "pa", "pb"], candidates, "key long, pa int, pb int, rep long, root long, my int, chain long"))
+    whole = rest.join(sets_of(rest), "rep").join(classes.select("rep", "fp"), "rep")
+    return stars.unionByName(grouped(whole, ["key", "pa", "pb"], block, "u long, v long"))
 
 
 def similar(docs: DataFrame, words: int, least: float) -> DataFrame:
     """One row per row of ``docs``: doc_id, component_id (the smallest doc_id reachable by links).
 
-    Linked are texts whose sets of word shingles have a Jaccard similarity of ``least`` (0.8 or more) or more; the
-    rest is as in ``near_duplicates``.
+    Linked are texts whose sets of word shingles have a Jaccard similarity of ``least`` (0.8 or more) or more, as far
+    as their fingerprints share a key: at 0.8 all but one in fifty, nearer texts hardly ever miss. The rest is as in
+    ``near_duplicates``.
     """
 
-    @F.pandas_udf("sketch binary, content binary")
+    @F.pandas_udf("fp binary, content binary, n int")
     def described(x: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, words) for t in x]
-        return pd.DataFrame({"sketch": [sketch(s).tobytes() for s in sets], "content": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]}, dtype=object)
+        return pd.DataFrame({"fp": [set_fingerprint(s) for s in sets], "content": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets]})
 
     key = F.col("doc_id").cast("long")
-    rows = durable(docs.select(key.alias("doc_id"), described(F.col("text")).alias("x")).select("doc_id", "x.sketch", "x.content"))
-    classes = durable(rows.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).where("rep is not null"))
+    rows = durable(docs.select(key.alias("doc_id"), described(F.col("text")).alias("x")).select("doc_id", "x.*"))
+    classes = durable(rows.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n")).where("rep is not null"))
     roots = components(similar_links(classes, docs.select(key.alias("rep"), "text"), words, least))
     named = classes.join(roots, classes.rep == roots.node, "left").select("content", F.coalesce("root", "rep").alias("component_id"))
     return rows.select("doc_id", "content").join(durable(named), "content", "left").select("doc_id", "component_id")

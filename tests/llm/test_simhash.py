@@ -61,7 +61,7 @@ def test_keys_lose_no_link(spark, monkeypatch, block):
     values += [center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(120)]
     values = list(dict.fromkeys(values))
     df = spark.createDataFrame([(k, bytearray(v.to_bytes(8, "big"))) for k, v in enumerate(values)], "rep long, fp binary")
-    roots = {r.node: r.root for r in common.components(simhash.links(df, 64, 3)).collect()}
+    roots = {r.node: r.root for r in common.components(simhash.links(df, 3)).collect()}
     want = slow_components(list(enumerate(values)), 3)
     assert {k: roots.get(k, k) for k in want} == want
 
@@ -72,29 +72,31 @@ def test_every_near_pair_shares_a_key():
     b = np.unpackbits(a, axis=1)
     for row in b:
         row[rng.choice(64, rng.integers(0, 4), replace=False)] ^= 1
-    ka, kb = simhash.ring_keys(a, 3), simhash.ring_keys(np.packbits(b, axis=1), 3)
+    ka, kb = simhash.ring_keys(a), simhash.ring_keys(np.packbits(b, axis=1))
     assert (ka == kb).any(axis=1).all()
 
 
-def test_wide_fingerprints_have_a_key_at_every_start():
-    rng = np.random.default_rng(1)
-    a = rng.integers(0, 256, (1, 128), dtype=np.uint8)
-    for start in range(128):
-        b = ~a
-        at = (start + np.arange(3)) % 128
-        b[:, at] = a[:, at]
-        assert (simhash.ring_keys(a, 166) == simhash.ring_keys(b, 166)).any()
+def test_chains_are_walks_round_rings():
+    for count in (0, 1, 1 << 18, 1 << 22, 1 << 30, 1 << 35):
+        alike = simhash.segments_alike(count)
+        assert count <= 1 << 4 * alike
+        slots = simhash.chains(alike)
+        assert slots.shape[1] == alike + simhash.FOLLOW and all(len(set(x)) == len(x) for x in slots.tolist())
+        assert len({frozenset(x[:alike]) for x in slots.tolist()}) == len(slots)
 
 
-def test_wide_pairs_are_decided_by_all_bits(spark):
-    a = np.zeros((1, 128), dtype=np.uint8)
-    b = a.copy()
-    b[0, 10:26] = 255  # the only shared keys start before or behind a cluster of 128 differing bits
-    b[0, [k for k in range(128) if k % 3 == 2 and not 10 <= k < 26]] = 1
-    b[0, 5] = 0
-    assert np.bitwise_count(a ^ b).sum() <= 166 and (simhash.ring_keys(a, 166) == simhash.ring_keys(b, 166)).any()
-    df = spark.createDataFrame([(1, bytearray(a.tobytes())), (2, bytearray(b.tobytes()))], "rep long, fp binary")
-    assert {(r.u, r.v) for r in simhash.links(df, 1024, 166).select("u", "v").collect()} == {(1, 2)}
+def test_keys_and_budgets_against_brute_force():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 256, (4, simhash.WIDE // 8), dtype=np.uint8)
+    slots = simhash.chains(5)[:50]
+    key, chain = simhash.filed(fps, 5, slots)
+    for r in range(4):
+        digits = fps[r].tobytes().hex()
+        for k in range(50):
+            walk = "".join(digits[i] for i in slots[k])
+            assert key[r, k] == (k << 20) | int(walk[:5], 16) and chain.view(np.uint64)[r, k] == int(walk[5:], 16)
+    for (mask, most), follow in zip(simhash.budgets(5), (4, 8, 16)):
+        assert f"{mask:016x}" == "f" * follow + "0" * (16 - follow) and most == (5 + follow) * simhash.MOST // 256
 
 
 def test_odd_rows(odd_docs, no_docs):
@@ -108,22 +110,44 @@ def test_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-def test_wide_fingerprints_find_near_copies(spark):
-    rng = random.Random(6)
-    docs, want = [], {}
-    for k in range(150):
-        w = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 6))) for _ in range(300)]
-        docs.append((10 * k, " ".join(w)))
-        want[10 * k] = 10 * k
-        for j in range(k % 3):
-            v = list(w)
-            for at in rng.sample(range(300), 2):
-                v[at] = "changed"
-            docs.append((10 * k + 1 + j, " ".join(v)))
-            want[10 * k + 1 + j] = 10 * k
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5, 1024, 166).collect()}
-    assert np.mean([got[k] == v for k, v in want.items()]) > 0.97
-    assert all(v // 10 == k // 10 for k, v in got.items())
+def shingles_of(w):
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_similar_odd_rows(odd_docs, no_docs, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows = simhash.similar(odd_docs, 5, 0.8).collect()
+    assert len(rows) == odd_docs.count() and simhash.similar(no_docs, 5, 0.8).count() == 0
+    of = {}
+    for r in rows:
+        of.setdefault(r.doc_id, set()).add(r.component_id)
+    assert of[0] == of[1] == of[2] == {0} and of[111] == {111} and of[3] == {3}
+
+
+def test_recall_of_lone_pairs_by_similarity(spark):
+    """Pairs that only their own link can find, by bands of their exact similarity: nine of ten at least in each."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    docs, exact = [], {}
+    for k in range(900):
+        n = rng.choice([9, 12, 25, 60, 150, 400])
+        w = [word() for _ in range(n)]
+        v = list(w)
+        edits = rng.randint(1, max(1, n // 40))
+        if n < 60 or rng.random() < 0.4:  # at an end, in one stretch
+            v = v + [word() for _ in range(rng.randint(1, max(1, n // 5)))] if rng.random() < 0.5 else v[: n - rng.randint(1, max(1, n // 6))]
+        else:
+            for at in rng.sample(range(n), edits):
+                v[at] = word()
+        a, b = shingles_of(w), shingles_of(v)
+        exact[2 * k] = len(a & b) / len(a | b)
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string"), 5, 0.8).collect()}
+    for lo, hi in ((0.8, 0.825), (0.825, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        band = [k for k, j in exact.items() if lo <= j < hi]
+        assert len(band) > 30 and np.mean([got[k + 1] == k for k in band]) >= 0.9, (lo, len(band))
+    assert all(got[k + 1] == k + 1 for k, j in exact.items() if j < 0.8)
 
 
 @pytest.mark.parametrize("block", [512, 8])
@@ -144,7 +168,7 @@ def test_similar_texts_are_those_of_all_pairs(spark, monkeypatch, block):
     common = [word() for _ in range(120)]
     texts += [common + [word() for _ in range(rng.randint(0, 60))] for _ in range(80)]  # near 0.8, on both sides
     texts = [" ".join(w) for w in texts]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    sets = [shingles_of(x.split()) for x in texts]
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
