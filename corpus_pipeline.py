@@ -38,8 +38,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in whole documents."""
-    mix = mixture.mixed(docs.select(*docs.columns))
+    """Each document as often as the mix takes it, in whole documents; weighted by the classifier's score.
+
+    The stages before it return the columns of documents only, so the classifier is fitted again, to all documents.
+    """
+    model = quality.fit(prepared(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+    mix = mixture.mixed(quality.scored(docs, model), weight=F.col("quality_score"), keep=docs.columns)
     return mix.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).where("copies > 0").select(*docs.columns)
 
 
