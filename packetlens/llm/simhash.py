@@ -9,7 +9,7 @@ that share a key must hold the chain's other budgets before the full Hamming che
 ``similar`` (the pipeline) asks for a Jaccard similarity of the sets of shingles, 0.8 or more. There a fingerprint has
 1,024 bits, each distinct shingle counts once, and two such sets differ in some 155 bits. A ring of 256 segments of 4
 bits then promises chains that are too common to be looked up, so keys ask for more than the budget: a chain whose
-first segments, as many as the number of documents calls for, are alike. Several rings, which visit the segments by
+first bits, as many as the number of documents calls for, are alike. Several rings, which visit the segments by
 different steps, give so many starts that a pair at 0.8 shares one but for one in fifty. The chain's next 16 segments
 travel with the key and must hold the budgets; what is left is decided by all bits and then by both whole sets.
 """
@@ -33,15 +33,19 @@ from packetlens.llm.common import components, durable, grouped, in_blocks, spann
 BLOCK = 512
 #: Smallest members that each class is compared with at first.
 NEAREST = 3
-#: Fingerprints of shingle sets: bits, segments of 4 bits, and differing bits up to which two sets are compared: far
-#: beyond the 155 of similarity 0.8, 12 either way, and the 192 of sets of four and five shingles.
+#: Fingerprints of shingle sets: bits, segments of 4 bits, and differing bits up to which a chain goes on.
 WIDE, SEGMENTS, MOST = 1024, 256, 230
+#: Differing bits up to which two sets are compared: similarity 0.8 gives 155, 12 either way; sets of four and of five
+#: shingles 192, so that pairs of sets of fewer than FEW are compared up to MOST.
+NEAR = 194
 #: Share of bits in which sets of similarity 0.8 differ, and of such pairs those that may share no key.
 DIFFERENT, MISSED = 0.1515, 0.02
 #: Segments of a chain that follow its key.
 FOLLOW = 16
 #: Sets of fewer shingles, whose fingerprints differ more, are filed under twice as many keys.
 FEW = 40
+#: Rows of a bucket that one task compares at once by their sets.
+SETS = 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
@@ -221,37 +225,47 @@ def set_fingerprint(shingles: np.ndarray) -> bytes:
     return majority(iter([shingles.astype(">u8").view(np.uint8).reshape(-1, 8)]), WIDE)
 
 
-def segments_alike(count: int) -> int:
-    """Segments that a chain's key holds: so many that unlike documents fill a key's bucket with one at most."""
-    return max(5, -(-max(1, count - 1).bit_length() // 4))
+def key_bits(count: int) -> int:
+    """Bits that a chain's key holds: so many that a class shares a bucket with an unlike one for one key in eight at most."""
+    return max(16, max(1, count - 1).bit_length() + 3)
 
 
-def chains(alike: int) -> np.ndarray:
-    """Segments of each chain in order, key first. Each ring steps through all segments; its chains' keys are disjoint."""
-    need = 2 * math.ceil(-math.log(MISSED) / (1 - DIFFERENT) ** (4 * alike))
+def chains(bits: int) -> np.ndarray:
+    """Segments of each chain in order, the key's first. Each ring steps through all segments; its chains' keys are disjoint."""
+    need, alike = 2 * math.ceil(-math.log(MISSED) / (1 - DIFFERENT) ** bits), -(-bits // 4)
     per_ring = SEGMENTS // alike
     slot = np.arange(need)
-    step = 1 + 36 * (slot // per_ring) % SEGMENTS | 1  # odd: a step visits every segment
-    start = slot % per_ring * alike + slot // per_ring // 64
+    ring = slot // per_ring
+    step = (1 + 36 * ring) % SEGMENTS | 1  # odd: a step visits every segment
+    start = slot % per_ring * alike + ring // 64
     return ((start[:, None] + np.arange(alike + FOLLOW)[None, :]) * step[:, None]) % SEGMENTS
 
 
-def filed(fps: np.ndarray, alike: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (slot and its first segments) and the segments that follow, of each row of fingerprint bytes and chain."""
+def filed(fps: np.ndarray, bits: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (slot and its first segments, the last one as far as ``bits`` go) and the segments that follow, of each row
+    of fingerprint bytes and chain."""
     nibbles = np.empty((len(fps), SEGMENTS), dtype=np.uint64)
     nibbles[:, ::2], nibbles[:, 1::2] = fps >> 4, fps & 15
     key = np.zeros((len(fps), len(slots)), dtype=np.uint64) + np.arange(len(slots), dtype=np.uint64)
     chain = np.zeros_like(key)
-    for k in range(slots.shape[1]):
-        part = key if k < alike else chain
-        part <<= np.uint64(4)
-        part |= nibbles[:, slots[:, k]]
+    for k in range(0, bits, 4):
+        width = np.uint64(min(4, bits - k))
+        key <<= width
+        key |= nibbles[:, slots[:, k // 4]] >> (np.uint64(4) - width)
+    for k in range(slots.shape[1] - FOLLOW, slots.shape[1]):
+        chain <<= np.uint64(4)
+        chain |= nibbles[:, slots[:, k]]
     return key.view(np.int64), chain.view(np.int64)
 
 
-def budgets(alike: int) -> list[tuple[int, int]]:
+def budgets(bits: int) -> list[tuple[int, int]]:
     """(mask, most): bits of a chain's following segments, and how many of them may differ."""
-    return [(((1 << 4 * k) - 1) << 4 * (FOLLOW - k), (alike + k) * MOST // SEGMENTS) for k in (4, 8, FOLLOW)]
+    return [(((1 << 4 * k) - 1) << 4 * (FOLLOW - k), (-(-bits // 4) + k) * MOST // SEGMENTS) for k in (4, 8, FOLLOW)]
+
+
+def limit(least_n: np.ndarray) -> np.ndarray:
+    """Differing bits up to which two sets are compared, by the size of the smaller one."""
+    return np.where(least_n < FEW, MOST, NEAR)
 
 
 def hamming(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -271,8 +285,8 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
     NEAREST with most common keys are tried first. Only texts of pairs that hold the budgets and are within MOST bits
     are cut to shingles.
     """
-    alike = segments_alike(classes.count())
-    slots = chains(alike)
+    bits = key_bits(classes.count())
+    slots = chains(bits)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -281,12 +295,12 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
             fps = np.frombuffer(b"".join(fps.to_pylist()), dtype=np.uint8).reshape(len(reps), WIDE // 8)
             for rows, used in ((n >= FEW, slots[: len(slots) // 2]), (n < FEW, slots)):
                 if rows.any():
-                    key, chain = filed(fps[rows], alike, used)
+                    key, chain = filed(fps[rows], bits, used)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(reps[rows], len(used))), pa.array(key.ravel()), pa.array(chain.ravel())], ["rep", "key", "chain"])
 
     @F.pandas_udf("boolean")
-    def near_enough(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(hamming(a, b) <= MOST if len(a) else [], dtype=bool)
+    def near_enough(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(hamming(a, b) <= limit(n.to_numpy()) if len(a) else [], dtype=bool)
 
     @F.pandas_udf("binary")
     def set_of(x: pd.Series) -> pd.Series:
@@ -300,25 +314,34 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
     def sets_of(reps: DataFrame) -> DataFrame:
         return durable(texts.join(reps.select("rep").distinct(), "rep", "left_semi").select("rep", set_of("text").alias("shingles")))
 
-    def holding(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        chain = g["chain"].to_numpy().astype(np.uint64)
+    def holds_budgets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.logical_and.reduce([np.bitwise_count((a ^ b).view(np.uint64) & np.uint64(mask)) <= most for mask, most in budgets(bits)])
+
+    def pairs_of(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs apart that hold the budgets here, are within the limit, and do not hold them under an earlier key."""
+        chain, f, n = g["chain"].to_numpy(), _matrix(g["fp"]), g["size"].to_numpy()
         i, j = apart(g)
-        for mask, most in budgets(alike):
-            ok = np.bitwise_count((chain[i] ^ chain[j]) & np.uint64(mask)) <= most
-            i, j = i[ok], j[ok]
-        return i, j
+        ok = holds_budgets(chain[i], chain[j])
+        i, j = i[ok], j[ok]
+        parts = [slice(k, k + (1 << 13)) for k in range(0, len(i), 1 << 13)]
+        ok = [np.bitwise_count(f[i[p]] ^ f[j[p]]).sum(axis=1, dtype=np.int32) <= limit(np.minimum(n[i[p]], n[j[p]])) for p in parts]
+        ok = np.concatenate(ok) if ok else np.zeros(0, dtype=bool)
+        i, j = i[ok], j[ok]
+        if not len(i):
+            return i, j
+        keys, chains_ = filed(f, bits, slots[: int(g["key"].iat[0]) >> bits])
+        first = [~((keys[i[p]] == keys[j[p]]) & holds_budgets(chains_[i[p]], chains_[j[p]])).any(axis=1) for p in (slice(k, k + 512) for k in range(0, len(i), 512))]
+        first = np.concatenate(first)
+        return i[first], j[first]
 
     def candidates(g: pd.DataFrame) -> pd.DataFrame | None:
-        i, j = holding(g)
+        i, j = pairs_of(g)
         return g.iloc[np.unique(np.concatenate([i, j]))] if len(i) else None
 
     def block(g: pd.DataFrame) -> pd.DataFrame | None:
         sets, rep, label = [np.frombuffer(x, dtype=np.uint64) for x in g["shingles"]], g["rep"].to_numpy(), g["root"].to_numpy().copy()
-        i, j = holding(g)
-        f = _matrix(g["fp"])
-        ok = np.concatenate([np.bitwise_count(f[i[k : k + (1 << 13)]] ^ f[j[k : k + (1 << 13)]]).sum(axis=1) <= MOST for k in range(0, len(i), 1 << 13)] or [np.zeros(0, dtype=bool)])
         u, v = [], []
-        for a, b in zip(i[ok], j[ok]):
+        for a, b in zip(*pairs_of(g)):
             if label[a] != label[b] and jaccard(sets[a], sets[b]) >= least:
                 label[label == label[b]] = label[a]
                 u.append(rep[a])
@@ -328,7 +351,7 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
     keyed = classes.select("rep", "fp", "n").mapInArrow(keys_of, "rep long, key long, chain long")
     buckets = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u"), F.min_by("chain", "rep").alias("c")).where("n > 1"))
     holds = F.lit(True)
-    for mask, most in budgets(alike):
+    for mask, most in budgets(bits):
         mask = mask - (1 << 64) if mask >> 63 else mask
         holds = holds & (F.bit_count(F.col("c").bitwiseXOR(F.col("chain")).bitwiseAND(F.lit(mask))) <= most)
     members = durable(keyed.join(buckets, "key").select("key", "n", "rep", "chain", "u", ((F.col("rep") != F.col("u")) & holds).alias("holds")))
@@ -340,9 +363,10 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
         .select("q", F.col("x.p").alias("p"), "x.keys", (F.col("place") < NEAREST).alias("tried"))
     )
     side = lambda df, col, x: df.select(F.col("rep").alias(x), F.col(col).alias(f"{col}_{x}"))
+    sized = lambda x: classes.select(F.col("rep").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"))
     near = durable(
-        pairs.where("tried").select("p", "q").join(side(classes, "fp", "p"), "p").join(side(classes, "fp", "q"), "q")
-        .where(near_enough("fp_p", "fp_q")).select("p", "q")
+        pairs.where("tried").select("p", "q").join(sized("p"), "p").join(sized("q"), "q")
+        .where(near_enough("fp_p", "fp_q", F.least("n_p", "n_q"))).select("p", "q")
     )
     sets = sets_of(near.select(F.col("p").alias("rep")).union(near.select("q")))
     stars = durable(
@@ -356,10 +380,10 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
     left = members.where("n > 2").select("key", "n", "rep", "chain").unionByName(members.where("n = 2").join(untried, "key", "left_semi").select("key", "n", "rep", "chain"))
     left = durable(left.join(rooted, "rep"))
     open_ = durable(left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"))
-    dealt = in_blocks(left.join(open_, "key"), "key", "n", F.col("rep"), BLOCK).select("key", "pa", "pb", "rep", "root", "my", "chain")
-    rest = durable(grouped(dealt, ["key", "pa", "pb"], candidates, "key long, pa int, pb int, rep long, root long, my int, chain long"))
-    whole = rest.join(sets_of(rest), "rep").join(classes.select("rep", "fp"), "rep")
-    return stars.unionByName(grouped(whole, ["key", "pa", "pb"], block, "u long, v long"))
+    left = left.join(open_, "key").join(classes.select("rep", "fp", F.col("n").alias("size")), "rep")
+    dealt = in_blocks(left, "key", "n", F.col("rep"), SETS).select("key", "pa", "pb", "rep", "root", "my", "chain", "fp", "size")
+    rest = durable(grouped(dealt, ["key", "pa", "pb"], candidates, "key long, pa int, pb int, rep long, root long, my int, chain long, fp binary, size int"))
+    return stars.unionByName(grouped(rest.join(sets_of(rest), "rep"), ["key", "pa", "pb"], block, "u long, v long"))
 
 
 def similar(docs: DataFrame, words: int, least: float) -> DataFrame:

@@ -77,10 +77,11 @@ def test_every_near_pair_shares_a_key():
 
 
 def test_chains_are_walks_round_rings():
-    for count in (0, 1, 1 << 18, 1 << 22, 1 << 30, 1 << 35):
-        alike = simhash.segments_alike(count)
-        assert count <= 1 << 4 * alike
-        slots = simhash.chains(alike)
+    for count in (0, 1, 1 << 14, 1 << 18, 1 << 22, 1 << 30, 1 << 35):
+        bits = simhash.key_bits(count)
+        assert 8 * count <= 1 << bits
+        slots = simhash.chains(bits)
+        alike = -(-bits // 4)
         assert slots.shape[1] == alike + simhash.FOLLOW and all(len(set(x)) == len(x) for x in slots.tolist())
         assert len({frozenset(x[:alike]) for x in slots.tolist()}) == len(slots)
 
@@ -88,26 +89,16 @@ def test_chains_are_walks_round_rings():
 def test_keys_and_budgets_against_brute_force():
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 256, (4, simhash.WIDE // 8), dtype=np.uint8)
-    slots = simhash.chains(5)[:50]
-    key, chain = simhash.filed(fps, 5, slots)
-    for r in range(4):
-        digits = fps[r].tobytes().hex()
-        for k in range(50):
-            walk = "".join(digits[i] for i in slots[k])
-            assert key[r, k] == (k << 20) | int(walk[:5], 16) and chain.view(np.uint64)[r, k] == int(walk[5:], 16)
-    for (mask, most), follow in zip(simhash.budgets(5), (4, 8, 16)):
-        assert f"{mask:016x}" == "f" * follow + "0" * (16 - follow) and most == (5 + follow) * simhash.MOST // 256
-
-
-def test_odd_rows(odd_docs, no_docs):
-    rows = simhash.near_duplicates(odd_docs).collect()
-    texts = odd_docs.select("doc_id", "text").collect()
-    assert sorted((str(r.doc_id), int.from_bytes(r.fp, "big")) for r in rows) == sorted((str(r.doc_id), slow_fingerprint(r.text)) for r in texts)
-    zero = [r for r in rows if not any(r.fp)]
-    assert {r.component_id for r in zero} == {0} and len(zero) == 4  # null, empty, blank, and null without an id
-    assert [r.component_id for r in rows if r.doc_id is None and any(r.fp)] == [None]
-    assert len([r for r in rows if r.doc_id == 111]) == 3
-    assert simhash.near_duplicates(no_docs).count() == 0
+    for bits in (17, 18, 19, 20):
+        slots = simhash.chains(bits)[:50]
+        key, chain = simhash.filed(fps, bits, slots)
+        for r in range(4):
+            digits = "".join(f"{x:08b}" for x in fps[r])
+            for k in range(50):
+                walk = "".join(digits[4 * i : 4 * i + 4] for i in slots[k])
+                assert key[r, k] == (k << bits) | int(walk[:bits], 2) and chain.view(np.uint64)[r, k] == int(walk[20:], 2)
+        for (mask, most), follow in zip(simhash.budgets(bits), (4, 8, 16)):
+            assert f"{mask:016x}" == "f" * follow + "0" * (16 - follow) and most == (5 + follow) * simhash.MOST // 256
 
 
 def shingles_of(w):
@@ -116,7 +107,7 @@ def shingles_of(w):
 
 @pytest.mark.parametrize("block", [512, 8])
 def test_similar_odd_rows(odd_docs, no_docs, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SETS", block)
     rows = simhash.similar(odd_docs, 5, 0.8).collect()
     assert len(rows) == odd_docs.count() and simhash.similar(no_docs, 5, 0.8).count() == 0
     of = {}
@@ -152,7 +143,7 @@ def test_recall_of_lone_pairs_by_similarity(spark):
 
 @pytest.mark.parametrize("block", [512, 8])
 def test_similar_texts_are_those_of_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SETS", block)
     rng = random.Random(block)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
     texts = []
