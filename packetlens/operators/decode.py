@@ -1,8 +1,8 @@
 """Frames to columns: Ethernet, VLAN, IPv4, IPv6, ARP, TCP, UDP, ICMP, and the protocols above by port.
 
-Headers are byte expressions that stay in generated code. Only loops over variable parts (DNS names, TLS extensions,
-DHCP options) go to Arrow functions, each a column of its own so that it is pruned where unused, and with null payloads
-for all packets that their port rules out. Missing values are '', 0 or false, not null, but for ``payload``.
+Headers are read by numpy over whole Arrow batches of frames, in one pass that also walks the variable parts (DNS names,
+TLS extensions, DHCP options) of the few payloads whose ports call for it. Addresses as text, HTTP and credentials are
+expressions over what that pass returns. Missing values are '', 0 or false, not null, but for ``payload``.
 """
 
 from __future__ import annotations
@@ -10,18 +10,23 @@ from __future__ import annotations
 import functools
 import socket
 import struct
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlens.functions import columns as c
 
-#: VLAN tags that are followed; frames with more are kept as other.
-TAGS = 16
 VLAN = (0x8100, 0x88A8)
 IP4, IP6, ARP, RARP = 0x0800, 0x86DD, 0x0806, 0x8035
 EXTENSIONS = (0, 43, 44, 60, 51)
+#: Extension headers that are followed.
+EXTENSION_STEPS = 10
+#: Ports and the decoders they choose, for TCP payloads and for UDP, first match first.
+TCP_APPS = (("dns", (53,)), ("http", (80, 8080)), ("tls", (443,)), ("smtp", (25, 587)), ("ftp", (21,)))
+UDP_APPS = (("dns", (53,)), ("dhcp", (67, 68)))
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -33,120 +38,154 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-def _links(df: DataFrame) -> DataFrame:
-    """et, off: ethertype behind all tags and where its payload begins; bad: too short, or a tag breaks off."""
-    n = F.length("data")
-    first = c.u16("data", 12)
-
-    def step(acc: Column, _: Column) -> Column:
-        tagged = acc["et"].isin(*VLAN) & ~acc["bad"]
-        cut = tagged & (acc["off"] + 4 > n)
-        on = tagged & ~cut
-        return F.struct(
-            F.when(on, c.u16("data", acc["off"] + 2)).otherwise(acc["et"]).alias("et"),
-            F.when(on, acc["off"] + 4).otherwise(acc["off"]).alias("off"),
-            (acc["bad"] | cut).alias("bad"),
-        )
-
-    start = F.struct(first.alias("et"), F.lit(14).alias("off"), F.lit(False).alias("bad"))
-    tags = F.when(first.isin(*VLAN), F.aggregate(F.sequence(F.lit(1), F.lit(TAGS)), start, step)).otherwise(start)
-    link = F.when(n < 14, F.struct(F.lit(0).alias("et"), F.lit(0).alias("off"), F.lit(True).alias("bad"))).otherwise(tags)
-    return df.withColumn("n", n).withColumn("link", link).withColumn("et", F.col("link.et")).withColumn("off", F.col("link.off")).withColumn("bad", F.col("link.bad")).drop("link")
-
-
-def _network(df: DataFrame) -> DataFrame:
-    """is_ipv4, is_ipv6, is_arp, addresses, and the transport protocol with its offset and length."""
-    off, n, good = F.col("off"), F.col("n"), ~F.col("bad")
-    head = c.u8("data", off)
-    hlen, total = head.bitwiseAND(F.lit(15)) * 4, c.u16("data", off + 2)
-    v4 = good & (F.col("et") == IP4) & (off + 20 <= n) & (F.shiftright(head, 4) == 4) & (hlen >= 20) & (off + hlen <= n) & (total >= hlen)
-    v6 = good & (F.col("et") == IP6) & (off + 40 <= n) & (F.shiftright(head, 4) == 6)
-    arp = good & F.col("et").isin(ARP, RARP) & (off + 28 <= n)
-    df = (
-        df.withColumn("is_ipv4", F.coalesce(v4, F.lit(False))).withColumn("is_ipv6", F.coalesce(v6, F.lit(False)))
-        .withColumn("arp_full", F.coalesce(arp, F.lit(False)))
-        .withColumn("is_arp", F.col("arp_full") | (good & (F.col("et") == RARP)))
-    )
-
-    def step(acc: Column, _: Column) -> Column:
-        more = acc["nh"].isin(*EXTENSIONS) & (acc["end"] == 0)
-        cut = more & (acc["at"] + 2 > n)
-        after = acc["at"] + 8 + c.u8("data", acc["at"] + 1) * 8
-        beyond = more & ~cut & (after > n)
+class Frames:
+    """A batch of frames as one run of bytes; reads numbers at a place in each frame, 0 where ``ok`` is false."""
+
+    def __init__(self, data: pa.Array):
+        wide = pa.types.is_large_binary(data.type)
+        _, offsets, values = data.buffers()
+        at = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        self.bytes = np.frombuffer(values, dtype=np.uint8) if values is not None and values.size else np.zeros(1, dtype=np.uint8)
+        self.start, self.n = at[:-1], np.diff(at)
+
+    def number(self, at: np.ndarray, width: int, ok: np.ndarray) -> np.ndarray:
+        place = np.where(ok, self.start + at, 0)
+        last, out = len(self.bytes) - 1, np.zeros(len(place), dtype=np.int64)
+        for k in range(width):
+            out = out << 8 | self.bytes[np.minimum(place + k, last)]
+        return np.where(ok, out, 0)
+
+    def pieces(self, at: np.ndarray, size: np.ndarray, ok: np.ndarray) -> pa.Array:
+        """``size`` bytes from ``at`` of each frame, fewer at its end; null where not ``ok``."""
+        at = np.minimum(at, self.n)
+        size = np.where(ok, np.clip(size, 0, self.n - at), 0)
+        ends = np.cumsum(size)
+        # the byte at place k of the result comes from its piece's start and its place in the piece
+        source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start + at - (ends - size), size)
+        offsets = np.concatenate([[0], ends])
+        narrow = offsets[-1] < 1 << 31
+        valid = pa.py_buffer(np.packbits(ok, bitorder="little").tobytes())
+        buffers = [valid, pa.py_buffer(offsets.astype(np.int32 if narrow else np.int64).tobytes()), pa.py_buffer(self.bytes[source].tobytes())]
+        return pa.Array.from_buffers(pa.binary() if narrow else pa.large_binary(), len(size), buffers)
+
+    def ethertypes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ethertype behind all tags, where its payload begins, and whether the frame is too short or a tag breaks off."""
+        bad = self.n < 14
+        kind = self.number(np.full(len(self.n), 12), 2, ~bad)
+        off = np.where(bad, 0, 14)
+        while True:
+            tagged = np.isin(kind, VLAN) & ~bad
+            bad = bad | (tagged & (off + 4 > self.n))
+            on = tagged & ~bad
+            if not on.any():
+                return kind, off, bad
+            kind = np.where(on, self.number(off + 2, 2, on), kind)
+            off = np.where(on, off + 4, off)
+
+
+def _pick(*choices: tuple[np.ndarray, object]) -> Callable[[object], np.ndarray]:
+    return lambda rest: np.select([x for x, _ in choices], [y for _, y in choices], rest)
+
+
+def parsed(data: pa.Array, late_tcp: bool = False) -> dict[str, pa.Array]:
+    """Columns of FIELDS for a batch of frames."""
+    f = Frames(data)
+    n = f.n
+    kind, off, bad = f.ethertypes()
+    good = ~bad
+    # network
+    v4 = good & (kind == IP4) & (off + 20 <= n)
+    head, total = f.number(off, 1, v4), f.number(off + 2, 2, v4)
+    hlen = (head & 15) * 4
+    v4 &= (head >> 4 == 4) & (hlen >= 20) & (off + hlen <= n) & (total >= hlen)
+    v6 = good & (kind == IP6) & (off + 40 <= n)
+    v6 &= f.number(off, 1, v6) >> 4 == 6
+    arp = good & np.isin(kind, (ARP, RARP)) & (off + 28 <= n)
+    nxt, place, end = f.number(off + 6, 1, v6), off + 40, np.zeros(len(n), dtype=np.int8)
+    for _ in range(EXTENSION_STEPS):
+        more = v6 & np.isin(nxt, EXTENSIONS) & (end == 0)
+        if not more.any():
+            break
+        cut = more & (place + 2 > n)
         on = more & ~cut
-        return F.struct(
-            F.when(on, c.u8("data", acc["at"])).otherwise(acc["nh"]).alias("nh"),
-            F.when(on, after).otherwise(acc["at"]).alias("at"),
-            F.when(cut, 1).when(beyond, 2).otherwise(acc["end"]).alias("end"),
-        )
-
-    next_header = c.u8("data", off + 6)
-    start = F.struct(next_header.alias("nh"), (off + 40).alias("at"), F.lit(0).alias("end"))
-    walk = F.when(next_header.isin(*EXTENSIONS), F.aggregate(F.sequence(F.lit(1), F.lit(10)), start, step)).otherwise(start)
-    df = df.withColumn("ip6", F.when(F.col("is_ipv6"), walk))
-    whole6 = F.col("is_ipv6") & (F.col("ip6.end") == 0)
-    proto = F.when(F.col("is_ipv4"), c.u8("data", off + 9)).when(whole6, F.col("ip6.nh")).otherwise(-1)
-    l4 = (
-        F.when(proto.isin(c.TCP, c.UDP), proto).when(F.col("is_ipv4") & (proto == c.ICMP), c.ICMP)
-        .when(whole6 & (proto == c.ICMPV6), c.ICMPV6).otherwise(c.OTHER)
-    )
-    at = F.when(F.col("is_ipv4"), off + hlen).when(F.col("ip6.end") == 2, off + 40).when(F.col("is_ipv6"), F.col("ip6.at")).otherwise(off)
-    end = F.when(F.col("is_ipv4"), F.least(off + total, n)).otherwise(n)
-    df = df.withColumn("l4", l4.cast("int")).withColumn("at", at.cast("int")).withColumn("rest", F.greatest(end - at, F.lit(0)))
-    text4 = lambda k: c.ip4_text(c.u32("data", off + k))
-    for side, k4, k6 in (("src", 12, 8), ("dst", 16, 24)):
-        df = df.withColumn(f"{side}_ip4", F.when(F.col("is_ipv4"), c.u32("data", off + k4)))
-        df = df.withColumn(f"{side}_ip", F.when(F.col("is_ipv4"), text4(k4)).otherwise(""))
-        df = df.withColumn(f"{side}_ip6", F.when(F.col("is_ipv6"), c.bytes_at("data", off + k6, 16)))
-    arp_of = lambda x: F.when(F.col("arp_full"), x)
-    return (
-        df.withColumn("arp_op", F.coalesce(arp_of(c.u16("data", off + 6)), F.lit(0)))
-        .withColumn("arp_sender_mac", F.coalesce(arp_of(c.mac_text(c.bytes_at("data", off + 8, 6))), F.lit("")))
-        .withColumn("arp_sender_ip", F.coalesce(arp_of(text4(14)), F.lit("")))
-        .withColumn("arp_target_mac", F.coalesce(arp_of(c.mac_text(c.bytes_at("data", off + 18, 6))), F.lit("")))
-        .withColumn("arp_target_ip", F.coalesce(arp_of(text4(24)), F.lit("")))
-    )
-
-
-def _transport(df: DataFrame) -> DataFrame:
-    """Ports, TCP fields, ICMP type and code, and the payload."""
-    at, n = F.col("at"), F.col("n")
-    tcp, udp, icmp = F.col("l4") == c.TCP, F.col("l4") == c.UDP, F.col("l4").isin(c.ICMP, c.ICMPV6)
-    tcp_head, udp_head, icmp_head = tcp & (at + 20 <= n), udp & (at + 8 <= n), icmp & (at + 4 <= n)
-    hlen = F.shiftright(c.u8("data", at + 12), 4) * 4
-    tcp_ok = F.coalesce(tcp_head & (hlen >= 20) & (at + hlen <= n), F.lit(False))
-    size = c.u16("data", at + 4)
-    udp_ok = F.coalesce(udp_head & (size >= 8), F.lit(False))
-    df = df.withColumn("tcp_ok", tcp_ok).withColumn("udp_ok", udp_ok)
-    begin = F.when(F.col("tcp_ok"), at + hlen).when(F.col("udp_ok"), at + 8).otherwise(at)
-    length = (
-        F.when(F.col("tcp_ok"), n - at - hlen).when(F.col("udp_ok"), F.least(size - 8, n - at - 8))
-        .when(icmp, F.when(icmp_head, n - at)).when(F.col("arp_full"), F.lit(None).cast("int")).otherwise(F.col("rest"))
-    )
-    flags = c.u8("data", at + 13)
-    bit = lambda k: F.when(F.col("tcp_ok"), flags.bitwiseAND(F.lit(k)) != 0).otherwise(False)
-    ports = tcp_head | udp_head
-    value = lambda cond, x: F.when(cond, x).otherwise(F.lit(0))
-    return (
-        df.withColumn("src_port", value(ports, c.u16("data", at))).withColumn("dst_port", value(ports, c.u16("data", at + 2)))
-        .withColumn("tcp", F.struct(
-            bit(2).alias("syn"), bit(16).alias("ack"), bit(1).alias("fin"), bit(4).alias("rst"), bit(8).alias("psh"),
-            value(tcp_head, c.u32("data", at + 4)).alias("seq"), value(tcp_head, c.u32("data", at + 8)).alias("ack_num"),
-        ))
-        .withColumn("icmp_type", value(icmp_head, c.u8("data", at))).withColumn("icmp_code", value(icmp_head, c.u8("data", at + 1)))
-        .withColumn("payload_off", F.when(length.isNotNull(), begin).otherwise(0).cast("int"))
-        .withColumn("payload_len", F.coalesce(length, F.lit(0)).cast("int"))
-        .withColumn("payload", F.when(length.isNotNull(), c.bytes_at("data", begin, length)))
-    )
-
-
-def _application(df: DataFrame) -> DataFrame:
-    """app: which decoder the ports choose, '' for none."""
-    on = lambda *ports: F.col("src_port").isin(*ports) | F.col("dst_port").isin(*ports)
-    tcp = F.when(on(53), "dns").when(on(80, 8080), "http").when(on(443), "tls").when(on(25, 587), "smtp").when(on(21), "ftp")
-    udp = F.when(on(53), "dns").when(on(67, 68), "dhcp")
-    app = F.when(F.col("tcp_ok") & (F.col("payload_len") > 0), tcp).when(F.col("udp_ok"), udp)
-    return df.withColumn("app", F.coalesce(app, F.lit("")))
+        after = place + 8 + f.number(place + 1, 1, on) * 8
+        nxt = np.where(on, f.number(place, 1, on), nxt)
+        end = np.select([cut, on & (after > n)], [1, 2], end)
+        place = np.where(on, after, place)
+    whole6 = v6 & (end == 0)
+    proto = _pick((v4, f.number(off + 9, 1, v4)), (whole6, nxt))(-1)
+    l4 = _pick((np.isin(proto, (c.TCP, c.UDP)), proto), (v4 & (proto == c.ICMP), c.ICMP), (whole6 & (proto == c.ICMPV6), c.ICMPV6))(c.OTHER)
+    at = _pick((v4, off + hlen), (v6 & (end == 2), off + 40), (v6, place))(off)
+    rest = np.maximum(np.where(v4, np.minimum(off + total, n), n) - at, 0)
+    # transport
+    tcp_head, udp_head = (l4 == c.TCP) & (at + 20 <= n), (l4 == c.UDP) & (at + 8 <= n)
+    icmp = np.isin(l4, (c.ICMP, c.ICMPV6))
+    icmp_head, ports = icmp & (at + 4 <= n), tcp_head | udp_head
+    thl, size = (f.number(at + 12, 1, tcp_head) >> 4) * 4, f.number(at + 4, 2, udp_head)
+    tcp_ok, udp_ok = tcp_head & (thl >= 20) & (at + thl <= n), udp_head & (size >= 8)
+    begin = _pick((tcp_ok, at + thl), (udp_ok, at + 8))(at)
+    has = ~((icmp & ~icmp_head) | (arp & ~tcp_ok & ~udp_ok & ~icmp))
+    length = np.where(has, _pick((tcp_ok, n - at - thl), (udp_ok, np.minimum(size - 8, n - at - 8)), (icmp, n - at))(rest), 0)
+    src_port, dst_port, flags = f.number(at, 2, ports), f.number(at + 2, 2, ports), f.number(at + 13, 1, tcp_ok)
+    payload = f.pieces(begin, length, has)
+    app = np.full(len(n), "", dtype="U4")
+    for on, apps in ((tcp_ok & (length > 0), TCP_APPS), (udp_ok, UDP_APPS)):
+        for name, wanted in reversed(apps):
+            app[on & (np.isin(src_port, wanted) | np.isin(dst_port, wanted))] = name
+    none = np.zeros(len(n), dtype=np.int64)
+
+    def walked(rows: np.ndarray, fn: Callable[[bytes, bool], tuple | None], kind: pa.DataType) -> pa.Array:
+        """``fn`` of the payloads in ``rows``; null for the others and where it finds nothing."""
+        if not rows.any():
+            return pa.nulls(len(n), kind)
+        out: list[dict | None] = [None] * len(n)
+        names = [x.name for x in kind]
+        for i in np.nonzero(rows)[0]:
+            if (found := fn(payload[i].as_py(), bool(tcp_ok[i]))) is not None:
+                out[i] = dict(zip(names, found))
+        return pa.array(out, kind)
+
+    def dns(m: bytes, over_tcp: bool) -> tuple | None:
+        return dns_message(m[2:], 2 if late_tcp else 0) if over_tcp else dns_message(m)
+
+    i32 = lambda x: pa.array(np.asarray(x).astype(np.int32))
+    made = {
+        "is_ipv4": pa.array(v4), "is_ipv6": pa.array(v6), "is_arp": pa.array(arp | (good & (kind == RARP))),
+        "src_ip4": pa.array(f.number(off + 12, 4, v4), mask=~v4), "dst_ip4": pa.array(f.number(off + 16, 4, v4), mask=~v4),
+        "ends6": f.pieces(off + 8, none + 32, v6), "arp_op": i32(f.number(off + 6, 2, arp)), "arp_ends": f.pieces(off + 8, none + 20, arp),
+        "l4": i32(l4), "src_port": i32(src_port), "dst_port": i32(dst_port), "flags": i32(flags),
+        "seq": pa.array(f.number(at + 4, 4, tcp_head)), "ack_num": pa.array(f.number(at + 8, 4, tcp_head)),
+        "icmp_type": i32(f.number(at, 1, icmp_head)), "icmp_code": i32(f.number(at + 1, 1, icmp_head)),
+        "payload": payload, "payload_off": i32(np.where(has, begin, 0)), "payload_len": i32(length), "app": pa.array(app.tolist(), pa.string()),
+        "dns": walked(app == "dns", dns, DNS), "tls": walked(app == "tls", lambda m, _: client_hello(m), TLS), "dhcp": walked(app == "dhcp", lambda m, _: dhcp_message(m), DHCP),
+    }
+    return made
+
+
+DNS = pa.struct([("asked", pa.int32()), ("answered", pa.int32()), ("queries", pa.list_(pa.string())), ("answers", pa.list_(pa.string()))])
+TLS = pa.struct([("version", pa.int32()), ("sni", pa.string()), ("alpn", pa.list_(pa.string())), ("ciphers", pa.list_(pa.int32())), ("ja3", pa.string())])
+DHCP = pa.struct([("op", pa.int32()), ("client", pa.binary()), ("your", pa.binary()), ("mac", pa.binary()), ("host", pa.string())])
+FIELDS = (
+    "is_ipv4 boolean, is_ipv6 boolean, is_arp boolean, src_ip4 long, dst_ip4 long, ends6 binary, arp_op int, arp_ends binary, l4 int, src_port int, dst_port int, "
+    "flags int, seq long, ack_num long, icmp_type int, icmp_code int, payload binary, payload_off int, payload_len int, app string, "
+    "dns struct<asked: int, answered: int, queries: array<string>, answers: array<string>>, "
+    "tls struct<version: int, sni: string, alpn: array<string>, ciphers: array<int>, ja3: string>, "
+    "dhcp struct<op: int, client: binary, your: binary, mac: binary, host: string>"
+)
+
+
+def _parsed_frames(raw: DataFrame, parse: Callable[[pa.Array], dict[str, pa.Array]], fields: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of raw packets, and ``fields`` of their frames."""
+    columns = list(dict.fromkeys([*keep, "data"]))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = dict(zip(b.schema.names, b.columns))
+            made = {**{k: of[k] for k in keep}, **parse(of["data"])}
+            yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
+
+    kinds = ", ".join(f"{k} {raw.schema[k].dataType.simpleString()}" for k in keep)
+    return raw.select(*columns).mapInArrow(stream, f"{kinds}, {fields}")
 
 
 # --- HTTP and credentials: expressions over Latin-1 text
@@ -354,62 +393,20 @@ def dhcp_message(m: bytes) -> tuple[int, bytes, bytes, bytes, str] | None:
     return m[0], m[12:16], m[16:20], m[28:34], host
 
 
-def _arrow(fn, schema: str):
-    """A function of one message as a struct column; null for null input or result."""
-    names = [x.split(":")[0].strip() for x in schema.removeprefix("struct<").removesuffix(">").split("; ")]
-    ddl = "struct<" + ", ".join(x for x in schema.removeprefix("struct<").removesuffix(">").split("; ")) + ">"
-
-    @F.pandas_udf(f"array<{ddl}>")
-    def of(messages: pd.Series) -> pd.Series:
-        out = []
-        for m in messages:
-            found = None if m is None else fn(bytes(m))
-            out.append(None if found is None else [dict(zip(names, found))])
-        return pd.Series(out, dtype=object)
-
-    return of
-
-
-DNS = "struct<asked: int; answered: int; queries: array<string>; answers: array<string>>"
-TLS = "struct<version: int; sni: string; alpn: array<string>; ciphers: array<int>; ja3: string>"
-DHCP = "struct<op: int; client: binary; your: binary; mac: binary; host: string>"
-
-
-def _dns_columns(df: DataFrame, late_tcp: bool = False) -> DataFrame:
-    over_tcp = F.col("tcp_ok")
-    message = F.when(over_tcp, c.bytes_at("payload", 2, F.col("payload_len") - 2)).otherwise(F.col("payload"))
-    found = _arrow(dns_message, DNS)(F.when((F.col("app") == "dns") & (~over_tcp if late_tcp else F.lit(True)), message))
-    if late_tcp:
-        found = F.coalesce(found, _arrow(functools.partial(dns_message, late=2), DNS)(F.when((F.col("app") == "dns") & over_tcp, message)))
-    df = df.withColumn("m", F.get(found, F.lit(0)))
-    none = F.array().cast("array<string>")
-    return (
-        df.withColumn("is_dns", F.col("m").isNotNull())
-        .withColumn("dns_queries", F.coalesce("m.queries", none)).withColumn("dns_answers", F.coalesce("m.answers", none))
-        .withColumn("dns_qname_lower", F.coalesce(F.get("m.queries", F.lit(0)), F.lit("")))
-        .withColumn("dns_query_count", F.coalesce("m.asked", F.lit(0))).withColumn("dns_answer_count", F.coalesce("m.answered", F.lit(0)))
-        .drop("m")
-    )
-
-
-def _tls_columns(df: DataFrame) -> DataFrame:
-    df = df.withColumn("m", F.get(_arrow(client_hello, TLS)(F.when(F.col("app") == "tls", F.col("payload"))), F.lit(0)))
-    return (
-        df.withColumn("is_tls", F.col("m").isNotNull()).withColumn("tls_version", F.coalesce("m.version", F.lit(0)))
-        .withColumn("tls_sni", F.coalesce("m.sni", F.lit(""))).withColumn("tls_alpn", F.coalesce("m.alpn", F.array().cast("array<string>")))
-        .withColumn("tls_cipher_suites", F.coalesce("m.ciphers", F.array().cast("array<int>")))
-        .withColumn("tls_ja3", F.coalesce(F.md5(F.col("m.ja3").cast("binary")), F.lit(""))).drop("m")
-    )
-
-
-def _dhcp_columns(df: DataFrame) -> DataFrame:
-    df = df.withColumn("m", F.get(_arrow(dhcp_message, DHCP)(F.when(F.col("app") == "dhcp", F.col("payload"))), F.lit(0)))
-    text = lambda x: F.when(F.col("m").isNotNull(), c.ip4_text(c.u32(x, 0))).otherwise("")
-    return (
-        df.withColumn("is_dhcp", F.col("m").isNotNull()).withColumn("dhcp_op", F.coalesce("m.op", F.lit(0)))
-        .withColumn("dhcp_hostname", F.coalesce("m.host", F.lit(""))).withColumn("dhcp_client_ip", text("m.client")).withColumn("dhcp_your_ip", text("m.your"))
-        .withColumn("dhcp_client_mac", F.when(F.col("m").isNotNull(), c.mac_text("m.mac")).otherwise("")).drop("m")
-    )
+def _messages(df: DataFrame) -> DataFrame:
+    """Columns of the DNS, TLS and DHCP messages."""
+    strings = F.array().cast("array<string>")
+    or_else = lambda x, rest: F.coalesce(F.col(x), rest if isinstance(rest, Column) else F.lit(rest))
+    seen = lambda x: F.col("dhcp").isNotNull() & F.col(x).isNotNull()
+    text = lambda x: F.when(seen(x), c.ip4_text(c.u32(x, 0))).otherwise("")
+    return df.withColumns({
+        "is_dns": F.col("dns").isNotNull(), "dns_queries": or_else("dns.queries", strings), "dns_answers": or_else("dns.answers", strings),
+        "dns_qname_lower": F.coalesce(F.get("dns.queries", F.lit(0)), F.lit("")), "dns_query_count": or_else("dns.asked", 0), "dns_answer_count": or_else("dns.answered", 0),
+        "is_tls": F.col("tls").isNotNull(), "tls_version": or_else("tls.version", 0), "tls_sni": or_else("tls.sni", ""), "tls_alpn": or_else("tls.alpn", strings),
+        "tls_cipher_suites": or_else("tls.ciphers", F.array().cast("array<int>")), "tls_ja3": F.coalesce(F.md5(F.col("tls.ja3").cast("binary")), F.lit("")),
+        "is_dhcp": F.col("dhcp").isNotNull(), "dhcp_op": or_else("dhcp.op", 0), "dhcp_hostname": or_else("dhcp.host", ""),
+        "dhcp_client_ip": text("dhcp.client"), "dhcp_your_ip": text("dhcp.your"), "dhcp_client_mac": F.when(seen("dhcp.mac"), c.mac_text("dhcp.mac")).otherwise(""),
+    })
 
 
 PACKETS = (
@@ -424,20 +421,17 @@ PACKETS = (
 )
 
 
-def headers(raw: DataFrame) -> DataFrame:
-    """Link, network and transport columns of raw packets; no Python on the executors."""
-    return settled(_transport(settled(_network(settled(_links(raw))))).withColumn("raw_len", F.col("caplen")))
-
-
-def _addresses(df: DataFrame) -> DataFrame:
-    """Text of IPv6 addresses, where there are any."""
-
-    @F.pandas_udf("string")
-    def text6(addresses: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else socket.inet_ntop(socket.AF_INET6, bytes(a)) for a in addresses], dtype=object)
-
-    text = lambda side: F.when(F.col("is_ipv6"), text6(f"{side}_ip6")).otherwise(F.col(f"{side}_ip"))
-    return df.withColumns({f"{side}_ip": text(side) for side in ("src", "dst")})
+def _ends(df: DataFrame) -> DataFrame:
+    """Addresses as text, and the TCP fields as one column."""
+    side = lambda k4, k6: F.when(F.col("is_ipv4"), c.ip4_text(k4)).when(F.col("is_ipv6"), c.ip6_text(c.bytes_at("ends6", k6, 16))).otherwise("")
+    arp = lambda x: F.when(F.col("arp_ends").isNotNull(), x).otherwise("")
+    mac, ip = (lambda k: arp(c.mac_text(c.bytes_at("arp_ends", k, 6)))), (lambda k: arp(c.ip4_text(c.u32("arp_ends", k))))
+    bit = lambda k: F.col("flags").bitwiseAND(F.lit(k)) != 0
+    return df.withColumns({
+        "src_ip": side("src_ip4", 0), "dst_ip": side("dst_ip4", 16),
+        "arp_sender_mac": mac(0), "arp_sender_ip": ip(6), "arp_target_mac": mac(10), "arp_target_ip": ip(16),
+        "tcp": F.struct(bit(2).alias("syn"), bit(16).alias("ack"), bit(1).alias("fin"), bit(4).alias("rst"), bit(8).alias("psh"), "seq", "ack_num"),
+    })
 
 
 def decoded(raw: DataFrame, late_dns_tcp: bool = False, auth_plain: bool = False, keep_data: bool = False) -> DataFrame:
@@ -445,8 +439,9 @@ def decoded(raw: DataFrame, late_dns_tcp: bool = False, auth_plain: bool = False
 
     ``late_dns_tcp`` reads questions over TCP two bytes late; ``keep_data`` keeps the frames in column data.
     """
-    df = settled(_credentials(_http(_application(headers(raw))), auth_plain))
-    df = _dhcp_columns(_tls_columns(_dns_columns(_addresses(df), late_dns_tcp)))
+    keep = ["packet_id", "ts_us", "ts", "caplen", "wirelen", *(["data"] if keep_data else [])]
+    df = _parsed_frames(raw, functools.partial(parsed, late_tcp=late_dns_tcp), FIELDS, keep).withColumn("raw_len", F.col("caplen"))
+    df = _messages(_ends(settled(_credentials(_http(df), auth_plain))))
     return df.select(*PACKETS, *(["data"] if keep_data else []))
 
 
@@ -484,43 +479,46 @@ def question_name(m: bytes) -> str:
     return ""
 
 
+def parsed_legacy(data: pa.Array) -> dict[str, pa.Array]:
+    """Columns of LEGACY_FIELDS for a batch of frames."""
+    f = Frames(data)
+    n = f.n
+    kind, off, bad = f.ethertypes()
+    v4 = ~bad & (kind == IP4) & (off + 20 <= n)
+    head, total = f.number(off, 1, v4), f.number(off + 2, 2, v4)
+    v4 &= head >> 4 == 4
+    hlen = (head & 15) * 4
+    whole = v4 & (hlen >= 20) & (off + hlen <= n) & (total >= hlen)
+    at, size = np.where(whole, off + hlen, off), np.where(whole, np.minimum(total, n - off) - hlen, n - off)
+    proto = np.where(whole, f.number(off + 9, 1, whole), -1)
+    tcp, udp = (proto == c.TCP) & (size >= 20), (proto == c.UDP) & (size >= 8)
+    thl, length = (f.number(at + 12, 1, tcp) >> 4) * 4, f.number(at + 4, 2, udp)
+    tcp_ok, udp_ok = tcp & (thl >= 20) & (size >= thl), udp & (length >= 8)
+    skip = _pick((tcp_ok, thl), (udp, 8))(0)
+    size = np.where(udp_ok, np.minimum(length, size) - 8, size - skip)
+    src_port, dst_port = f.number(at, 2, tcp | udp), f.number(at + 2, 2, tcp | udp)
+    payload = f.pieces(at + skip, size, np.ones(len(n), dtype=bool))
+    asked, names = (tcp_ok | udp_ok) & ((src_port == 53) | (dst_port == 53)), [""] * len(n)
+    for i in np.nonzero(asked)[0]:
+        m = payload[i].as_py()
+        if tcp[i]:
+            m = m[2 : 2 + _u16(m, 0)] if len(m) >= 2 and _u16(m, 0) + 2 <= size[i] else b""
+        names[i] = question_name(m)
+    i32 = lambda x: pa.array(x.astype(np.int32))
+    return {
+        "is_ipv4": pa.array(v4), "src_ip4": pa.array(f.number(off + 12, 4, whole)), "dst_ip4": pa.array(f.number(off + 16, 4, whole)),
+        "l4": i32(_pick((tcp, c.TCP), (udp, c.UDP), (proto == c.ICMP, c.ICMP))(c.OTHER)), "src_port": i32(src_port), "dst_port": i32(dst_port),
+        "payload": payload, "payload_off": i32(at + skip), "payload_len": i32(size), "dns_qname_lower": pa.array(names, pa.string()),
+    }
+
+
+LEGACY_FIELDS = "is_ipv4 boolean, src_ip4 long, dst_ip4 long, l4 int, src_port int, dst_port int, payload binary, payload_off int, payload_len int, dns_qname_lower string"
+
+
 def legacy(raw: DataFrame) -> DataFrame:
     """Packet columns of the legacy profile: IPv4 only, all bounded by the IP length, and the first DNS question.
 
     A broken IPv4 header still counts as IPv4, from and to 0.0.0.0; a transport header that is cut counts as other.
     """
-    df = settled(_links(raw))
-    off, n = F.col("off"), F.col("n")
-    head = c.u8("data", off)
-    hlen, total = head.bitwiseAND(F.lit(15)) * 4, c.u16("data", off + 2)
-    v4 = ~F.col("bad") & (F.col("et") == IP4) & (off + 20 <= n) & (F.shiftright(head, 4) == 4)
-    df = df.withColumn("is_ipv4", F.coalesce(v4, F.lit(False)))
-    df = df.withColumn("whole", F.coalesce(F.col("is_ipv4") & (hlen >= 20) & (off + hlen <= n) & (total >= hlen), F.lit(False)))
-    whole = F.col("whole")
-    df = df.withColumn("at", F.when(whole, off + hlen).otherwise(off)).withColumn("size", F.when(whole, F.least(total, n - off) - hlen).otherwise(n - off))
-    proto = F.when(whole, c.u8("data", off + 9)).otherwise(-1)
-    at, size = F.col("at"), F.col("size")
-    l4 = F.when((proto == c.TCP) & (size >= 20), c.TCP).when((proto == c.UDP) & (size >= 8), c.UDP).when(proto == c.ICMP, c.ICMP).otherwise(c.OTHER)
-    for side, k in (("src", 12), ("dst", 16)):
-        df = df.withColumn(f"{side}_ip4", F.when(whole, c.u32("data", off + k)).otherwise(F.lit(0).cast("long"))).withColumn(f"{side}_ip", c.ip4_text(f"{side}_ip4"))
-    df = settled(df.withColumn("l4", l4.cast("int")))
-    tcp, udp = F.col("l4") == c.TCP, F.col("l4") == c.UDP
-    thl, ulen = F.shiftright(c.u8("data", at + 12), 4) * 4, c.u16("data", at + 4)
-    tcp_ok, udp_ok = tcp & (thl >= 20) & (size >= thl), udp & (ulen >= 8)
-    skip = F.when(tcp_ok, thl).when(udp, 8).otherwise(0)
-    length = F.when(udp_ok, F.least(ulen, size) - 8).otherwise(size - skip)
-    df = (
-        df.withColumn("src_port", F.when(tcp | udp, c.u16("data", at)).otherwise(0)).withColumn("dst_port", F.when(tcp | udp, c.u16("data", at + 2)).otherwise(0))
-        .withColumn("payload_off", (at + skip).cast("int")).withColumn("payload_len", length.cast("int")).withColumn("named", tcp_ok | udp_ok)
-    )
-    df = settled(df.withColumn("payload", c.bytes_at("data", F.col("payload_off"), F.col("payload_len"))).withColumn("raw_len", F.col("caplen")))
-    over_tcp = F.col("l4") == c.TCP
-    inside = c.u16("payload", 0)
-    message = F.when(over_tcp, F.when(inside + 2 <= F.col("payload_len"), c.bytes_at("payload", 2, inside))).otherwise(F.col("payload"))
-
-    @F.pandas_udf("string")
-    def named(messages: pd.Series) -> pd.Series:
-        return pd.Series(["" if m is None else question_name(bytes(m)) for m in messages], dtype=object)
-
-    asked = F.col("named") & ((F.col("src_port") == 53) | (F.col("dst_port") == 53))
-    return with_defaults(df.withColumn("dns_qname_lower", named(F.when(asked, message))))
+    df = _parsed_frames(raw, parsed_legacy, LEGACY_FIELDS, ["packet_id", "ts_us", "ts", "caplen", "wirelen"])
+    return with_defaults(df.withColumns({f"{x}_ip": c.ip4_text(f"{x}_ip4") for x in ("src", "dst")}).withColumn("raw_len", F.col("caplen")))

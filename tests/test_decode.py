@@ -160,11 +160,33 @@ def test_filters(spark):
     assert got("ip6 and host 2001:db8::1 and not tcp") == {"v6 ext", "v6 beyond", "v6 cut"}
     assert got("vlan 1") == {"tagged"} and got("less 13") == {"short"}
     assert got("ether proto 0x88cc or icmp6") == {"lldp", "icmp6"}
-    for bad in ("port", "tcp port 99999", "host nowhere", "(tcp", "tcp tcp", "frob 3", "tcp[13] & 2"):
+    assert got("tcp[tcpflags] & (tcp-syn|tcp-ack) == tcp-syn|tcp-ack") == {"plain"}
+    assert got("tcp[13] & 2 != 0") == {"plain"} and got("ip[0] & 0xf > 5") == {"options"}
+    assert got("icmp[icmptype] = icmp-echo") == {"icmp", "short icmp"} and got("icmp6[0] == icmp6-echo") == {"icmp6"}
+    assert got("ether[12:2] = 0x88cc") == {"lldp"} == got("ether proto 35020") and got("len <= 9") == {"short"} == got("len * 2 < 20")
+    assert got("udp port domain") == {"dns", "dns small", "dns loop"} and got("tcp port ftp or smtp") == {"ftp", "auth login"}
+    assert got("tcp dst port (ftp or 25)") == {"ftp", "auth login"} and got("src and dst port 1") == set()
+    assert got("ip proto 47") == {"gre"} == got("proto gre") and got("ip6 proto \\icmp6") == {"icmp6"} == got("icmp6")
+    assert got("ip6 net 2001:db8::/33 and udp") == set() and got("ip6 net ::fffe:0:0/95") == {"icmp6"} == got("dst host ::ffff:1.2.3.4")
+    everyone = {n for n, f in CASES.items() if len(f) >= 12}
+    assert got("ether src 06:07:08:09:0a:0b") == everyone == got("ether host 0:1:2:3:4:5") and got("ether broadcast") == set()
+    assert got("arp host 10.0.0.1 or arp net 10.1") == got("arp src 10.0.0.1 or arp dst 10.0.0.1")
+    # and, or bind alike: (lldp or short rarp) and nothing of them is arp
+    assert got("ether proto 0x88cc or rarp and not rarp") == {"lldp"} and got("rarp or (ether proto 0x88cc and not rarp)") == {"lldp", "short rarp"}
+    assert got("vlan and vlan 2 and tcp port 6") == {"tagged"} and got("vlan 1 and udp") == set() and got("vlan 2") == set()
+    assert got("") == set(CASES) and got("portrange 66-67") == {"dhcp", "dhcp short"} and got("net 10.0.0.0 mask 255.255.255.0 and tcp port 9999") == {"plain"}
+    for bad in ("port", "tcp port 99999", "host nowhere", "(tcp", "tcp tcp", "frob 3", "tcp[13] & 2", "tcp[1:3] = 0", "ether host 1.2.3.4", "net 1.2.3.4/8", "portrange 5", "arp port 5"):
         with pytest.raises(FilterError):
             where(raw, bad)
 
 
+def test_any_number_of_tags(spark):
+    f = fr.eth(fr.ip4(fr.udp(b"deep", 5, 6), 17), tags=tuple(range(40)))
+    raw = spark.createDataFrame([(0, 0, 0.0, len(f), len(f), 1, bytearray(f)), (1, 0, 0.0, len(f) - 40, len(f), 1, bytearray(f[:-40]))], decode_schema())
+    rows = decode.decoded(raw).orderBy("packet_id").collect()
+    assert pick(rows[0], "is_ipv4", "src_port", "payload_len") == (True, 5, 4) and not rows[1].is_ipv4
+
+
 def test_switches(spark):
     plain = fr.eth(fr.ip4(fr.tcp(b"AUTH PLAIN AGJvYg==\r\n", 40000, 587)))
     over_tcp = fr.eth(fr.ip4(fr.tcp(b"\0\x20" + fr.dns("t.example"), 40000, 53)))
