@@ -1,3 +1,5 @@
+import time
+
 from packetlens.llm import html
 
 PAGE = (
@@ -15,7 +17,7 @@ def test_page():
 def test_generated_pages_held_out():
     right = total = 0
     for page in html.labelled_pages(150, seed=77):
-        nodes = html.parsed(page)
+        nodes = html.model().parsed(page)
         for x, p in zip(nodes, html.model().marginals(nodes)):
             if x.tag == "#":
                 total += 1
@@ -28,17 +30,17 @@ def test_marginals_are_exact():
     import math
 
     m = html.model()
-    nodes = html.parsed("<div class=content><h2>Title</h2><p>Some text here.</p><div class=ad>Buy</div></div><p>End</p>")
+    nodes = m.parsed("<div class='content box zzz'><h2>Title</h2><div><p>Some text here.</p></div><div class='ad content'>Buy</div></div><p>End</p>")
     own = [[0.0, 0.0] for _ in nodes]
     own[0][0] = -20.0
     for x, o in zip(nodes[1:], own[1:]):
-        for e in html.evidence(x):
+        for e in html.evidence(x) + html.above(nodes, x):
             a, b = m.own.get(e, (0.0, 0.0))
             o[0], o[1] = o[0] + a, o[1] + b
     total, ones = 0.0, [0.0] * len(nodes)
     for y in itertools.product((0, 1), repeat=len(nodes)):
         score = sum(own[i][y[i]] for i in range(len(nodes)))
-        score += sum(m.pair[x.tag == "#", x.place][y[x.parent]][y[i]] for i, x in enumerate(nodes) if i)
+        score += sum(m.pair[x.kind, x.place][y[x.parent]][y[i]] for i, x in enumerate(nodes) if i)
         w = math.exp(score)
         total += w
         for i, v in enumerate(y):
@@ -71,3 +73,59 @@ def test_layouts():
     ]
     for x in layouts:
         assert html.main_blocks(f"<!DOCTYPE html><html><body>{x}</body></html>") == ["Some title here", p[3:-4], "And onesea."], x
+
+
+P, S, T = "<p>Ouwhea the of rend and threlyes of the stor nd of ouble, more words follow here.</p>", "<p>And onesea.</p>", "<h1>Some title here</h1>"
+TEXT = ["Some title here", P[3:-4], "And onesea."]
+PAGES = ("<html><body><nav><a href=/>Home</a></nav><article>{}</article><footer>Imprint</footer></body></html>", "<html><body><div id=header>Site</div><main>{}</main><aside class=sidebar><p>About us.</p></aside></body></html>")
+
+
+def wrapped(x, k, tag="div"):
+    return f"<{tag}>" * k + x + f"</{tag}>" * k
+
+
+def test_nesting_changes_nothing():
+    for page in PAGES:
+        for k in (0, 1, 2, 5, 12, 50, 400):
+            for tag in ("div", "section", "x-part", "div class='col-md-8 mb-0 px-3'", "center"):
+                close = tag.split()[0]
+                deep = lambda x: f"<{tag}>" * k + x + f"</{close}>" * k  # noqa: B023, E731
+                assert html.main_blocks(page.format(T + deep(P) + deep(S))) == TEXT, (k, tag)
+                assert html.main_blocks(page.format(deep(T + P + S))) == TEXT, (k, tag)
+                assert html.main_blocks(deep(page.format(T + P + S))) == TEXT, (k, tag)
+
+
+def test_twenty_thousand_levels():
+    began = time.monotonic()
+    assert html.main_blocks(PAGES[0].format(T + wrapped(P, 20_000) + S)) == TEXT
+    assert html.main_blocks(PAGES[0].format(T + "<div>" * 20_000 + P + S)) == TEXT
+    assert html.main_blocks(PAGES[0].format(T + wrapped(P, 20_000, "b") + S)) == TEXT
+    assert html.main_blocks(PAGES[0].format(T + "</div></p></b>" * 20_000 + P + S)) == TEXT
+    html.main_blocks(PAGES[0].format(T + "<div class='content post'><ul><li>" * 20_000 + P + S))
+    assert time.monotonic() - began < 30
+
+
+def test_unclosed_and_transparent_elements():
+    for page in PAGES:
+        for odd in ("<button>", "<select>", "<button type=submit class='btn'>", "<textarea>", "<iframe src=x>", "<svg>", "<template>", "<select name=s><option value=1>"):
+            assert html.main_blocks(page.format(T + P + odd + S)) == TEXT, odd
+        assert html.main_blocks(page.format(T + P + "<button>OK</button><select><option>One<option>Two</select><svg><text>x</text></svg><script>a</script><style>b</style>" + S)) == TEXT
+        for tag in ("math", "object", "button", "noscript", "canvas"):
+            assert html.main_blocks(page.format(T + P.replace("rend", f"<{tag}>rend</{tag}>") + S)) == TEXT, tag
+        for tag in ("noscript", "object", "div", "x-y"):
+            assert html.main_blocks(page.format(T + P + f"<{tag}>{S}</{tag}>")) == TEXT, tag
+
+
+def test_quotes_in_tags():
+    assert html.main_blocks(PAGES[0].format(T + P.replace("<p>", "<p title='a > b' data-x=\"it's > 1\" y='" + ">" * 50 + "'>") + S)) == TEXT
+    assert html.main_blocks(PAGES[0].format(T + P + S.replace("<p>", "<p title=\"never closed>"))) == TEXT
+    assert html.main_blocks(PAGES[0].format(T + P.replace("<p>", "<p it's>") + S)) == TEXT
+
+
+def test_many_marks_above():
+    """Words that the model does not know, however many, hide none that it knows."""
+    noise = lambda k: " ".join(f"u{chr(97 + j)}{chr(97 + k % 26)}x" for j in range(20))
+    inner = "<p>Nice article, thank you so much for it, it was a pleasure to read.</p>"
+    for k in range(12):
+        inner = f"<div class='{noise(k)}'>{inner}</div>"
+    assert html.main_blocks(PAGES[0].format(T + P + S + f"<section class='comments {noise(3)}'>{inner}</section>")) == TEXT
