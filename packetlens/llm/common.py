@@ -13,6 +13,8 @@ from packetlens.session import importable
 
 #: ASCII white space as the contracts count it: space and \t to \r. bytes.split() cuts at exactly these.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Rows of a few numbers that one task takes.
+TASK_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,16 +135,18 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
             )
         seen = now
+        # as many tasks as the edges fill; they only get fewer
+        few = lambda df: df.coalesce(max(1, -(-now[0] // TASK_ROWS)))  # noqa: B023, E731
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        e = durable(both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
-        least = durable(e.groupBy("b").agg(F.min("a").alias("m")))
-        e = durable(
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        e = durable(few(both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()))
+        least = e.groupBy("b").agg(F.min("a").alias("m"))
+        e = durable(few(
             e.join(least, "b")
             .where("a <> m")
             .select(F.col("m").alias("a"), F.col("a").alias("b"))
             .unionByName(least.select(F.col("m").alias("a"), "b"))
             .distinct()
-        )
+        ))
