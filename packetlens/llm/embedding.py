@@ -1,14 +1,16 @@
 """Embedding near-duplicates: sign hashes of random hyperplanes in several tables, exact cosines, components.
 
-Equal vectors of a label are one class with a count. A class gets one 14-bit hash in each of 28 tables; a pair at
-cosine 0.93 (an angle of 21.6 degrees) shares a bit with probability 0.88, a hash with 0.167, some table with 0.994.
-Classes of a bucket are compared in blocks by exact double-precision cosine; a pair counts in the first table in which
-its hashes meet, which both vectors know, so that links are counted once without being listed.
+Equal vectors of a label are one class with a count. A class gets one hash in each of several tables; its bits follow
+from the number of classes, so that unlike vectors hardly share one, and the tables from the bits: a pair at cosine
+0.93 (an angle of 21.6 degrees) shares a bit with probability 0.88 and some table with 0.995. Classes of a bucket are
+compared in blocks by exact double-precision cosine; a pair counts in the first table in which its hashes meet, which
+both vectors tell, so that links are counted once without being listed.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,15 @@ from pyspark.sql import functions as F
 
 from packetlens.llm.common import components, durable, grouped, in_blocks, spanning
 
-TABLES, BITS, BLOCK = 28, 14, 512
+#: Rows of a bucket in one block, and links at the least cosine that may be missed.
+BLOCK, MISSED = 1024, 0.005
+
+
+def sized(count: int, cosine: float) -> tuple[int, int]:
+    """(tables, bits) for so many vectors: one unlike vector in a bucket at most."""
+    bits = max(12, max(1, count - 1).bit_length())
+    shared = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** bits
+    return math.ceil(math.log(MISSED) / math.log1p(-shared)) if shared < 1 else 1, bits
 
 
 @functools.lru_cache(maxsize=8)
@@ -28,10 +38,10 @@ def hyperplanes(dim: int, tables: int, bits: int) -> np.ndarray:
 def signatures(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """One hash for each row and table."""
     up = (x @ hyperplanes(x.shape[1], tables, bits) >= 0).reshape(len(x), tables, bits)
-    return up @ (1 << np.arange(bits))
+    return up @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.93, tables: int = TABLES, bits: int = BITS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label).
 
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing.
@@ -45,58 +55,59 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, tables: int = TABL
     )
     key = F.xxhash64("label", "embedding")
     rows = durable(
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding"))
         .withColumn("sound", F.coalesce(sound, F.lit(False)))
         .select("vec_id", F.when(F.col("sound"), F.col("label")).alias("label"), F.when(F.col("sound"), F.col("embedding")).alias("embedding"), F.when(F.col("sound"), key).alias("h"))
     )
     # h only speeds the grouping up: label and vector themselves are compared
     classes = durable(
         rows.where("h is not null").groupBy("h", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-        .withColumn("id", F.xxhash64("label", "embedding", F.lit(5)))
+        .withColumn("id", F.monotonically_increasing_id())  # fixed by the checkpoint
     )
+    tables, bits = sized(classes.count(), cosine)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<bigint>")
     def hashed(vs: pd.Series) -> pd.Series:
         out = np.empty(len(vs), dtype=object)
         for dim in {len(x) for x in vs}:
             at = [i for i, x in enumerate(vs) if len(x) == dim]
-            for i, s in zip(at, signatures(np.stack([vs.iat[i] for i in at]), tables, bits)):
+            for i, s in zip(at, signatures(np.stack([vs.iat[i] for i in at]).astype(float), tables, bits)):
                 out[i] = s.tolist()
         return pd.Series(out)
 
-    known = durable(classes.select("id", "label", "rep", "size", "embedding", hashed("embedding").alias("sig")))
-    filed = known.select("id", "label", F.size("embedding").alias("dim"), F.posexplode("sig").alias("tab", "hash"))
+    filed = classes.select("id", "label", F.size("embedding").alias("dim"), F.posexplode(hashed("embedding")).alias("tab", "hash"))
     where = ["label", "dim", "tab", "hash"]
     full = durable(filed.groupBy(*where).agg(F.count("*").alias("n")).where("n > 1"))
-    members = filed.join(full, where).join(known.select("id", "rep", "size", "embedding", "sig"), "id")
-    members = members.withColumn("key", F.xxhash64(*where))
+    members = filed.join(full, where).withColumn("key", F.xxhash64(*where))
+    # buckets are dealt out by ids; a vector is added once for each block it is in
+    dealt = in_blocks(members, "key", "n", F.col("id"), BLOCK).join(classes.select("id", "size", "embedding"), "id")
 
     def block(g: pd.DataFrame) -> pd.DataFrame | None:
-        x = np.stack(g["embedding"].to_numpy()).astype(float)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
+        raw = np.stack(g["embedding"].to_numpy()).astype(float)
+        x = raw / np.abs(raw).max(axis=1, keepdims=True)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        sig, tab = np.stack(g["sig"].to_numpy()), int(g["tab"].iat[0])
         near = x @ x.T >= cosine
         np.fill_diagonal(near, False)
-        my, size, ids = g["my"].to_numpy(), g["size"].to_numpy(), g["id"].to_numpy()
+        my, size, ids, tab = g["my"].to_numpy(), g["size"].to_numpy(), g["id"].to_numpy(), int(g["tab"].iat[0])
         if g["pa"].iat[0] != g["pb"].iat[0]:
             near &= my[:, None] != my[None, :]
-        i, j = np.nonzero(near)
-        first = ~(sig[i, :tab] == sig[j, :tab]).any(axis=1)
-        i, j = i[first], j[first]
-        if not len(i):
+        if not near.any():
             return None
-        own = np.zeros_like(near)
-        own[i, j] = True
-        count = own @ size
-        u, v = spanning(own, ids)
+        sig = signatures(raw, tables, bits)[:, :tab]
+        for lo in range(0, len(near), 64):
+            i, j = np.nonzero(near[lo : lo + 64])
+            for at in range(0, len(i), 1 << 13):
+                a, b = i[at : at + (1 << 13)] + lo, j[at : at + (1 << 13)]
+                near[a, b] = ~(sig[a] == sig[b]).any(axis=1)
+        count = near @ size
+        u, v = spanning(near, ids)
         links = pd.DataFrame({"id": ids, "n": count, "to": pd.array([None] * len(ids), dtype="Int64")})[count > 0]
         return pd.concat([links, pd.DataFrame({"id": u, "n": 0, "to": pd.array(v, dtype="Int64")})], ignore_index=True)
 
-    found = durable(grouped(in_blocks(members, "key", "n", F.col("id"), BLOCK), [*where, "pa", "pb"], block, "id long, n long, to long"))
+    found = durable(grouped(dealt, [*where, "pa", "pb"], block, "id long, n long, to long"))
     linked = found.groupBy("id").agg(F.sum("n").alias("others"))
     roots = components(found.where("to is not null").select(F.col("id").alias("u"), F.col("to").alias("v")))
-    named = known.select("id", "rep").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    named = classes.select("id", "rep").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     whole = durable(
         named.join(least, "root").join(linked, "id", "left")
