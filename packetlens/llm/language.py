@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 DIMS = 1 << 15
 #: Rows of each language that the model is fitted to, about: those with the smallest hashes of their ids and texts.
 FIT_ROWS = 400
+#: N-grams beyond which a document weighs no more in the fit, the unit that counts are rounded to, and how many n-grams
+#: of all languages together are added to each.
+LONG, UNIT, SMOOTH = 20_000, 4096, 200.0
 ROUNDS = 12
 UNKNOWN = "und"
 
@@ -53,9 +56,11 @@ def grams(text: str | None, block: int = 1 << 18) -> np.ndarray:
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and smoothed log probabilities [gram, language]. Sums are taken in the executors.
+    """Languages, and smoothed log probabilities [gram, language].
 
-    Only text and lang of rows that are not held out are used; about ``fit_rows`` rows a language.
+    Only text and lang of rows that are not held out are used; about ``fit_rows`` rows a language, equal rows (id and
+    text) once. A document weighs as much as its n-grams, but none more than one of LONG n-grams. The executors add
+    the counts up, in whole numbers, so that the sums are the same in every run.
     """
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # a threshold of hashes for each language, from its exact count, so that no group is gathered
@@ -67,24 +72,26 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
     limit = F.lit(-1)
     for x in langs:
         limit = F.when(F.col("lang") == x, min(span, int(span * fit_rows / sizes[x]))).otherwise(limit)
-    part = labelled.where(F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(span)) < limit).select("lang", "text")
+    sample = labelled.select("lang", "text", F.xxhash64(F.lit(11), "doc_id", "text").alias("h")).where(F.pmod("h", F.lit(span)) < limit)
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 g = grams(t)
-                # a document weighs the same whatever its length, beyond the first thousands of grams
-                sums[x] = sums.get(x, 0) + g * min(1.0, 20_000 / max(1, g.sum()))
-        packed = pa.array([v.astype("<f8").tobytes() for v in sums.values()], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), packed], ["lang", "sums"])
+                sums[x] = sums.get(x, 0) + np.rint(g * (UNIT * min(1.0, LONG / max(1, g.sum())))).astype(np.int64)
+        for x, v in sums.items():
+            at = np.nonzero(v)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(v[at])], ["lang", "gram", "n"])
 
+    seen = sample.dropDuplicates(["lang", "h"]).select("lang", "text").mapInArrow(count, "lang string, gram int, n long")
+    found = seen.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # the model's own size at most
     counts = np.zeros((DIMS, len(langs)))
-    for r in part.mapInArrow(count, "lang string, sums binary").toLocalIterator():
-        counts[:, langs.index(r.lang)] += np.frombuffer(r.sums, dtype="<f8")
+    place = {x: k for k, x in enumerate(langs)}
+    counts[found["gram"].to_numpy(), [place[x] for x in found["lang"].to_pylist()]] = found["n"].to_numpy() / UNIT
     # what all languages share smooths each one
     whole = (counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * DIMS)
-    p = (counts + 200.0 * whole[:, None]) / (counts.sum(axis=0) + 200.0)
+    p = (counts + SMOOTH * whole[:, None]) / (counts.sum(axis=0) + SMOOTH)
     return langs, np.log(p)
 
 
