@@ -38,7 +38,7 @@ def reported(spark: SparkSession, captures: str, path: str | None, every: float
     if not path:
         yield
         return
-    total, size, began = count_packets(captures), sum(os.path.getsize(x.removeprefix("file://")) for x in located(captures) if "://" not in x), time.time()
+    total, size, began = count_packets(spark, captures), sum(os.path.getsize(x.removeprefix("file://")) for x in located(captures) if "://" not in x), time.time()
     sc, over = spark.sparkContext, threading.Event()
     group = f"scan-{time.time_ns()}"
     sc.setJobGroup(group, "scan of captures")

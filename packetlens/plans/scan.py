@@ -96,5 +96,5 @@ def scan_raw(raw: DataFrame, ioc: match.Indicators, cfg: ScanConfig | None = Non
 
 def scan_files(spark: SparkSession, path: str, ioc: match.Indicators | None = None, cfg: ScanConfig | None = None, bpf: str = "", land: str | None = None, **options: str) -> Scan:
     """Scan of capture files."""
-    raw = pcap.register(spark).read.format("pcap").options(**options).load(path)
+    raw = pcap.load(spark, path, **options)
     return scan_raw(raw, ioc or match.of_lists(spark), cfg, bpf, land)

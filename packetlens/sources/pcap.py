@@ -1,28 +1,32 @@
-"""Capture files as a Spark data source: ``spark.read.format("pcap").load("captures/*.pcap")``.
+"""Capture files as a Spark data source: ``load(spark, "captures/*.pcap")``, or ``spark.read.format("pcap").load(...)``.
 
 Reads classic captures (either byte order, micro- or nanoseconds) and pcapng (section, interface, enhanced and simple
-packet blocks). Options: path (a file, a glob, or several by commas), mode (FAILFAST: a broken tail is an error;
-PERMISSIVE: reading stops there), splitBytes (default 64 MiB).
-
-Records carry no sync marks, so by default the planner hops over the record headers of a file larger than splitBytes,
-sixteen bytes each, and cuts it where a record begins; tasks then read disjoint byte ranges. Smaller files are one task
-each and are not walked. packet_id is the record's place in its file, plus 2^40 for each file before it in name order.
-
-ids=offset is for very large files: nothing is walked on the driver. Classic captures are cut at any byte, each task
-finds the first record by a chain of plausible headers, and packet_id is the record's byte offset instead of its
-number: it orders packets just the same. pcapng files then are one task each.
+packet blocks). Options: path (a file, a folder, a glob, or several by commas, local or by URI), mode (FAILFAST: a broken
+tail is an error; PERMISSIVE: reading stops there), splitBytes (default 64 MiB), ids (order: packet_id is the record's
+place in its file, plus 2^40 for each file before it in name order; offset: its byte offset instead, which orders
+packets just the same).
+
+Records carry no sync marks, so a file larger than splitBytes is cut where a record is known to begin. ``load`` finds
+these places in a Spark job: a task for each stretch of a classic capture guesses its first record and hops from header
+to header to the stretch's end; the driver puts the stretches together, and one whose guess is not where the stretch
+before it ended is walked again from there. So no guess is ever believed, and every record is read once. pcapng files
+are walked by one task each. The driver holds one entry a stretch. Without ``load`` the planner walks the large files.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import glob as globs
+import json
 import os
 import struct
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from packetlens.schema import RAW
@@ -145,40 +149,54 @@ def _interface(order: str, body: bytes) -> tuple[int, int, int, int]:
     return link, ticks, shift, snap
 
 
-#: Headers in a row that must be plausible where a reader joins a file in its middle, and how far it looks.
+#: Headers in a row that must be plausible where a reader guesses a record's start in the middle of a file, and how far
+#: it looks for them.
 CHAIN, WINDOW = 12, 1 << 20
 
 
-def joined(f, state: State, at: int, size: int, first_second: int) -> int:
-    """Offset of the first record at or after ``at``: where a chain of plausible headers begins that, unless the file
-    ends in it, is CHAIN long. Plausible: lengths within limits, fractions below a second, times within ten years."""
+def guessed(f, state: State, at: int, size: int, first_second: int) -> int | None:
+    """Offset at or soon after ``at`` where a chain of plausible headers begins that, unless the file ends in it, is
+    CHAIN long: likely a record's start. Plausible: lengths within limits, fractions below a second, times within ten
+    years of the first or zero; at most half of the chain's records are empty."""
     limit = 1_000_000 * state.divisor
+    f.seek(at)
+    data = f.read(2 * WINDOW)
 
-    def header(data: bytes, k: int) -> int:
-        """Length of the record at ``k``; 0 if it is none."""
-        sec, frac, caplen, wirelen = struct.unpack_from(state.order + "IIII", data, k)
-        good = 0 < caplen <= 262_144 and caplen <= wirelen <= 1 << 24 and frac < limit and abs(sec - first_second) < 315_360_000
-        return 16 + caplen if good else 0
-
-    def chained(place: int) -> bool:
+    def chained(k: int) -> bool:
+        empty = 0
         for _ in range(CHAIN):
-            if place == size:
+            if at + k == size:
                 return True
-            f.seek(place)
-            head = f.read(16)
-            if len(head) < 16 or not (step := header(head, 0)):
+            if k + 16 > len(data):
                 return False
-            place += step
-        return True
-
-    while at < size:
-        f.seek(at)
-        data = f.read(WINDOW + 16)
-        for k in range(min(WINDOW, len(data) - 15)):
-            if header(data, k) and chained(at + k):
-                return at + k
-        at += WINDOW
-    return size
+            sec, frac, caplen, wirelen = struct.unpack_from(state.order + "IIII", data, k)
+            if caplen > 262_144 or not caplen <= wirelen <= 1 << 24 or frac >= limit or (sec and first_second and abs(sec - first_second) >= 315_360_000):
+                return False
+            empty += not caplen
+            k += 16 + caplen
+        return 2 * empty <= CHAIN
+
+    return next((at + k for k in range(min(WINDOW, max(0, len(data) - 15))) if chained(k)), None)
+
+
+def walked(f, state: State, at: int, stop: int, size: int, every: int = 0) -> tuple[int, int, bool, list[tuple[int, int]]]:
+    """From the record at ``at`` by headers to the first one at or behind ``stop``: where that is, how many records were
+    passed, whether the file breaks off there, and (offset, number) of the first record behind each ``every`` bytes."""
+    n, base, data, cuts, due = 0, at, b"", [], at + every
+    while at < stop:
+        if not base <= at <= base + len(data) - 16:
+            f.seek(at)
+            base, data = at, f.read(WINDOW)
+            if len(data) < 16:
+                return at, n, bool(data), cuts
+        (caplen,) = struct.unpack_from(state.order + "I", data, at - base + 8)
+        if caplen > LARGEST or at + 16 + caplen > size:
+            return at, n, True, cuts
+        if every and at >= due:
+            cuts.append((at, n))
+            due = at + every
+        at, n = at + 16 + caplen, n + 1
+    return at, n, False, cuts
 
 
 def opened(path: str):
@@ -192,22 +210,39 @@ def opened(path: str):
 
 
 def located(path: str) -> list[str]:
-    """Files of a path with globs and commas, in name order; a path that names nothing is an error."""
+    """Files of a path with globs, folders and commas, in name order; a path that names nothing is an error."""
     found: list[str] = []
     for part in filter(None, (x.strip() for x in path.split(","))):
         if "://" in part and not part.startswith("file://"):
-            found.append(part)
-            continue
-        local = part.removeprefix("file://")
-        if os.path.isdir(local):
-            local = os.path.join(local, "*")
-        hits = sorted(x for x in globs.glob(local) if os.path.isfile(x))
+            hits = _stored(part)
+        else:
+            local = part.removeprefix("file://")
+            if os.path.isdir(local):
+                local = os.path.join(local, "*")
+            hits = sorted(x for x in globs.glob(local) if os.path.isfile(x))
         if not hits:
             raise FileNotFoundError(f"no capture at {part}")
         found += hits
     return found
 
 
+def _stored(uri: str) -> list[str]:
+    """Files of a store's path: one file, those of a folder, or those that a glob in the last part of the path takes."""
+    from pyarrow import fs
+
+    folder, _, last = uri.rstrip("/").rpartition("/")
+    pattern = last if any(x in last for x in "*?[") else ""
+    store, name = fs.FileSystem.from_uri(folder if pattern else uri)
+    info = store.get_file_info(name)
+    if info.type == fs.FileType.File:
+        return [uri]
+    if info.type != fs.FileType.Directory:
+        return []
+    inside = [x.base_name for x in store.get_file_info(fs.FileSelector(name)) if x.is_file]
+    base = folder if pattern else uri.rstrip("/")
+    return sorted(f"{base}/{x}" for x in inside if not pattern or fnmatch.fnmatchcase(x, pattern))
+
+
 @dataclass
 class Range(InputPartition):
     path: str
@@ -215,45 +250,155 @@ class Range(InputPartition):
     start: int | None = None
     end: int | None = None
     state: State | None = None
-    #: packet_id is the offset; ``start`` may lie within a record.
-    loose: bool = False
+    #: packet_id is the record's offset.
+    by_offset: bool = False
 
 
-def loosely_planned(path: str, first_id: int, split: int) -> list[Range]:
-    """Ranges of a file by size alone."""
-    with opened(path) as f:
-        state = begin(f)
-        f.seek(0, 2)
-        size = f.tell()
-    if state.kind != "pcap" or size <= split:
-        return [Range(path, first_id, loose=state.kind == "pcap")]
-    cuts = list(range(0, size, split))
-    return [Range(path, first_id, a or None, b, loose=True) for a, b in zip(cuts, [*cuts[1:], None])]
+def warn_of_link(path: str, state: State) -> None:
+    if state.kind == "pcap" and state.linktype != ETHERNET:
+        warnings.warn(f"{path}: link type {state.linktype} is read as Ethernet", stacklevel=3)
 
 
 def planned(path: str, first_id: int, split: int, strict: bool) -> list[Range]:
     """Ranges of a file, each beginning at a record."""
     with opened(path) as f:
         state = begin(f)
-        if state.kind == "pcap" and state.linktype != ETHERNET:
-            warnings.warn(f"{path}: link type {state.linktype} is read as Ethernet", stacklevel=2)
+        warn_of_link(path, state)
         f.seek(0, 2)
         size = f.tell()
         if size <= split:
             return [Range(path, first_id)]
-        f.seek(24 if state.kind == "pcap" else 0)
-        cuts, n, due = [], 0, 0
-        try:
-            for at, now, _ in records(f, state, size, data=False):
-                if at >= due:
-                    cuts.append((at, n, now.copy()))
-                    due = at + split
-                n += 1
-        except CaptureError:
-            if strict:
-                raise
-        ends = [at for at, _, _ in cuts[1:]] + [None]
-        return [Range(path, first_id + k, at, end, now) for (at, k, now), end in zip(cuts, ends)]
+        cuts, _ = _cuts(f, state, size, split, strict)
+    ends = [at for at, _, _ in cuts[1:]] + [None]
+    return [Range(path, first_id + k, at, end, now) for (at, k, now), end in zip(cuts, ends)]
+
+
+def _cuts(f, state: State, size: int, split: int, strict: bool) -> tuple[list[tuple[int, int, State]], int]:
+    """(offset, number, state) of the first record and of the first one behind each ``split`` bytes, and how many there are."""
+    if state.kind == "pcap":
+        _, n, _, cuts = walked(f, state, 24, size, size, split)
+        return [(24, 0, state), *((at, k, state) for at, k in cuts)], n
+    f.seek(0)
+    cuts, n, due = [], 0, 0
+    try:
+        for at, now, _ in records(f, state, size, data=False):
+            if at >= due:
+                cuts.append((at, n, now.copy()))
+                due = at + split
+            n += 1
+    except CaptureError:
+        if strict:
+            raise
+    return cuts, n
+
+
+#: Rounds in which stretches are walked again, before the rest of a file is left to one task.
+ROUNDS = 8
+
+
+def indexed(spark: SparkSession, path: str, split: int = 64 << 20, strict: bool = True, counted: bool = False) -> list[tuple[Range, int]]:
+    """Ranges of all files of a path, found by Spark jobs, each with how many records it holds.
+
+    The number is -1 for files within ``split``, which are not walked, unless ``counted``.
+    """
+    files = located(path)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, name in zip(b["k"], b["path"]):
+                with opened(name) as f:
+                    state = begin(f)
+                    f.seek(0, 2)
+                    size = f.tell()
+                    cuts, n = None, -1
+                    if size <= split and counted or state.kind != "pcap" and size > split:
+                        cuts, n = _cuts(f, state, size, max(split, 1), strict)
+                        cuts = json.dumps([(at, m, vars(now)) for at, m, now in cuts]) if size > split else None
+                out.append((k, size, json.dumps(vars(state)), cuts, n))
+            yield pd.DataFrame(out, columns=["k", "size", "state", "cuts", "n"])
+
+    def spread(rows: list[tuple], schema: str) -> DataFrame:
+        return importable(spark).createDataFrame(rows, schema).repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))
+
+    seen = spread(list(enumerate(files)), "k int, path string").mapInPandas(look, "k int, size long, state string, cuts string, n long").collect()
+    out: dict[int, list[tuple[int, int, int | None, dict | None]]] = {}  # (start, records, end, state) by file
+    stretches: dict[int, list[list]] = {}  # of a classic file: [from, to, (start, landing, records, broken) or None]
+    sizes = {}
+    for r in seen:
+        state = json.loads(r.state)
+        warn_of_link(files[r.k], State(**state))
+        if r.cuts is not None:
+            found = json.loads(r.cuts)
+            marks = [at for at, _, _ in found[1:]] + [None]
+            numbers = [m for _, m, _ in found[1:]] + [r.n]
+            out[r.k] = [(at, after - m, end, now) for (at, m, now), end, after in zip(found, marks, numbers)]
+        elif r.size <= split:
+            out[r.k] = [(-1, r.n, None, None)]
+        else:
+            cuts = [24, *range(split, r.size, split), r.size]
+            stretches[r.k], sizes[r.k] = [[a, b, None] for a, b in zip(cuts, cuts[1:]) if a < b], r.size
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, i, name, a, to, start, size, last in b.itertuples(index=False):
+                with opened(name) as f:
+                    state = begin(f)
+                    (first,) = struct.unpack(state.order + "I", f.read(4).ljust(4, b"\0"))
+                    at = start if start >= 0 else guessed(f, state, a, size, first)
+                    if at is None:
+                        continue
+                    landing, n, broken, cuts = walked(f, state, at, to, size, split if last else 0)
+                    rows.append((k, i, at, landing, n, broken, json.dumps(cuts)))
+            yield pd.DataFrame(rows, columns=["k", "i", "start", "landing", "n", "broken", "cuts"])
+
+    # the first stretch's start is known, the others are guessed at
+    todo = [(k, i, files[k], a, b, 24 if not i else -1, sizes[k], False) for k, parts in stretches.items() for i, (a, b, _) in enumerate(parts)]
+    rounds = 0
+    while todo:
+        for r in spread(todo, "k int, i int, path string, a long, b long, start long, size long, last boolean").mapInPandas(walk, "k int, i int, start long, landing long, n long, broken boolean, cuts string").collect():
+            if rounds > ROUNDS:  # the rest of the file in one walk: its cuts are the ranges
+                marks = [(r.start, 0), *map(tuple, json.loads(r.cuts)), (None, r.n)]
+                rest = [(at, after - m, end, None) for (at, m), (end, after) in zip(marks, marks[1:])]
+                done, _, _ = _put_together(stretches.pop(r.k)[: r.i])
+                out[r.k] = [*done[:-1], (*done[-1][:2], r.start, None), *rest]
+            else:
+                stretches[r.k][r.i][2] = (r.start, r.landing, r.n, r.broken)
+        rounds += 1
+        todo = []
+        for k, parts in list(stretches.items()):
+            ranges, missing, expected = _put_together(parts)
+            if missing is None:
+                out[k] = ranges
+                stretches.pop(k)
+            else:
+                last = rounds > ROUNDS
+                todo.append((k, missing, files[k], parts[missing][0], sizes[k] if last else parts[missing][1], expected, sizes[k], last))
+    listed = []
+    for k, name in enumerate(files):
+        number = k << FILE_BITS
+        for start, n, end, state in out[k]:
+            listed.append((Range(name, number, start if start >= 0 else None, end, State(**state) if state else None), n))
+            number += max(0, n)
+    return listed
+
+
+def _put_together(parts: list[list]) -> tuple[list[tuple], int | None, int]:
+    """Ranges of a file's stretches as far as each begins where the one before it ended; the first one that does not, and where it should."""
+    ranges, expected, missing = [], 24, None
+    for i, (_, to, found) in enumerate(parts):
+        if expected >= to:
+            continue  # a record reaches over the whole stretch
+        if found is None or found[0] != expected:
+            missing = i
+            break
+        start, expected, n, broken = found
+        ranges.append((start, n))
+        if broken:
+            break
+    ends = [start for start, _ in ranges[1:]] + [None]
+    return [(start, n, end, None) for (start, n), end in zip(ranges, ends)], missing, expected
 
 
 class PcapReader(DataSourceReader):
@@ -261,12 +406,18 @@ class PcapReader(DataSourceReader):
         self.path = options.get("path", "")
         self.strict = options.get("mode", "FAILFAST").upper() != "PERMISSIVE"
         self.split = int(options.get("splitbytes", options.get("splitBytes", 64 << 20)))
-        self.loose = options.get("ids", "order").lower() == "offset"
+        self.by_offset = options.get("ids", "order").lower() == "offset"
+        self.cuts = options.get("cuts", "")
 
     def partitions(self) -> list[Range]:
-        if self.loose:
-            return [r for k, p in enumerate(located(self.path)) for r in loosely_planned(p, k << FILE_BITS, self.split)]
-        return [r for k, p in enumerate(located(self.path)) for r in planned(p, k << FILE_BITS, self.split, self.strict)]
+        if self.cuts:
+            found = [Range(p, n, a, b, State(**s) if s else None) for p, n, a, b, s in json.loads(self.cuts)]
+        else:
+            found = [r for k, p in enumerate(located(self.path)) for r in planned(p, k << FILE_BITS, self.split, self.strict)]
+        for r in found:
+            if self.by_offset:
+                r.first_id, r.by_offset = r.first_id >> FILE_BITS << FILE_BITS, True
+        return found
 
     def read(self, part: Range) -> Iterator:
         import pyarrow as pa
@@ -280,18 +431,13 @@ class PcapReader(DataSourceReader):
 
         with opened(part.path) as f:
             state = begin(f)
-            if part.start is not None and part.loose:
-                (first_second,) = struct.unpack(state.order + "I", f.read(4))
-                f.seek(0, 2)
-                size = f.tell()
-                f.seek(joined(f, state, part.start, size, first_second))
-            elif part.start is not None:
+            if part.start is not None:
                 f.seek(part.start)
-                state = part.state
+                state = part.state or state
             n = part.first_id
             try:
                 for at, _, (us, caplen, wirelen, link, body) in records(f, state, part.end):
-                    rows.append((part.first_id + at if part.loose else n, us, us // 1_000_000 + us % 1_000_000 / 1e6, caplen, wirelen & 0x7FFFFFFF, link, body))
+                    rows.append((part.first_id + at if part.by_offset else n, us, us // 1_000_000 + us % 1_000_000 / 1e6, caplen, wirelen & 0x7FFFFFFF, link, body))
                     n, held = n + 1, held + caplen
                     if len(rows) >= 8192 or held > 16 << 20:
                         yield batch()
@@ -323,10 +469,14 @@ def register(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def count_packets(path: str) -> int:
-    """Packets of all files of a path, by record headers only, before any filter."""
-    total = 0
-    for p in located(path):
-        with opened(p) as f:
-            total += sum(1 for _ in records(f, begin(f), data=False))
-    return total
+def load(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Raw packets of a path. Files larger than splitBytes are cut by tasks of a Spark job."""
+    given = {k.lower(): v for k, v in options.items()}
+    ranges = indexed(spark, path, int(given.get("splitbytes", 64 << 20)), given.get("mode", "FAILFAST").upper() != "PERMISSIVE")
+    cuts = json.dumps([(r.path, r.first_id, r.start, r.end, vars(r.state) if r.state else None) for r, _ in ranges])
+    return register(spark).read.format("pcap").options(**options).option("cuts", cuts).load(path)
+
+
+def count_packets(spark: SparkSession, path: str, split: int = 64 << 20) -> int:
+    """Packets of all files of a path, by record headers only, before any filter; tasks walk them."""
+    return sum(n for _, n in indexed(spark, path, split, strict=False, counted=True))
