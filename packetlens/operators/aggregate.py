@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +56,52 @@ def top_names(packets: DataFrame, column: str, k: int | None) -> DataFrame:
     return top(packets.where(F.col(column) != ""), column, F.lit(1).cast("long"), k)
 
 
+def sketched(df: DataFrame, key: str, weight: Column, capacity: int) -> DataFrame:
+    """Space-Saving sketches of the partitions of ``df``: (key, count, error, floor) of at most ``capacity`` keys each.
+
+    A key's true weight in its partition lies between count - error and count; that of a key that is not held is at
+    most floor. Evicted is the key of smallest count; bounded memory, one pass, no shuffle.
+    """
+    arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    rows = df.select(F.col(key).alias("key"), weight.cast("long").alias("weight")).where("key is not null and weight > 0")
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Sketch(capacity)
+        for b in batches:
+            # equal keys of a batch count once, heavy ones first: fewer evictions
+            summed = pa.Table.from_batches([b]).group_by("key").aggregate([("weight", "sum")]).sort_by([("weight_sum", "descending"), ("key", "ascending")])
+            for k, n in zip(summed["key"].to_pylist(), summed["weight_sum"].to_pylist()):
+                held.add(k, n)
+        found = held.top()
+        floor = held.floor()
+        # the row without a key tells what a key may weigh that the partition does not hold
+        columns = [[None, *(k for k, _, _ in found)], [0, *(n for _, n, _ in found)], [0, *(e for _, _, e in found)], [floor] * (len(found) + 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, [arrow[kind], *[pa.int64()] * 3])], ["key", "count", "error", "floor"])
+
+    return rows.mapInArrow(stream, f"key {kind}, count long, error long, floor long")
+
+
+def merged_sketches(parts: DataFrame, k: int | None = None) -> DataFrame:
+    """(key, count, error) of the whole from sketches of its parts: the true weight lies between count - error and count.
+
+    A part that does not hold a key may have up to its floor of it: the sum of all floors, less those of the parts that
+    hold the key, is added to count and error alike. ``k``: the largest counts, equal ones by key.
+    """
+    floors = parts.where("key is null").agg(F.coalesce(F.sum("floor"), F.lit(0)).alias("floors"))
+    each = parts.where("key is not null").groupBy("key").agg(F.sum(F.col("count") - F.col("floor")).alias("count"), F.sum(F.col("error") - F.col("floor")).alias("error"))
+    out = each.join(F.broadcast(floors)).select("key", (F.col("count") + F.col("floors")).alias("count"), (F.col("error") + F.col("floors")).alias("error"))  # one row
+    return out if k is None else out.orderBy(F.desc("count"), "key").limit(k)
+
+
 def approx_top(df: DataFrame, column: str, k: int, items: int = 10_000) -> DataFrame:
-    """(key, count) by a mergeable sketch of ``items`` counters: for keys too many to count exactly. Counts are estimates."""
-    sketch = df.where(F.col(column) != "").agg(F.expr(f"approx_top_k(`{column}`, {int(k)}, {int(items)})").alias("x"))
-    return sketch.select(F.explode("x").alias("x")).select(F.col("x.item").alias("key"), F.col("x.count").alias("count"))
+    """(key, count, error) by mergeable sketches of ``items`` counters: for keys too many to count exactly."""
+    return merged_sketches(sketched(df.where(F.col(column) != ""), column, F.lit(1), items), k)
+
+
+def pruned(df: DataFrame, capacity: int) -> DataFrame:
+    """The largest ``capacity`` entries of a sketch (key, count, error)."""
+    return df.orderBy(F.desc("count"), "key").limit(capacity)
 
 
 def merged_top(lists: DataFrame, k: int, name: str = "key") -> DataFrame:
@@ -95,19 +141,61 @@ def conversations(flow: DataFrame) -> DataFrame:
     )
 
 
-def space_saving(pairs: list[tuple[object, int]], k: int) -> list[tuple[object, int, int]]:
-    """(key, count, error) of the weighted heavy-hitter sketch of ``k`` counters: what a single bounded pass would give.
+class Sketch:
+    """Weighted Space-Saving counters: at most ``capacity`` keys; a new key takes the place and the count of the least.
 
-    For comparison with ``top`` on streams that fit the driver; large tables use ``top`` or ``approx_top``.
+    Keys lie in buckets of equal counts, the counts in a heap, so that an addition costs a few steps whatever the
+    capacity.
     """
-    held: dict[object, list[int]] = {}
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.held: dict[object, list[int]] = {}
+        self.buckets: dict[int, dict[object, None]] = {}
+        self.counts: list[int] = []
+        self.evicted = False
+
+    def _put(self, key: object, count: int) -> None:
+        if count not in self.buckets:
+            self.buckets[count] = {}
+            heapq.heappush(self.counts, count)
+        self.buckets[count][key] = None
+
+    def _least(self) -> int:
+        while not self.buckets.get(self.counts[0]):
+            self.buckets.pop(heapq.heappop(self.counts), None)
+        return self.counts[0]
+
+    def add(self, key: object, weight: int) -> None:
+        if weight <= 0 or not self.capacity:
+            self.evicted = self.evicted or weight > 0
+            return
+        if key in self.held:
+            entry = self.held[key]
+            del self.buckets[entry[0]][key]
+            entry[0] += weight
+        elif len(self.held) < self.capacity:
+            entry = self.held[key] = [weight, 0]
+        else:
+            least = self._least()
+            out = next(iter(self.buckets[least]))
+            del self.buckets[least][out], self.held[out]
+            entry = self.held[key] = [least + weight, least]
+            self.evicted = True
+        self._put(key, entry[0])
+
+    def top(self, k: int | None = None) -> list[tuple[object, int, int]]:
+        """(key, count, error), the largest counts first, equal ones by key."""
+        return sorted(((key, n, e) for key, (n, e) in self.held.items()), key=lambda x: (-x[1], str(x[0])))[:k]
+
+    def floor(self) -> int:
+        """What a key that is not held may weigh at most."""
+        return self._least() if self.evicted and self.held else 0
+
+
+def space_saving(pairs: list[tuple[object, int]], k: int) -> list[tuple[object, int, int]]:
+    """(key, count, error) of one pass over ``pairs`` with ``k`` counters."""
+    sketch = Sketch(k)
     for key, weight in pairs:
-        if key in held:
-            held[key][0] += weight
-        elif len(held) < k:
-            held[key] = [weight, 0]
-        elif k:
-            out = min(held, key=lambda x: held[x][0])
-            least, _ = held.pop(out)
-            held[key] = [least + weight, least]
-    return sorted(((key, n, e) for key, (n, e) in held.items()), key=lambda x: (-x[1], str(x[0])))
+        sketch.add(key, weight)
+    return sketch.top()

@@ -51,21 +51,30 @@ def keyword_match(packets: DataFrame, words: tuple[str, ...], cfg: ScanConfig) -
     return _alerts(hit, "keyword", "keyword_match", F.concat(F.lit("Matched keyword: "), "word"), c.alert_proto())
 
 
-def sketch(packets: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """(src_ip4, packet_id, window, pop): set bits of the source's port sketch at each packet to a port."""
-    probes = packets.where((F.col("is_ipv4")) & F.col("l4").isin(c.TCP, c.UDP) & (F.col("dst_port") != 0))
-    slim = probes.select("src_ip4", "packet_id", F.floor("ts").cast("long").alias("tsec"), c.bucket("dst_port").alias("bucket"))
-    dealt = fold.window_starts(slim, "src_ip4", cfg.portscan_window_seconds)
-    new = F.row_number().over(Window.partitionBy("src_ip4", "window", "bucket").orderBy("packet_id")) == 1
-    so_far = Window.partitionBy("src_ip4", "window").orderBy("packet_id").rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.withColumn("new", new.cast("int")).withColumn("pop", F.sum("new").over(so_far)).select("src_ip4", "packet_id", "window", "pop", "new")
+#: Packet columns that an alert is made of.
+SEEN = ("packet_id", "ts_us", "ts", "src_ip", "dst_ip", "src_ip4", "dst_ip4", "src_port", "dst_port", "l4")
+
+
+def probes(packets: DataFrame, cfg: ScanConfig) -> DataFrame:
+    """Packets to a port, with what alerts need, the port's bucket in the sketch, and the window of their source."""
+    to_port = packets.where(F.col("is_ipv4") & F.col("l4").isin(c.TCP, c.UDP) & (F.col("dst_port") != 0))
+    slim = to_port.select(*SEEN, F.floor("ts").cast("long").alias("tsec"), c.bucket("dst_port").alias("bucket"))
+    return fold.windowed(slim, "src_ip4", cfg.portscan_window_seconds)
+
+
+def _sketches(seen: DataFrame) -> DataFrame:
+    """(src_ip4, window, firsts): the packets that set the bits of each window's sketch, in order; 2,048 at most."""
+    firsts = seen.groupBy("src_ip4", "window", "bucket").agg(F.min("packet_id").alias("first"))
+    return firsts.groupBy("src_ip4", "window").agg(F.sort_array(F.collect_list("first")).alias("firsts"))
 
 
 def port_scan(packets: DataFrame, cfg: ScanConfig) -> DataFrame:
-    at = sketch(packets, cfg).where(F.col("pop") == cfg.portscan_threshold)
-    if cfg.portscan_once:
-        at = at.where("new = 1")
-    hit = packets.join(at.select("packet_id"), "packet_id")
+    """Packets at which as many bits as the threshold are set: from the one that sets the last of them to the one
+    before the next bit is set."""
+    seen, t = probes(packets, cfg), cfg.portscan_threshold
+    reached = _sketches(seen).where(F.size("firsts") >= t).select("src_ip4", "window", F.get("firsts", F.lit(t - 1)).alias("from"), F.get("firsts", F.lit(t)).alias("to"))
+    until = F.col("packet_id") == F.col("from") if cfg.portscan_once else F.coalesce(F.col("packet_id") < F.col("to"), F.lit(True))
+    hit = seen.join(match.small(reached), ["src_ip4", "window"]).where((F.col("packet_id") >= F.col("from")) & until)
     kind = "port_scan_suspected" if cfg.profile == "legacy" else "port_scan"
     proto = c.proto_name() if cfg.profile == "legacy" else F.when(F.col("l4") == c.TCP, "TCP").otherwise("UDP")
     return _alerts(hit, "portscan", kind, "Approx distinct dst ports in window >= T", proto)
@@ -73,7 +82,8 @@ def port_scan(packets: DataFrame, cfg: ScanConfig) -> DataFrame:
 
 def port_scan_suspects(packets: DataFrame, cfg: ScanConfig) -> DataFrame:
     """(ip, count): the largest sketch of each source that reached the threshold."""
-    top = sketch(packets, cfg).where(F.col("pop") >= cfg.portscan_threshold).groupBy("src_ip4").agg(F.max("pop").alias("count"))
+    sizes = _sketches(probes(packets, cfg)).select("src_ip4", F.size("firsts").cast("long").alias("pop")).where(F.col("pop") >= cfg.portscan_threshold)
+    top = sizes.groupBy("src_ip4").agg(F.max("pop").alias("count"))
     return top.orderBy(F.desc("count"), "src_ip4").limit(cfg.top_k).select(c.ip4_text("src_ip4").alias("ip"), "count")
 
 
@@ -92,10 +102,9 @@ def dns_tunnel(packets: DataFrame, cfg: ScanConfig) -> DataFrame:
 
 
 def beaconing(packets: DataFrame, cfg: ScanConfig, keys: tuple[str, ...] = ("src_ip4", "dst_ip4", "dst_port")) -> DataFrame:
-    sent = packets.where(F.col("is_ipv4") & F.col("l4").isin(c.TCP, c.UDP) & c.outbound())
-    hits = fold.beacons(sent, list(keys), cfg.beaconing_min_count, cfg.beaconing_tolerance)
+    sent = packets.where(F.col("is_ipv4") & F.col("l4").isin(c.TCP, c.UDP) & c.outbound()).select(*SEEN)
     return _alerts(
-        packets.join(hits, "packet_id"), "beaconing", "beaconing", "Potential beaconing detected", c.alert_proto(),
+        fold.beacons(sent, list(keys), cfg.beaconing_min_count, cfg.beaconing_tolerance), "beaconing", "beaconing", "Potential beaconing detected", c.alert_proto(),
         interval_mean=F.round("interval_mean", 2), interval_stddev=F.round("interval_stddev", 2), sample_count=F.col("sample_count"),
     )
 
@@ -107,7 +116,7 @@ def exfiltration(packets: DataFrame, cfg: ScanConfig) -> DataFrame:
     up; only the stretch in which the threshold falls is sorted by packet. A busy destination so costs no more than
     its share of the scan.
     """
-    sent = packets.where(F.col("is_ipv4") & c.outbound()).select("packet_id", "dst_ip4", "payload_len", F.shiftright("packet_id", 12).alias("part"))
+    sent = packets.where(F.col("is_ipv4") & c.outbound()).select(*SEEN, "payload_len", F.shiftright("packet_id", fold.PART_BITS).alias("part"))
     limit = F.lit(cfg.exfil_bytes_threshold).cast("long")
     earlier = Window.partitionBy("dst_ip4").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sent.groupBy("dst_ip4", "part").agg(F.sum("payload_len").alias("size"))
@@ -118,9 +127,9 @@ def exfiltration(packets: DataFrame, cfg: ScanConfig) -> DataFrame:
     so_far = Window.partitionBy("dst_ip4").orderBy("packet_id").rowsBetween(Window.unboundedPreceding, 0)
     crossed = (
         sent.join(falls, ["dst_ip4", "part"]).withColumn("bytes_sent", F.col("before") + F.sum("payload_len").over(so_far))
-        .where((F.col("bytes_sent") >= limit) & (F.col("bytes_sent") - F.col("payload_len") < limit)).select("packet_id", "bytes_sent")
+        .where((F.col("bytes_sent") >= limit) & (F.col("bytes_sent") - F.col("payload_len") < limit))
     )
-    return _alerts(packets.join(crossed, "packet_id"), "exfil", "exfiltration", "Potential data exfiltration detected", c.alert_proto(), bytes_sent=F.col("bytes_sent"))
+    return _alerts(crossed, "exfil", "exfiltration", "Potential data exfiltration detected", c.alert_proto(), bytes_sent=F.col("bytes_sent"))
 
 
 def credentials(packets: DataFrame) -> DataFrame:

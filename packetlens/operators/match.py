@@ -7,9 +7,13 @@ equi-join. A list within BROADCAST_ROWS is broadcast; a longer one is joined by
 
 from __future__ import annotations
 
+import functools
 import ipaddress
+import itertools
 from dataclasses import dataclass
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +23,14 @@ BROADCAST_ROWS = 1_000_000
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): trimmed lines in file order without blanks and comments."""
-    text = spark.read.text(path).select(c.trim_blank("value").alias("value"), F.monotonically_increasing_id().alias("n"))
-    return text.where("value <> '' and not startswith(value, '#')")
+    """(n, value): entries of a text file."""
+    return entries(spark.read.text(path))
+
+
+def entries(text: DataFrame) -> DataFrame:
+    """(n, value): trimmed lines of column value in their order, without blanks and comments."""
+    trimmed = text.select(c.trim_blank("value").alias("value"), F.monotonically_increasing_id().alias("n"))
+    return trimmed.where("value <> '' and not startswith(value, '#')")
 
 
 @dataclass(frozen=True)
@@ -71,21 +80,31 @@ def of_lists(spark: SparkSession, ips: tuple[str, ...] = (), names: tuple[str, .
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def blocked(packets: DataFrame, nets: DataFrame, *sides: str) -> DataFrame:
-    """``packets`` with blocked_<side> for each address column <side>_ip4: whether a listed network holds it."""
-    prefixes = {r["prefix"]: r["count"] for r in nets.groupBy("prefix").count().orderBy("prefix").collect()}  # at most 33
+    """``packets`` with blocked_<side> for each address column <side>_ip4: whether a listed network holds it.
+
+    Each distinct address is looked up once, under its network of every length in the list; packets are then joined
+    with the addresses found.
+    """
+    lengths = [r["prefix"] for r in nets.select("prefix").distinct().orderBy("prefix").collect()]  # at most 33
+    none = F.lit(False)
+    if not lengths:
+        return packets.withColumns({f"blocked_{side}": none for side in sides})
+    each = None
     for side in sides:
-        ip, flag = F.col(f"{side}_ip4"), F.lit(False)
-        for p, n in prefixes.items():
-            hit = nets.where(F.col("prefix") == p).select(F.col("network").alias(f"net {p}"), F.lit(True).alias(f"hit {p}"))
-            hit = F.broadcast(hit) if n <= BROADCAST_ROWS else hit
-            packets = packets.join(hit, F.shiftright(ip, 32 - p) == F.col(f"net {p}"), "left")
-            flag = flag | F.coalesce(F.col(f"hit {p}"), F.lit(False))
-        packets = packets.withColumn(f"blocked_{side}", flag).drop(*(f"{x} {p}" for p in prefixes for x in ("net", "hit")))
+        own = packets.select(F.col(f"{side}_ip4").alias("ip")).where("ip is not null").distinct()
+        each = own if each is None else each.unionByName(own)
+    places = F.array(*(F.struct(F.lit(p).alias("prefix"), F.shiftright("ip", 32 - p).alias("network")) for p in lengths))
+    looked = each.distinct().select("ip", F.explode(places).alias("x")).select("ip", "x.*")
+    found = small(looked.join(small(nets), ["prefix", "network"], "left_semi").select("ip").distinct())
+    for side in sides:
+        flag = f"blocked_{side}"
+        hit = found.select(F.col("ip").alias(f"hit {side}"))
+        packets = packets.join(hit, F.col(f"{side}_ip4") == F.col(f"hit {side}"), "left").withColumn(flag, F.col(f"hit {side}").isNotNull()).drop(f"hit {side}")
     return packets
 
 
@@ -98,17 +117,55 @@ def suffixes(name: Column) -> Column:
 def listed_domains(names: DataFrame, listed: DataFrame, key: str, name: str = "name") -> DataFrame:
     """Rows of ``names`` (key, name, ...) whose name is listed or ends with a dot and a listed name; once each."""
     each = names.withColumn("suffix", F.explode(suffixes(F.col(name)))).where("suffix <> ''")
-    return each.join(_small(listed), F.col("suffix") == F.col("domain"), "left_semi").drop("suffix").dropDuplicates([key, name])
+    return each.join(small(listed), F.col("suffix") == F.col("domain"), "left_semi").drop("suffix").dropDuplicates([key, name])
+
+
+#: Keywords up to which one expression tests each; more are searched by an automaton in one pass.
+FEW_WORDS = 64
+
+
+@functools.lru_cache(maxsize=4)
+def automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Finds all words in one pass over Latin-1 text; of equal words the first listed."""
+    out = ahocorasick.Automaton()
+    for k, w in enumerate(words):
+        w8 = w.encode().decode("latin-1")
+        if w8 and w8 not in out:
+            out.add_word(w8, k)
+    out.make_automaton()
+    return out
 
 
 def keyword(payload: Column, words: tuple[str, ...], limit: int) -> Column:
     """The keyword that ends first in the first ``limit`` bytes, of those the longest, then the first listed; or null."""
-    if not words or limit <= 0:
+    if not any(words) or limit <= 0:
         return F.lit(None).cast("string")
     text = c.latin1(c.bytes_at(payload, 0, limit))
+    if len(words) > FEW_WORDS:
+
+        @F.pandas_udf("string")
+        def first(texts: pd.Series) -> pd.Series:
+            found = automaton(words)
+            # of the words that end at one place the longest comes first
+            return pd.Series([None if t is None else next((words[k] for _, k in found.iter(t)), None) for t in texts], dtype=object)
+
+        return first(text)
     found = []
     for k, w in enumerate(words):
         w8 = w.encode().decode("latin-1")
-        at = F.instr(text, w8)
+        at = F.instr(text, w8) if w8 else F.lit(0)
         found.append(F.when(at > 0, F.struct((at + len(w8)).alias("end"), F.lit(-len(w8)).alias("size"), F.lit(k).alias("id"), F.lit(w).alias("word"))))
     return F.array_min(F.array(*found))["word"]
+
+
+def keyword_matches(payload: Column, words: tuple[str, ...], limit: int | None = None, most: int | None = None) -> Column:
+    """Array of (id, stop) of all matches of all keywords, overlapping ones too, in one pass: by where they stop, the
+    longest first; the first ``limit`` bytes and ``most`` matches, None for all. Null for no payload."""
+
+    @F.pandas_udf("array<struct<id: int, stop: int>>")
+    def matches(texts: pd.Series) -> pd.Series:
+        found = automaton(words)
+        each = lambda t: [{"id": k, "stop": end + 1} for end, k in itertools.islice(found.iter(t), most)] if len(found) else []
+        return pd.Series([None if t is None else each(t) for t in texts], dtype=object)
+
+    return matches(c.latin1(payload if limit is None else c.bytes_at(payload, 0, limit)))

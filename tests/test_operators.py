@@ -93,6 +93,32 @@ def test_keywords(spark, words, text, found):
     assert scalar(spark, bytearray(text.encode()), match.keyword(F.col("x"), words, 512), kind="binary") == (found,)
 
 
+def test_many_keywords_in_one_pass(spark):
+    rng = random.Random(4)
+    words = tuple(dict.fromkeys("".join(rng.choice("abc") for _ in range(rng.randint(2, 6))) for _ in range(400))) + ("é", "ab")
+    assert len(words) > match.FEW_WORDS
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))).encode() for _ in range(100)] + [b"", "xé".encode(), None]
+    df = spark.createDataFrame([(k, None if t is None else bytearray(t)) for k, t in enumerate(texts)], "k int, x binary")
+    got = df.select("k", match.keyword(F.col("x"), words, 20).alias("w"), match.keyword_matches(F.col("x"), words, 20).alias("m")).orderBy("k").collect()
+    for r, t in zip(got, texts):
+        if t is None:
+            assert r.w is None and r.m is None
+            continue
+        t = t[:20]
+        found = {(k, e) for k, w in enumerate(words[:-1]) for e in range(len(t) + 1) if t[:e].endswith(w.encode())}
+        assert {(x.id, x.stop) for x in r.m} == found and [x.stop for x in r.m] == sorted(x.stop for x in r.m)
+        assert r.w == (words[min(found, key=lambda x: (x[1], -len(words[x[0]].encode()), x[0]))[0]] if found else None)
+
+
+@pytest.mark.parametrize("words, text, most, found", [
+    (("hello",), "say hello world", None, [(0, 9)]), (("password", "secret", "api_key"), "user=admin&password=123&api_key=xyz", None, [(0, 19), (2, 31)]),
+    (("ab", "abc", "bc"), "abc", None, [(0, 2), (1, 3), (2, 3)]), (("a",), "aaaaaaaaaa", 3, [(0, 1), (0, 2), (0, 3)]), (("a",), "", None, []), ((), "abc", None, []),
+])
+def test_keyword_matches(spark, words, text, most, found):
+    got = scalar(spark, bytearray(text.encode()), match.keyword_matches(F.col("x"), words, most=most), kind="binary")[0]
+    assert [(x.id, x.stop) for x in got] == found
+
+
 def test_keyword_limit(spark):
     x = bytearray(b"-" * 509 + b"abc" + b"d")
     assert scalar(spark, x, match.keyword(F.col("x"), ("abc",), 512), match.keyword(F.col("x"), ("abcd",), 512), match.keyword(F.col("x"), ("abc",), 0), kind="binary") == ("abc", None, None)
@@ -162,6 +188,50 @@ def slow_beacons(rows, least, tolerance):
     return out
 
 
+@pytest.mark.parametrize("bits", [12, 3])
+def test_port_scans_over_parts(spark, monkeypatch, bits):
+    """Windows that span parts, time that runs backwards, and a source that holds nearly all packets."""
+    monkeypatch.setattr(fold, "PART_BITS", bits)
+    rng = random.Random(bits)
+    rows, t = [], 1000.0
+    for _ in range(1500):
+        t += rng.choice([0, 0.2, 0.5, 3, 11, -4])
+        rows.append((max(0.0, t), 1 if rng.random() < 0.9 else rng.randint(2, 5), rng.choice([1, 2, 3, 4, 5, 80, 443, rng.randint(1, 9999)])))
+    cfg = ScanConfig(portscan_threshold=4, portscan_window_seconds=10)
+    assert [r.packet_id for r in detect.port_scan(probes(spark, rows), cfg).orderBy("packet_id").collect()] == slow_port_scan(rows, 10, 4)
+
+
+def test_a_busy_source_is_folded_by_seconds(spark):
+    """One source sends all packets: the fold, the only step in which they could meet, reads parts of first seconds."""
+    rows = [(k // 400, 1, k % 3000 + 1) for k in range(20_000)]
+    df = probes(spark, rows).select("src_ip4", "packet_id", F.floor("ts").cast("long").alias("tsec"), c.bucket("dst_port").alias("bucket"))
+    read = []
+    real = type(df).mapInArrow
+
+    def counted(self, *args, **options):
+        read.append(self.agg(F.count("*"), F.sum(F.size("firsts"))).first())
+        return real(self, *args, **options)
+
+    type(df).mapInArrow, kept = counted, real
+    try:
+        fold.windowed(df, "src_ip4", 10).count()
+    finally:
+        type(df).mapInArrow = kept
+    assert [tuple(r) for r in read] == [(5, 54)]  # 50 seconds in five parts, four of them cut
+
+
+@pytest.mark.parametrize("least, tolerance", [(10, 0.1), (3, 0.5), (40, 0.9)])
+def test_beacons_of_long_keys(spark, least, tolerance):
+    rng = random.Random(least)
+    rows, t = [], 0.0
+    for k in range(6000):
+        t += rng.choice([0.5, 0.1, 1.2]) if k % 2000 < 700 else 2 + rng.random() * (0.01, 1, 4)[k // 150 % 3]
+        rows.append((t, 10 << 24 | int(rng.random() < 0.03), 80))
+    got = fold.beacons(probes(spark, rows).select("src_ip4", "dst_port", "packet_id", "ts"), ["src_ip4", "dst_port"], least, tolerance)
+    want = slow_beacons(rows, least, tolerance)
+    assert [(r.packet_id, r.sample_count) for r in got.orderBy("packet_id").collect()] == want and len(want) > 5
+
+
 def test_beacons(spark):
     rng = random.Random(2)
     rows, t = [], 0.0
@@ -193,6 +263,28 @@ def test_dns_tunnel(spark):
 # --- aggregation
 
 
+def test_sketches_hold_their_bounds(spark):
+    rng = random.Random(3)
+    rows = [(f"k{int(rng.paretovariate(0.7))}", rng.randint(1, 5)) for _ in range(4000)]
+    true = {}
+    for k, n in rows:
+        true[k] = true.get(k, 0) + n
+    df = spark.createDataFrame(rows, "key string, n int").repartition(5)
+    for capacity in (1, 20, 5000):
+        parts = aggregate.sketched(df, "key", F.col("n"), capacity)
+        assert parts.where("key is not null").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= capacity
+        got = {r.key: (r["count"], r.error) for r in aggregate.merged_sketches(parts).collect()}
+        assert all(n - e <= true[k] <= n for k, (n, e) in got.items())
+        floors = parts.where("key is null").agg(F.sum("floor")).first()[0]
+        assert all(true[k] <= floors for k in true if k not in got)
+        if capacity == 5000:
+            assert got == {k: (n, 0) for k, n in true.items()}
+    top = aggregate.merged_sketches(aggregate.sketched(df, "key", F.col("n"), 200), 5)
+    assert [r.key for r in top.collect()] == sorted(true, key=lambda k: (-true[k], k))[:5]
+    assert aggregate.pruned(top, 2).count() == 2
+    assert aggregate.merged_sketches(aggregate.sketched(df.limit(0), "key", F.col("n"), 5)).count() == 0
+
+
 def test_space_saving():
     top = aggregate.space_saving([(1, 100), (2, 200), (3, 50)], 3)
     assert top[0][:2] == (2, 200)
