@@ -374,13 +374,19 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
         .where(linked("shingles_p", "shingles_q")).select(F.col("p").alias("u"), F.col("q").alias("v")).distinct()
     )
     roots = components(stars)
-    rooted = durable(classes.join(roots, classes.rep == roots.node, "left").select("rep", F.coalesce("root", "rep").alias("root")))
-    # a bucket of two whose pair was tried, or does not hold the budgets, need not be compared again
-    untried = durable(pairs.where("not tried").select(F.explode("keys").alias("key")).distinct())
-    left = members.where("n > 2").select("key", "n", "rep", "chain").unionByName(members.where("n = 2").join(untried, "key", "left_semi").select("key", "n", "rep", "chain"))
-    left = durable(left.join(rooted, "rep"))
-    open_ = durable(left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"))
-    left = left.join(open_, "key").join(classes.select("rep", "fp", F.col("n").alias("size")), "rep")
+    rooted = durable(classes.join(roots, classes.rep == roots.node, "left").select("rep", F.coalesce("root", "rep").alias("root"), "fp", F.col("n").alias("size")))
+    # Buckets to look into: a pair of different components that holds the budgets, or a member that does not hold them
+    # with the smallest one but may with another. In a bucket of two there is no other, and a tried pair is decided.
+    root_of = lambda x: rooted.select(F.col("rep").alias(x), F.col("root").alias(f"root_{x}"))
+    parted = pairs.join(root_of("p"), "p").join(root_of("q"), "q").where("root_p <> root_q")
+    parted = parted.select(F.explode("keys").alias("key"), "tried").groupBy("key").agg(F.bool_and("tried").alias("tried"))
+    strange = members.where("n > 2 and not holds and rep <> u").select("key").distinct()
+    open_ = parted.join(strange.withColumn("strange", F.lit(True)), "key", "full").select("key", (F.col("strange").isNotNull() | ~F.col("tried")).alias("all"))
+    left = members.join(durable(open_), "key").where("n > 2 or `all`").select("key", "n", "rep", "chain")
+    # a bucket of several blocks is worth a look at its roots first
+    named = left.where(F.col("n") > SETS).select("key", F.col("rep").alias("member")).join(root_of("r"), F.col("member") == F.col("r"))
+    closed = durable(named.groupBy("key").agg(F.min("root_r").alias("a"), F.max("root_r").alias("b")).where("a = b").select("key"))
+    left = left.join(closed, "key", "left_anti").join(rooted, "rep")
     dealt = in_blocks(left, "key", "n", F.col("rep"), SETS).select("key", "pa", "pb", "rep", "root", "my", "chain", "fp", "size")
     rest = durable(grouped(dealt, ["key", "pa", "pb"], candidates, "key long, pa int, pb int, rep long, root long, my int, chain long, fp binary, size int"))
     return stars.unionByName(grouped(rest.join(sets_of(rest), "rep"), ["key", "pa", "pb"], block, "u long, v long"))
