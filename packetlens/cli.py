@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--enable-carving", action="store_true")
     p.add_argument("--no-redact", action="store_true")
     p.add_argument("--profile", choices=("ext", "legacy"), default="ext")
-    p.add_argument("--parts", action="store_true", help="write folders of part files")
+    p.add_argument("--single", action="store_true", help="write plain files through the driver, not folders of part files")
     p.add_argument("--land", help="folder to keep the decoded packets in, as Parquet")
     p.add_argument("--progress", help="file that tells how far the scan is")
     p.add_argument("--keylog", help="accepted and not used")
@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     ioc = match.loaded(spark, a.ip_blocklist, a.domain_blocklist, a.keywords)
     with reported(spark, a.pcap, a.progress):
         scan = scan_files(spark, a.pcap, ioc, cfg, a.bpf, a.land or f"{a.out}/packets.parquet")
-    results.write(scan, a.out, single=not a.parts)
+    results.write(scan, a.out, single=a.single)
     print(f"scanned {scan.packets.count()} packets in {time.time() - began:.1f} s; results in {a.out}")
     return 0
 

@@ -83,6 +83,17 @@ class Frames:
             off = np.where(on, off + 4, off)
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _inet6(address: bytes) -> str:
+    return socket.inet_ntop(socket.AF_INET6, address)
+
+
+def _text6(addresses: pa.Array) -> pa.Array:
+    if addresses.null_count == len(addresses):
+        return pa.nulls(len(addresses), pa.string())
+    return pa.array([None if a is None else _inet6(a) for a in addresses.to_pylist()], pa.string())
+
+
 def _pick(*choices: tuple[np.ndarray, object]) -> Callable[[object], np.ndarray]:
     return lambda rest: np.select([x for x, _ in choices], [y for _, y in choices], rest)
 
@@ -152,7 +163,7 @@ def parsed(data: pa.Array, late_tcp: bool = False) -> dict[str, pa.Array]:
     made = {
         "is_ipv4": pa.array(v4), "is_ipv6": pa.array(v6), "is_arp": pa.array(arp | (good & (kind == RARP))),
         "src_ip4": pa.array(f.number(off + 12, 4, v4), mask=~v4), "dst_ip4": pa.array(f.number(off + 16, 4, v4), mask=~v4),
-        "ends6": f.pieces(off + 8, none + 32, v6), "arp_op": i32(f.number(off + 6, 2, arp)), "arp_ends": f.pieces(off + 8, none + 20, arp),
+        "src_ip6": _text6(f.pieces(off + 8, none + 16, v6)), "dst_ip6": _text6(f.pieces(off + 24, none + 16, v6)), "arp_op": i32(f.number(off + 6, 2, arp)), "arp_ends": f.pieces(off + 8, none + 20, arp),
         "l4": i32(l4), "src_port": i32(src_port), "dst_port": i32(dst_port), "flags": i32(flags),
         "seq": pa.array(f.number(at + 4, 4, tcp_head)), "ack_num": pa.array(f.number(at + 8, 4, tcp_head)),
         "icmp_type": i32(f.number(at, 1, icmp_head)), "icmp_code": i32(f.number(at + 1, 1, icmp_head)),
@@ -166,7 +177,7 @@ DNS = pa.struct([("asked", pa.int32()), ("answered", pa.int32()), ("queries", pa
 TLS = pa.struct([("version", pa.int32()), ("sni", pa.string()), ("alpn", pa.list_(pa.string())), ("ciphers", pa.list_(pa.int32())), ("ja3", pa.string())])
 DHCP = pa.struct([("op", pa.int32()), ("client", pa.binary()), ("your", pa.binary()), ("mac", pa.binary()), ("host", pa.string())])
 FIELDS = (
-    "is_ipv4 boolean, is_ipv6 boolean, is_arp boolean, src_ip4 long, dst_ip4 long, ends6 binary, arp_op int, arp_ends binary, l4 int, src_port int, dst_port int, "
+    "is_ipv4 boolean, is_ipv6 boolean, is_arp boolean, src_ip4 long, dst_ip4 long, src_ip6 string, dst_ip6 string, arp_op int, arp_ends binary, l4 int, src_port int, dst_port int, "
     "flags int, seq long, ack_num long, icmp_type int, icmp_code int, payload binary, payload_off int, payload_len int, app string, "
     "dns struct<asked: int, answered: int, queries: array<string>, answers: array<string>>, "
     "tls struct<version: int, sni: string, alpn: array<string>, ciphers: array<int>, ja3: string>, "
@@ -423,17 +434,23 @@ PACKETS = (
 
 def _ends(df: DataFrame) -> DataFrame:
     """Addresses as text, and the TCP fields as one column."""
-    side = lambda k4, k6: F.when(F.col("is_ipv4"), c.ip4_text(k4)).when(F.col("is_ipv6"), c.ip6_text(c.bytes_at("ends6", k6, 16))).otherwise("")
+    side = lambda k: F.when(F.col("is_ipv4"), c.ip4_text(f"{k}_ip4")).otherwise(F.coalesce(f"{k}_ip6", F.lit("")))
     arp = lambda x: F.when(F.col("arp_ends").isNotNull(), x).otherwise("")
     mac, ip = (lambda k: arp(c.mac_text(c.bytes_at("arp_ends", k, 6)))), (lambda k: arp(c.ip4_text(c.u32("arp_ends", k))))
     bit = lambda k: F.col("flags").bitwiseAND(F.lit(k)) != 0
     return df.withColumns({
-        "src_ip": side("src_ip4", 0), "dst_ip": side("dst_ip4", 16),
+        "src_ip": side("src"), "dst_ip": side("dst"),
         "arp_sender_mac": mac(0), "arp_sender_ip": ip(6), "arp_target_mac": mac(10), "arp_target_ip": ip(16),
         "tcp": F.struct(bit(2).alias("syn"), bit(16).alias("ack"), bit(1).alias("fin"), bit(4).alias("rst"), bit(8).alias("psh"), "seq", "ack_num"),
     })
 
 
+def headers(raw: DataFrame) -> DataFrame:
+    """Columns of FIELDS and addresses as text, without HTTP and credentials."""
+    keep = ["packet_id", "ts_us", "ts", "caplen", "wirelen"]
+    return _ends(_parsed_frames(raw, parsed, FIELDS, keep).withColumn("raw_len", F.col("caplen")))
+
+
 def decoded(raw: DataFrame, late_dns_tcp: bool = False, auth_plain: bool = False, keep_data: bool = False) -> DataFrame:
     """All packet columns. Every frame gives one row, however broken.
 

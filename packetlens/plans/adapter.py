@@ -89,6 +89,60 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HOST = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
+#: What every fifth text of ``everything`` begins with.
+LEADS = ("authorization: basic", "authorization: bearer", "api_key=", "apikey=", "password=", "passwd=", "secret=", "token=", "set-cookie:")
+
+
+def led(column: str = "doc_id") -> Column:
+    chosen = F.element_at(F.array(*map(F.lit, LEADS)), (F.floor(F.col(column) / 5) % len(LEADS) + 1).cast("int"))
+    return F.concat(F.when(F.col(column) % 5 == 0, chosen).otherwise(""), ascii_text())
+
+
+def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of all kinds, in the order of this list: events; pages as HTTP requests and responses, some of them DNS,
+    TLS and DHCP; documents as payloads; events again, all to one port of one host; logins; frames that are not IPv4."""
+    sent, visits = events(spark, sf_dir), pages(spark, sf_dir)
+    place = lambda df, k: df.withColumn("packet_id", F.col("packet_id") + (k << 40))
+    raw = table(spark, sf_dir, "pages").select(F.col("page_id").alias("packet_id"), ascii_text("html").alias("body"))
+    i = F.col("packet_id")
+    visits = visits.drop("payload", "payload_len", "raw_len").join(raw, "packet_id").withColumns({
+        "payload": F.col("body").cast("binary"), "payload_len": F.length("body"), "raw_len": F.length("body") + 54, "http_method": F.when(i % 2 == 0, "GET").otherwise(""),
+        "http_status_code": F.when(i % 2 == 1, 200).otherwise(0), "http_body_len": F.when(i % 2 == 1, F.length("body")).otherwise(0), "http_content_type": F.lit("text/html"),
+        "is_dns": i % 3 == 0, "dns_qname_lower": F.when(i % 3 == 0, F.col("dns_qname_lower")).otherwise(""),
+        "is_tls": i % 5 == 0, "tls_sni": F.when(i % 5 == 0, F.col("http_host")).otherwise(""), "is_dhcp": i % 7 == 0,
+    })
+    logins = sent.where(i % 10 == 0).withColumns({
+        "l4": F.lit(c.TCP), "dst_port": F.lit(21), "cred_username": F.concat(F.lit("name"), i.cast("string")), "cred_protocol": F.lit("ftp"),
+        "cred_password": F.substring(F.lit("abcdefghijkl"), F.lit(1), (i % 12).cast("int")),
+    })
+    none = F.lit(None).cast("long")
+    others = sent.where(i % 10 == 0).withColumns({
+        "is_ipv4": F.lit(False), "is_ipv6": i % 20 == 0, "is_arp": i % 20 != 0, "src_ip4": none, "dst_ip4": none, "src_ip": F.lit(""), "dst_ip": F.lit(""),
+        "l4": F.when(i % 40 == 0, c.ICMPV6).otherwise(c.OTHER), "src_port": F.lit(0), "dst_port": F.lit(0),
+    })
+    parts = [sent, visits, documents(spark, sf_dir, led()), events(spark, sf_dir, one_target=True), logins, others]
+    out = None
+    for k, part in enumerate(parts):
+        part = place(with_defaults(part), k)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: The same mapping for DuckDB: ``pkt`` holds the IPv4 packets, ``odd`` the others, ``logins`` the credentials.
+EVERYTHING = f"""ev as (select event_id i, epoch_us(ts) ts_us, round(value * 100)::int n, user_id u, case when event_type in ('view', 'click') then 6 when event_type in ('purchase', 'signup') then 17 else 1 end l4,
+   event_type = 'error' err from events),
+  base as (
+   select i packet_id, ts_us, n payload_len, n + 54 raw_len, {SRC} + u src, {DST} + i % 7 dst, l4, (1024 + i % 60000)::int src_port, case when err then 0 else 1 + (i * 7919) % 1024 end::int dst_port, '' host, '' body,
+    '' dns, '' tls, '' cu from ev
+   union all select page_id + (1::bigint << 40), page_id * 1000000, length(b), length(b) + 54, {SRC} + page_id % 250, {DST} + page_id % 7, 6, 40000, 80, h, b, case when page_id % 3 = 0 then h else '' end,
+    case when page_id % 5 = 0 then h else '' end, '' from (select page_id, {HOST} h, {ASCII.replace('text', 'html')} b from pages)
+   union all select doc_id + (2::bigint << 40), doc_id * 1000000, length(b), length(b) + 54, {SRC} + doc_id % 250, {DST} + doc_id % 7, 6, 40000, 9999, '', b, '', '', ''
+    from (select doc_id, case when doc_id % 5 = 0 then {list(LEADS)}[(doc_id // 5 % {len(LEADS)} + 1)::int] else '' end || {ASCII} b from documents)
+   union all select i + (3::bigint << 40), ts_us, n, n + 54, {SRC} + u, {DST}, l4, (1024 + i % 60000)::int, case when err then 0 else 80 end, '', '', '', '', '' from ev
+   union all select i + (4::bigint << 40), ts_us, n, n + 54, {SRC} + u, {DST} + i % 7, 6, (1024 + i % 60000)::int, 21, '', '', '', '', 'name' || i from ev where i % 10 = 0),
+  pkt as (select *, (ts_us // 1000000)::double + (ts_us % 1000000)::double / 1e6 ts, ts_us // 1000000 tsec, '10.0.' || ((src - {SRC}) // 256) || '.' || ((src - {SRC}) % 256) src_ip,
+   '93.184.216.' || (dst - {DST}) dst_ip from base),
+  odd as (select i, n + 54 raw_len, i % 20 = 0 v6, case when i % 40 = 0 then 58 else 0 end l4 from ev where i % 10 = 0)"""
 
 
 def _hex(x: Column, digits: int) -> Column:

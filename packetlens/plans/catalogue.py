@@ -51,11 +51,18 @@ PROTO = "case l4 when 6 then 'TCP' when 17 then 'UDP' when 1 then 'ICMP' end"
 # --- counters, heavy hitters, flows
 
 
-@query(f"""{PKT} select count(*)::bigint packets, sum(raw_len)::bigint bytes, count(*)::bigint ipv4, 0::bigint ipv6,
-  count(*) filter (where l4 = 6)::bigint tcp, count(*) filter (where l4 = 17)::bigint udp, count(*) filter (where l4 = 1)::bigint icmp, 0::bigint icmpv6,
-  0::bigint arp, 0::bigint other, 0::bigint dns_queries, 0::bigint http_requests, 0::bigint tls_handshakes, 0::bigint dhcp_messages from pkt""")
+ALL = "with recursive " + adapter.EVERYTHING
+COUNTERS = """(select count(*) from pkt) + (select count(*) from odd) packets, (select sum(raw_len) from pkt) + (select sum(raw_len) from odd) bytes,
+  (select count(*) from pkt) ipv4, (select count(*) from odd where v6) ipv6, (select count(*) from pkt where l4 = 6) tcp, (select count(*) from pkt where l4 = 17) udp,
+  (select count(*) from pkt where l4 = 1) icmp, (select count(*) from odd where l4 = 58) icmpv6, (select count(*) from odd where not v6) arp, (select count(*) from odd where l4 = 0) other,
+  (select count(*) from pages where page_id % 3 = 0) dns_queries,
+  (select count(*) from pages where page_id % 2 = 0) http_requests, (select count(*) from pages where page_id % 5 = 0) tls_handshakes, (select count(*) from pages where page_id % 7 = 0) dhcp_messages"""
+COUNTER_NAMES = ("packets", "bytes", "ipv4", "ipv6", "tcp", "udp", "icmp", "icmpv6", "arp", "other", "dns_queries", "http_requests", "tls_handshakes", "dhcp_messages")
+
+
+@query(f"{ALL}, n as (select {COUNTERS}) select {', '.join(f'{x}::bigint {x}' for x in COUNTER_NAMES)} from n")
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.counters(adapter.events(spark, sf_dir))
+    return aggregate.counters(adapter.everything(spark, sf_dir))
 
 
 @query(f"{PKT} select src_ip ip, sum(raw_len)::bigint count from pkt group by src_ip, src order by 2 desc, src limit 50")
@@ -88,11 +95,6 @@ def merged_top_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.merged_top(parts[0].unionByName(parts[1]).unionByName(parts[2]), 20)
 
 
-@query(None)
-def approx_top_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.approx_top(adapter.pages(spark, sf_dir), "http_host", 20)
-
-
 FLOW = f"""flow as (select src_ip, dst_ip, src_port, dst_port, {PROTO} proto, count(*)::bigint packets, sum(raw_len)::bigint bytes,
   arg_min(ts, packet_id) first_ts, arg_max(ts, packet_id) last_ts, '' app_proto from pkt group by all)"""
 
@@ -288,14 +290,47 @@ def bytes_to_external(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scan(spark: SparkSession, sf_dir: str, **settings: object) -> Scan:
-    return Scan(adapter.events(spark, sf_dir), match.of_lists(spark, IPS), ScanConfig.of(**{**CFG.__dict__, **settings}))
+    """All nine detectors over packets of all kinds."""
+    return Scan(adapter.everything(spark, sf_dir), match.of_lists(spark, IPS, NAMES, WORDS), ScanConfig.of(**{**CFG.__dict__, **settings}))
 
 
-_KINDS = f"""{STEPS}, run as (select *, sum(payload_len) over (partition by dst order by packet_id) cum from pkt),
-  a as (select packet_id, 1 check_ord, 'blocklisted_ip' as type, src_ip from pkt where {IN_LIST.format('src')} or {IN_LIST.format('dst')}
-   union all select packet_id, 4, 'port_scan', src_ip from g join pkt using (packet_id) where pop = 8
-   union all (select packet_id, 7, 'exfiltration', src_ip from run where cum >= 1000000 qualify row_number() over (partition by dst order by packet_id) = 1))"""
+def _stepped(name: str, keys: str, where_: str) -> str:
+    """Recursive steps of the beacon detector through the n-th packet of every key."""
+    on = " and ".join(f"p{name}.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    return f"""p{name} as (select *, row_number() over (partition by {keys} order by packet_id) n from pkt where {where_}),
+  b{name} as (select {keys}, n, packet_id, [ts] q, 0 hit, null::double mean, null::double sd, 1 cnt from p{name} where n = 1
+   union all select {keys}, n, packet_id, case when hit = 1 then []::double[] else q end, hit, mean, sd, cnt from (
+    select *, case when len(q) >= 10 and mean > 1 and sd < mean * 0.8 then 1 else 0 end hit, len(q) cnt from (
+     select *, list_avg(iv) mean, sqrt(list_var_pop(iv)) sd from (
+      select *, list_transform(range(2, len(q) + 1), lambda i: q[i] - q[i - 1]) iv from (
+       select {', '.join(f'p{name}.{k.strip()}' for k in keys.split(','))}, p{name}.n, p{name}.packet_id, (list_append(b.q, p{name}.ts))[-100:] q from b{name} b join p{name} on {on} and p{name}.n = b.n + 1)))))"""
+
+
+SCANS = STEPS.removeprefix(f"with recursive {adapter.EVENTS}, ")
+_KINDS = f"""{ALL}, {SCANS}, {_stepped('b', 'src, dst, dst_port', 'l4 <> 1')}, run as (select *, sum(payload_len) over (partition by dst order by packet_id) cum from pkt),
+  listed as (select unnest({list(NAMES)}) d), flagged as (select *, {IN_LIST.format('src')} s, {IN_LIST.format('dst')} d from pkt),
+  found as (select *, list_min(list_filter([{_WORDS}], lambda x: x is not null)) m from (select *, substr(body, 1, 512) b from pkt where body <> '')),
+  label as (select packet_id, substr(dns, 1, instr(dns, '.') - 1) label from pkt where instr(dns, '.') > 1),
+  bits as (select packet_id, sum(-k / n * log2(k / n)) bits from (select packet_id, n, x, count(*)::double k from (select packet_id, length(label)::double n, unnest(string_split(label, '')) x from label) group by all) group by packet_id),
+  low as (select *, lower(substr(body, 1, 1024)) low from pkt where length(body) > 10),
+  a as (select packet_id, 1 check_ord, 'blocklisted_ip' as type, src_ip, 'Matched IP blocklist' || case when s then ' (src: ' || src_ip || ')' else '' end || case when d then ' (dst: ' || dst_ip || ')' else '' end detail from flagged where s or d
+   union all select packet_id, 2, 'blocklisted_domain', src_ip, 'Matched domain blocklist: ' || host from pkt where host <> '' and exists (select 1 from listed where host = d or suffix(host, '.' || d))
+   union all select packet_id, 3, 'keyword_match', src_ip, 'Matched keyword: ' || m.w from found where m is not null
+   union all select packet_id, 4, 'port_scan', src_ip, 'Approx distinct dst ports in window >= T' from g join pkt using (packet_id) where pop = 8
+   union all select packet_id, 5, 'dns_tunnel', src_ip, 'Potential DNS tunnel: ' || dns from pkt join label using (packet_id) join bits using (packet_id) where length(label) >= 4 and bits >= 1.5
+   union all select packet_id, 6, 'beaconing', src_ip, 'Potential beaconing detected' from bb join pkt using (packet_id) where hit = 1
+   union all (select packet_id, 7, 'exfiltration', src_ip, 'Potential data exfiltration detected' from run where cum >= 1000000 qualify row_number() over (partition by dst order by packet_id) = 1)
+   union all select packet_id, 8, 'sensitive_data', src_ip, 'Plaintext credentials detected (ftp) user: ' || {REDACT.format('cu')} from pkt where cu <> ''
+   union all select packet_id, 9, 'sensitive_data', src_ip, 'Sensitive data pattern: ' || {_CASE} from low where {_CASE} is not null)"""
 SEVERITY = "case when type in ('blocklisted_ip', 'blocklisted_domain', 'exfiltration') then 'critical' when type in ('port_scan', 'dns_tunnel', 'beaconing') then 'high' when type in ('keyword_match', 'sensitive_data') then 'medium' else 'low' end"
+_ALERT_COUNTERS = "count(*) alerts_total, " + ", ".join(f"count(*) filter (where starts_with(type, '{t}')) {k}" for k, t in aggregate.ALERT_COUNTERS)
+ALERT_NAMES = ("alerts_total", *(k for k, _ in aggregate.ALERT_COUNTERS))
+
+
+@query(f"{_KINDS} select * from a")
+def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every alert of all nine detectors."""
+    return _scan(spark, sf_dir).alerts.select("packet_id", "check_ord", "type", "src_ip", "detail")
 
 
 @query(f"{_KINDS} select type, count(*)::bigint count, {SEVERITY} severity from a group by type")
@@ -303,8 +338,7 @@ def alert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.alert_counts(_scan(spark, sf_dir).alerts)
 
 
-@query(f"""{_KINDS} select count(*)::bigint alerts_total, count(*) filter (where type = 'blocklisted_ip')::bigint alerts_blocklisted_ip, 0::bigint alerts_blocklisted_domain, 0::bigint alerts_keyword,
-  count(*) filter (where type = 'port_scan')::bigint alerts_portscan, 0::bigint alerts_dns_tunnel, 0::bigint alerts_beaconing, count(*) filter (where type = 'exfiltration')::bigint alerts_exfil, 0::bigint alerts_sensitive from a""")
+@query(f"{_KINDS}, raised as (select {_ALERT_COUNTERS} from a) select {', '.join(f'{x}::bigint {x}' for x in ALERT_NAMES)} from raised")
 def alert_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.alert_counters(_scan(spark, sf_dir).alerts)
 
@@ -326,12 +360,37 @@ def alert_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.unique_sources(_scan(spark, sf_dir).alerts)
 
 
-@query(f"""{PKT} select 1::int world_size, count(*)::bigint packets, sum(raw_len)::bigint bytes,
-  (select string_agg(ip || '=' || n, ',' order by n desc, d) from (select dst_ip ip, dst d, sum(raw_len)::bigint n from pkt group by all)) top_dst from pkt""")
+def _listed(key: str, count: str, source: str, order: str, where_: str = "true") -> str:
+    """The 50 largest entries as one text."""
+    return f"(select coalesce(string_agg(k || '=' || n, ',' order by n desc, k), '') from (select {key} k, {order} o, {count}::bigint n from {source} where {where_} group by 1, 2 order by 3 desc, 2 limit 50))"
+
+
+LISTS = {
+    "top_src_bytes": _listed("src_ip", "sum(raw_len)", "pkt", "src"), "top_dst_bytes": _listed("dst_ip", "sum(raw_len)", "pkt", "dst"),
+    "top_dns_qnames": _listed("dns", "count(*)", "pkt", "dns", "dns <> ''"), "top_http_hosts": _listed("host", "count(*)", "pkt", "host", "host <> ''"),
+    "top_tls_sni": _listed("tls", "count(*)", "pkt", "tls", "tls <> ''"),
+    "portscan_suspects": _listed("'10.0.' || ((src - 167772160) // 256) || '.' || ((src - 167772160) % 256)", "max(pop)", "g", "src", "pop >= 8"),
+}
+SUMMARY = f"""{_KINDS}, traffic as (select {COUNTERS}), raised as (select {_ALERT_COUNTERS} from a)
+  select 1::int world_size, {', '.join(f'traffic.{x}::bigint {x}' for x in COUNTER_NAMES)}, {', '.join(f'raised.{x}::bigint {x}' for x in ALERT_NAMES)},
+  (select count(*) from pages where page_id % 2 = 1 and length({adapter.ASCII.replace('text', 'html')}) >= 16)::bigint files_carved, (select count(*) from pkt where cu <> '')::bigint credentials_found,
+  {', '.join(f'{v} {k}' for k, v in LISTS.items())} from traffic, raised"""
+
+
+def _texts(row: DataFrame) -> DataFrame:
+    """The row's lists as text."""
+
+    def joined(name: str) -> Column:
+        key = "ip" if "bytes" in name or name == "portscan_suspects" else "key"
+        return F.array_join(F.transform(name, lambda x: F.concat(x[key], F.lit("="), x["count"].cast("string"))), ",")
+
+    return row.withColumns({k: joined(k) for k in LISTS})
+
+
+@query(SUMMARY)
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = _scan(spark, sf_dir).summary
-    listed = F.array_join(F.transform("top_dst_bytes", lambda x: F.concat(x["ip"], F.lit("="), x["count"].cast("string"))), ",")
-    return row.select("world_size", "packets", "bytes", listed.alias("top_dst"))
+    """All keys of the summary."""
+    return _texts(_scan(spark, sf_dir, enable_carving=True).summary)
 
 
 # --- views
@@ -397,9 +456,9 @@ def roundtrip_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("packet_id", "src_ip", "dst_ip", "l4", "src_port", "dst_port", "payload_len", F.col("tcp.ack").alias("ack"), F.col("tcp.syn").alias("syn"))
 
 
-@query(f"{PKT} select packet_id from pkt where packet_id % 3 <> 0 and ((l4 = 6 and dst_port between 1 and 200) or (l4 = 17 and src >> 4 = (10*16777216) >> 4) or (l4 = 1 and src <> 10*16777216+7))")
+@query(f"{PKT} select packet_id from pkt where packet_id % 3 <> 0 and ((l4 = 6 and dst_port between 1 and 200) or (l4 = 17 and src >> 4 = (10*16777216) >> 4) or l4 = 1) and src <> 10*16777216+7")
 def filtered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged frames are not looked into."""
+    """Tagged frames are not looked into; and, or bind alike."""
     text = "tcp and dst portrange 1-200 or (udp && src net 10.0.0.0/28) or icmp and not src host 10.0.0.7"
     return where(_frames(spark, sf_dir), text).select("packet_id")
 
@@ -420,10 +479,10 @@ def _http(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.decoded(adapter.framed(rows, F.concat(head, "body")))
 
 
-HTML = "substr(regexp_replace(coalesce(html, ''), '[^\\x00-\\x7F]', chr(1), 'g'), 1, 40000)"
+HTML = "regexp_replace(coalesce(html, ''), '[^\\x00-\\x7F]', chr(1), 'g')"
 
 
-@query(f"""select page_id packet_id, page_id::double ts, substr(sha256({HTML}), 1, 16) || '.html' filename, sha256({HTML}) sha256, 'text/html' content_type, length({HTML})::int size,
+@query(f"""select page_id packet_id, page_id::double ts, substr(sha256(substr({HTML}, 1, 65536)), 1, 16) || '.html' filename, sha256(substr({HTML}, 1, 65536)) sha256, 'text/html' content_type, length({HTML})::int size,
   '93.184.216.' || (page_id % 7) src_ip, '10.0.0.' || (page_id % 250) dst_ip from pages where length({HTML}) >= 16""")
 def carved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.carved(_http(spark, sf_dir)).drop("body")

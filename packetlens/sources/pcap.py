@@ -20,6 +20,7 @@ import glob as globs
 import json
 import os
 import struct
+import uuid
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -480,3 +481,40 @@ def load(spark: SparkSession, path: str, **options: str) -> DataFrame:
 def count_packets(spark: SparkSession, path: str, split: int = 64 << 20) -> int:
     """Packets of all files of a path, by record headers only, before any filter; tasks walk them."""
     return sum(n for _, n in indexed(spark, path, split, strict=False, counted=True))
+
+
+def save(raw: DataFrame, folder: str) -> str:
+    """Writes raw packets, in the order of packet_id, as classic captures in ``folder``, a file a task; returns its path.
+
+    A file is written aside and moved, so that a task that runs again does no harm.
+    """
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        name = f"part-{TaskContext.get().partitionId():06d}.pcap"
+        aside = f"_{uuid.uuid4().hex}.part"
+        store, base = store_of(folder)
+        store.create_dir(base, recursive=True)
+        n = 0
+        with store.open_output_stream(f"{base}/{aside}") as f:
+            f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, LARGEST, ETHERNET))
+            for b in batches:
+                n += len(b)
+                f.write(b"".join(struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(x), w) + x for us, w, x in zip(b["ts_us"], b["wirelen"], b["data"])))
+        store.move(f"{base}/{aside}", f"{base}/{name}")
+        yield pd.DataFrame({"file": [name], "n": [n]})
+
+    rows = importable(raw.sparkSession) and raw.select("packet_id", "ts_us", "wirelen", "data")
+    parts = max(1, int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartitionByRange(parts, "packet_id").sortWithinPartitions("packet_id").mapInPandas(stream, "file string, n long").collect()
+    return f"{folder}/*.pcap"
+
+
+def store_of(folder: str):
+    """File system and path of a folder, local or by URI."""
+    from pyarrow import fs
+
+    if "://" in folder and not folder.startswith("file://"):
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), folder.removeprefix("file://").removeprefix("file:")

@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.plans.scan import SUMMARY_ORDER, Scan
 from packetlens.schema import FLOWS
+from packetlens.sources.pcap import store_of
 
 ALERT_KEYS = ("ts", "time", "type", "src_ip", "dst_ip", "proto", "src_port", "dst_port", "detail")
 EXTRAS = ("subdomain_len", "entropy", "interval_mean", "interval_stddev", "sample_count", "bytes_sent")
@@ -48,13 +49,15 @@ def summary_text(scan: Scan) -> str:
     return "{\n" + ",\n".join(lines) + "\n}\n"
 
 
-def write(scan: Scan, folder: str, single: bool = True) -> None:
-    """All result files of a scan. ``single``: plain files on the driver; else folders of parts, for large results.
+def write(scan: Scan, folder: str, single: bool = False) -> None:
+    """All result files of a scan, as folders of parts. ``single``: plain local files, drawn through the driver.
 
     No packets: a summary of zeros, no alerts, flows of a header only, and no protocol logs.
     """
-    os.makedirs(folder, exist_ok=True)
-    Path(folder, "summary.json").write_text(summary_text(scan), encoding="utf-8")
+    store, base = store_of(folder)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/summary.json") as f:
+        f.write(summary_text(scan).encode())
     alerts = scan.written_alerts
     _text(alerts.select(ndjson(alerts, *ALERT_KEYS, *EXTRAS)), f"{folder}/alerts.ndjson", single)
     six = lambda x: F.format_string("%.6f", F.col(x)).alias(x)
@@ -76,12 +79,13 @@ def write(scan: Scan, folder: str, single: bool = True) -> None:
 def write_carved(carved: DataFrame, folder: str) -> None:
     """Each body under its name, written aside and moved, so that a task that runs again does no harm."""
     def put(rows: Iterator) -> None:
-        os.makedirs(folder, exist_ok=True)
+        store, base = store_of(folder)
+        store.create_dir(base, recursive=True)
         for r in rows:
-            fd, aside = tempfile.mkstemp(dir=folder)
-            with os.fdopen(fd, "wb") as f:
-                f.write(r.body)
-            os.replace(aside, os.path.join(folder, r.filename))
+            aside = f"{base}/_{uuid.uuid4().hex}"
+            with store.open_output_stream(aside) as f:
+                f.write(bytes(r.body))
+            store.move(aside, f"{base}/{r.filename}")
 
     carved.select("filename", "body").foreachPartition(put)
 
@@ -101,4 +105,6 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_summary(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    store, name = store_of(str(path))
+    with store.open_input_stream(name) as f:
+        return json.loads(f.read())

@@ -18,30 +18,48 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from packetlens.config import ScanConfig
 from packetlens.functions import columns as c
 from packetlens.schema import RAW
-from packetlens.sources.pcap import FILE_BITS, PcapReader, Range
+from packetlens.sources.pcap import FILE_BITS, CaptureError, PcapReader, Range
 
 
 class FolderReader(DataSourceStreamReader):
-    """Offsets are file names: a batch is the files after the last one read. A file must be whole when it appears."""
+    """Offsets are the last file name read, how many files were read, and those of them that came late.
+
+    A batch is the files after the last one in name order, and files with smaller names that were not there when their
+    turn was. A file must be whole when it appears. Late files are told from those read by what this reader has seen;
+    after a restart it has seen nothing, so that a file that came late in between is an error that says so.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.folder = options.get("path", "").removeprefix("file://")
         self.reader = PcapReader(options)
         self.suffix = options.get("suffix", ".pcap")
+        self.seen: set[str] | None = None
+        self.last, self.files, self.late = "", 0, []
 
     def _names(self) -> list[str]:
         return sorted(x for x in os.listdir(self.folder) if x.endswith(self.suffix))
 
     def initialOffset(self) -> dict:
-        return {"last": "", "files": 0}
+        return {"last": "", "files": 0, "late": []}
 
     def latestOffset(self) -> dict:
         names = self._names()
-        return {"last": names[-1] if names else "", "files": len(names)}
+        if self.seen is not None:
+            self.late += [x for x in names if x < self.last and x not in self.seen]
+        self.seen = set(names) | (self.seen or set())
+        self.last = max(self.last, names[-1] if names else "")
+        self.files = len(self.seen)
+        return {"last": self.last, "files": self.files, "late": list(self.late)}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        new = [x for x in self._names() if start["last"] < x <= end["last"]]
-        return [Range(os.path.join(self.folder, x), (start["files"] + k) << FILE_BITS) for k, x in enumerate(new)]
+        names, known, late = self._names(), start.get("late", []), end.get("late", [])
+        if late[: len(known)] == known:
+            late = late[len(known) :]
+        before = sum(x <= start["last"] for x in names)
+        if before - len(set(late)) > start["files"]:
+            raise CaptureError(f"a file before {start['last']} appeared while nothing read the folder: give it a later name")
+        new = [x for x in names if start["last"] < x <= end["last"]]
+        return [Range(os.path.join(self.folder, x), (start["files"] + k) << FILE_BITS) for k, x in enumerate([*late, *(x for x in new if x not in late)])]
 
     def read(self, partition: Range) -> Iterator:
         return self.reader.read(partition)

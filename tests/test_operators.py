@@ -327,7 +327,7 @@ def test_scan(spark, capture, tmp_path):
     ioc = match.of_lists(spark, ("8.8.8.8",), ("evil.org",), ("ping",))
     scan = scan_files(spark, str(path), ioc, settings(), land=str(tmp_path / "packets"))
     out = tmp_path / "out"
-    results.write(scan, str(out))
+    results.write(scan, str(out), single=True)
     s = results.read_summary(out / "summary.json")
     assert {k: s[k] for k in ("packets", "ipv4", "ipv6", "arp", "other", "udp", "icmp", "dns_queries", "http_requests", "tls_handshakes", "credentials_found", "files_carved", "world_size")} == {
         "packets": n, "ipv4": n - 2, "ipv6": 1, "arp": 1, "other": 1, "udp": 2, "icmp": 1, "dns_queries": 1, "http_requests": 1, "tls_handshakes": 1, "credentials_found": 1, "files_carved": 1, "world_size": 1}
@@ -348,7 +348,7 @@ def test_scan(spark, capture, tmp_path):
     assert results.read_log(spark, str(out / "http.jsonl")).count() == 2
     (out / "alerts.ndjson").open("a").write("not json\n")
     assert results.read_alerts(spark, str(out / "alerts.ndjson")).count() == len(lines)
-    results.write(Scan(scan.packets, ioc, settings(max_alerts=2)), str(tmp_path / "few"))
+    results.write(Scan(scan.packets, ioc, settings(max_alerts=2)), str(tmp_path / "few"), single=True)
     assert len((tmp_path / "few/alerts.ndjson").read_text().splitlines()) == 2 and results.read_summary(tmp_path / "few/summary.json")["alerts_total"] == len(lines)
 
 
@@ -376,7 +376,7 @@ def test_filtered_scan(spark, capture):
 def test_empty_scan(spark, tmp_path):
     p = tmp_path / "none.pcap"
     p.write_bytes(fr.pcap([]))
-    results.write(scan_files(spark, str(p), cfg=settings()), str(tmp_path / "out"))
+    results.write(scan_files(spark, str(p), cfg=settings()), str(tmp_path / "out"), single=True)
     s = results.read_summary(tmp_path / "out/summary.json")
     assert s["packets"] == s["bytes"] == s["alerts_total"] == 0 and s["top_src_bytes"] == [] and "carved_files" not in s
     assert (tmp_path / "out/alerts.ndjson").read_text() == "" and (tmp_path / "out/flows.csv").read_text().count("\n") == 1
@@ -404,7 +404,7 @@ def test_command_line(capture, tmp_path):
             cli.main(wrong)
         assert e.value.code == 2
     assert cli.main(["--pcap", str(path), "--out", str(tmp_path), "--top-k", "0"]) == 2
-    assert cli.main(["--pcap", str(path), "--out", str(tmp_path / "o"), "--enable-carving", "--parts", "--progress", str(tmp_path / "p.json")]) == 0
+    assert cli.main(["--pcap", str(path), "--out", str(tmp_path / "o"), "--enable-carving", "--progress", str(tmp_path / "p.json")]) == 0
     told = json.loads((tmp_path / "p.json").read_text())
     assert list(told) == ["packets_processed", "bytes_processed", "time_elapsed", "rank", "world_size", "percentage"] and told["packets_processed"] == n and told["percentage"] == 100.0
     assert (tmp_path / "o/summary.json").exists() and (tmp_path / "o/alerts.ndjson").is_dir()

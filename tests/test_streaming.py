@@ -1,4 +1,5 @@
 import frames as fr
+import pytest
 
 from packetlens.config import ScanConfig
 from packetlens.operators import decode
@@ -37,3 +38,21 @@ def test_folder_stream(spark, tmp_path):
     assert [(r.dst_port, r.sample_count, r.interval_mean) for r in found] == [(9999, 10, 2.0)] * 2
     rows = collected(spark, live.traffic(packets, "10 seconds"), "traffic", tmp_path)
     assert sum(r.packets for r in rows) in (len(both), len(both) + 1)
+
+
+def test_late_files_are_read_or_told(tmp_path):
+    for name in ("b.pcap", "d.pcap"):
+        write(tmp_path, name, [])
+    reader = live.FolderReader({"path": str(tmp_path)})
+    names = lambda a, b: [r.path.rsplit("/", 1)[1] for r in reader.partitions(a, b)]
+    first = reader.latestOffset()
+    assert names(reader.initialOffset(), first) == ["b.pcap", "d.pcap"]
+    write(tmp_path, "c.pcap", [])
+    write(tmp_path, "e.pcap", [])
+    second = reader.latestOffset()
+    assert names(first, second) == ["c.pcap", "e.pcap"] and len({r.first_id for r in reader.partitions(first, second)}) == 2
+    assert names(second, reader.latestOffset()) == []
+    write(tmp_path, "a.pcap", [])  # while nothing reads
+    restarted = live.FolderReader({"path": str(tmp_path)})
+    with pytest.raises(ValueError, match="appeared while"):
+        restarted.partitions(second, restarted.latestOffset())
