@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,49 +141,76 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _bounds(docs: DataFrame, parts: int) -> list[int]:
-    """At most ``parts`` ids that cut the table in ranges of about equal row counts."""
-    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 20 * parts).alias("q")).first().q
-    return sorted(set(cuts or []))
+_KEY = np.dtype([("given", "i1"), ("id", "i8"), ("part", "f8")])
+
+
+def _bounds(rows: DataFrame, parts: int) -> tuple[np.ndarray, list[int | None]]:
+    """Sorted (id given, id, place of the text's hash) that cut the table in about ``parts`` ranges of about equal row
+    counts, and the ids, None for null, that fill more than one: those are cut by the hashes of their texts."""
+    found = rows.agg(
+        F.percentile_approx("doc_id", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 20 * parts).alias("q"),
+        F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls"),
+    ).first()
+    cuts = [(0, 0, k * found.n / (parts * found.nulls)) for k in range(1, parts) if k * found.n < parts * found.nulls]
+    cuts += [(1, np.iinfo(np.int64).min, 0.0)] if found.nulls else []
+    hot: list[int | None] = [None] if len(cuts) > 1 else []
+    times = Counter(found.q or [])
+    for x in sorted(times):
+        cuts += [(1, x, k / times[x]) for k in range(times[x])]
+        hot += [x] if times[x] > 1 else []
+    return np.array(sorted(set(cuts)), dtype=_KEY), hot
 
 
 def followed(docs: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, text, range, ghost): rows dealt by ranges of doc_id, sorted, each range ended by a ghost of its follower.
+    """(doc_id, h, text, n, range, ghost): rows dealt by ranges of (doc_id, hash of the text), each range ended by a
+    ghost of its follower.
 
     One shuffle of the texts: a range's first row is also sent to the range before it, as the next document of that
-    range's last row. The first row of all is sent to the last range.
+    range's last row. The first row of all is sent to the last range. Rows of an id that fills whole ranges are cut by
+    the hashes of their texts; of those that are equal even so one is sent, with their number n.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    cuts = np.array(_bounds(rows, parts), dtype=np.int64)
-
-    def ranged(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(cuts, ids.fillna(0).to_numpy(dtype=np.int64))), dtype="int32")
+    cuts, hot = _bounds(rows, parts)
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("n", F.lit(1).cast("long"))
+    if hot:
+        busy = F.col("doc_id").isin([x for x in hot if x is not None])
+        busy = F.coalesce(busy, F.lit(None in hot))
+        merged = rows.where(busy).groupBy("doc_id", "h", "text").agg(F.count("*").alias("n"))
+        rows = rows.where(~busy).unionByName(merged)
+
+    def ranged(ids: pd.Series, h: pd.Series) -> np.ndarray:
+        key = np.zeros(len(ids), dtype=_KEY)
+        key["given"], key["id"] = ids.notna(), ids.fillna(0).to_numpy(dtype=np.int64)
+        key["part"] = h.to_numpy() / 2.0**64 + 0.5
+        return np.searchsorted(cuts, key, side="right")
 
     @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return ranged(ids)
+    def place(ids: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(ranged(ids.astype("Int64"), h), dtype="int32")
 
-    ids = rows.select("doc_id", place("doc_id").alias("range"))
-    firsts = ids.groupBy("range").agg(F.min("doc_id").alias("id")).orderBy("range").collect()  # one row a range
+    # the least row of each range, by (id, hash, text's digest): one row a range, so bounded
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id", "h"))
+    firsts = rows.select("doc_id", "h", place("doc_id", "h").alias("range")).groupBy("range").agg(least.alias("x")).orderBy("range").collect()
     places = [r.range for r in firsts]
     before = dict(zip(places, places[-1:] + places[:-1]))
-    # of rows that share a first id the one with the smallest text is the follower; the reader takes the first ghost
-    ghosts = {r.id: before[r.range] for r in firsts}
+    # of rows that share a first key the one with the smallest text is the follower; the reader takes the first ghost
+    ghosts = {(r.x.doc_id, r.x.h): before[r.range] for r in firsts}
 
     @F.pandas_udf("array<struct<range: int, ghost: int>>")
-    def sent(ids: pd.Series) -> pd.Series:
-        own = ranged(ids)
-        to = [ghosts.get(None if x is None or x != x else int(x)) for x in ids]
+    def sent(ids: pd.Series, h: pd.Series) -> pd.Series:
+        ids = ids.astype("Int64")
+        own = ranged(ids, h)
+        to = [ghosts.get((None if x is pd.NA else int(x), int(y))) for x, y in zip(ids, h)]
         return pd.Series([[(int(a), 0)] if b is None else [(int(a), 0), (b, 1)] for a, b in zip(own, to)], dtype=object)
 
-    return rows.withColumn("sent", F.explode(sent("doc_id"))).select("sent.range", "sent.ghost", "doc_id", "text")
+    return rows.withColumn("sent", F.explode(sent("doc_id", "h"))).select("sent.range", "sent.ghost", "doc_id", "h", "text", "n")
 
 
 def fingerprinted(docs: DataFrame, parts: int | None = None, samples: int = SAMPLES, words: int = WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Fingerprints are the samples' hashes in hex. The next document is that of the next doc_id (nulls first, equal ids
-    by text), the first one after the last; a table of one row is its own next. Null texts count as empty. Empty
+    by XXH64 of their texts, seed 42, then by text), the first one after the last; a table of one row is its own next. Null texts count as empty. Empty
     texts have the zero fingerprint, like that of other empty texts only. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -200,20 +228,29 @@ def fingerprinted(docs: DataFrame, parts: int | None = None, samples: int = SAMP
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, ended = None, False
+
+        def framed(out: list[tuple]) -> pd.DataFrame:
+            frame = pd.DataFrame(out, columns=cols)
+            frame["doc_id"] = frame["doc_id"].astype("Int64")
+            return frame
+
         for batch in batches:
             out = []
             ids = batch["doc_id"].astype("Int64").astype(object)
-            for place, ghost, doc_id, text in zip(batch["range"], batch["ghost"], ids, batch["text"]):
+            for place, ghost, doc_id, text, n in zip(batch["range"], batch["ghost"], ids, batch["text"], batch["n"]):
                 own = samples_of(text, samples, words)
                 if last is not None and last[0] == place and not ended:
                     out.append(row(*last[1:], text, own))
                 if last is None or last[0] != place:
                     ended = False
                 ended = ended or bool(ghost)
-                last = (place, None if doc_id is pd.NA else doc_id, text, own)
-            frame = pd.DataFrame(out, columns=cols)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
-
-    dealt = followed(docs, parts).repartition("range").sortWithinPartitions("range", "ghost", "doc_id", "text")
+                doc_id = None if doc_id is pd.NA else doc_id
+                last = (place, doc_id, text, own)
+                if n > 1 and not ghost:  # each but the last is followed by its equal
+                    alike = row(doc_id, text, own, text, own)
+                    for k in range(0, n - 1, 1000):
+                        yield framed([alike] * min(1000, n - 1 - k))
+            yield framed(out)
+
+    dealt = followed(docs, parts).repartition("range").sortWithinPartitions("range", "ghost", "doc_id", "h", "text")
     return dealt.mapInPandas(stream, schema)

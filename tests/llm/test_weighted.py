@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -41,8 +42,8 @@ def test_edited():
 
 
 def check(df, parts):
-    rows = [(r.doc_id, r.text or "") for r in df.collect()]
-    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    rows = df.selectExpr("doc_id", "coalesce(text, '') text", "xxhash64(coalesce(text, '')) h").collect()
+    rows = [(r.doc_id, r.text) for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h, r.text.encode()))]
     want = []
     for (i, a), (_, b) in zip(rows, rows[1:] + rows[:1]):
         e = weighted.edited(a, b)
@@ -67,3 +68,62 @@ def test_next_documents(spark, odd_docs, no_docs):
     for r in got:
         same[texts[r.doc_id]].add(r.fingerprint)
     assert all(len(x) == 1 for x in same.values())
+
+
+def test_hot_ids_are_cut(spark):
+    """Null ids, one id and one row that hold most of the table: every row has its follower, no task has them all."""
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30)))
+    rows = [(None, text()) for _ in range(150)] + [(77, text()) for _ in range(200)] + [(90, "the same row over and over again")] * 2500 + [(k, text()) for k in range(60, 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check(df, 40)
+    dealt = weighted.followed(df, 40)
+    assert dealt.where("doc_id is null and ghost = 0").select("range").distinct().count() > 1
+    assert dealt.where("doc_id = 90").count() <= 4
+    few = spark.createDataFrame([(None, text()) for _ in range(90)] + [(5, text()) for _ in range(90)], "doc_id long, text string")
+    check(few, 30)
+    ranges = weighted.followed(few, 30).where("ghost = 0").groupBy("range").count().collect()
+    assert len(ranges) > 15 and max(r["count"] for r in ranges) < 30
+
+
+def slow_samples(text, samples):
+    """The method with plain loops over words, terms and samples."""
+    mask = (1 << 64) - 1
+    m1, m2, m3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * m2 & mask
+        x = (x ^ (x >> 27)) * m3 & mask
+        return x ^ (x >> 31)
+
+    def word(w):
+        return mix((sum((b + 1) * pow(0x2545F4914F6CDD1D, k, 1 << 64) for k, b in enumerate(w)) + len(w) * m1) & mask)
+
+    words = [word(w) for w in text.encode().split()]
+    bag = collections.Counter()
+    for k in range(max(1, len(words) - 4) if words else 0):
+        h = 0
+        for x in words[k : k + 5]:
+            h = (h * m1 + x) & mask
+        bag[mix(h)] += 1
+    r, c, b = weighted.draws()
+    out = []
+    for k in range(samples):
+        odd, best = mix((k + 1) * m1 & mask) | 1, None
+        for term, n in bag.items():
+            d = (term * odd & mask) >> 48
+            t = math.floor(math.log(n) / r[d] + b[d])
+            value = c[d] - r[d] * (t - b[d]) - r[d]
+            if best is None or value < best[0]:
+                best = (value, (term + t * m2) & mask)
+        out.append(mix((best[1] + k) & mask) >> 48 if best else 0)
+    return out
+
+
+def test_samples_against_brute_force():
+    rng = random.Random(12)
+    for n in (0, 1, 4, 5, 30, 200):
+        text = " ".join(rng.choice(["alpha", "be", "ç", "dd", "e"]) for _ in range(n))
+        want = slow_samples(text, 64)
+        # 32-bit and 64-bit arithmetic may part on a near tie
+        assert np.mean(weighted.samples_of(text, 64) == np.array(want, dtype=np.uint16)) >= 0.98
