@@ -33,11 +33,11 @@ from packetlens.llm.common import components, durable, grouped, in_blocks, spann
 BLOCK = 512
 #: Smallest members that each class is compared with at first.
 NEAREST = 3
-#: Fingerprints of shingle sets: bits, segments of 4 bits, and differing bits up to which a chain goes on.
-WIDE, SEGMENTS, MOST = 1024, 256, 230
-#: Differing bits up to which two sets are compared: similarity 0.8 gives 155, 12 either way; sets of four and of five
-#: shingles 192, so that pairs of sets of fewer than FEW are compared up to MOST.
-NEAR = 194
+#: Fingerprints of shingle sets: bits, and segments of 4 bits.
+WIDE, SEGMENTS = 1024, 256
+#: Differing bits up to which two sets are compared, and of which chains hold their shares: similarity 0.8 gives 155, 12
+#: either way. Sets of four and of five shingles differ in 192, so pairs of fewer than FEW are compared up to MOST.
+NEAR, MOST = 194, 230
 #: Share of bits in which sets of similarity 0.8 differ, and of such pairs those that may share no key.
 DIFFERENT, MISSED = 0.1515, 0.02
 #: Segments of a chain that follow its key.
@@ -192,13 +192,17 @@ def links(classes: DataFrame, most: int = 3) -> DataFrame:
     return stars.unionByName(more)
 
 
+def met(g: pd.DataFrame) -> np.ndarray:
+    """Which pairs of a block's rows meet nowhere else."""
+    my = g["my"].to_numpy()
+    wanted = np.triu(np.ones((len(g), len(g)), dtype=bool), 1)
+    return wanted & (my[:, None] != my[None, :]) if g["pa"].iat[0] != g["pb"].iat[0] else wanted
+
+
 def apart(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a block's rows that have different roots and meet nowhere else."""
-    root, my = g["root"].to_numpy(), g["my"].to_numpy()
-    wanted = np.triu(root[:, None] != root[None, :], 1)
-    if g["pa"].iat[0] != g["pb"].iat[0]:
-        wanted &= my[:, None] != my[None, :]
-    return np.nonzero(wanted)
+    root = g["root"].to_numpy()
+    return np.nonzero(met(g) & (root[:, None] != root[None, :]))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
@@ -260,7 +264,7 @@ def filed(fps: np.ndarray, bits: int, slots: np.ndarray) -> tuple[np.ndarray, np
 
 def budgets(bits: int) -> list[tuple[int, int]]:
     """(mask, most): bits of a chain's following segments, and how many of them may differ."""
-    return [(((1 << 4 * k) - 1) << 4 * (FOLLOW - k), (-(-bits // 4) + k) * MOST // SEGMENTS) for k in (4, 8, FOLLOW)]
+    return [(((1 << 4 * k) - 1) << 4 * (FOLLOW - k), (-(-bits // 4) + k) * NEAR // SEGMENTS) for k in (4, 8, FOLLOW)]
 
 
 def limit(least_n: np.ndarray) -> np.ndarray:
@@ -334,6 +338,12 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
         first = np.concatenate(first)
         return i[first], j[first]
 
+    def chained(g: pd.DataFrame) -> pd.DataFrame | None:
+        chain = g["chain"].to_numpy()
+        i, j = np.nonzero(met(g))
+        ok = holds_budgets(chain[i], chain[j])
+        return g.iloc[np.unique(np.concatenate([i[ok], j[ok]]))] if ok.any() else None
+
     def candidates(g: pd.DataFrame) -> pd.DataFrame | None:
         i, j = pairs_of(g)
         return g.iloc[np.unique(np.concatenate([i, j]))] if len(i) else None
@@ -386,10 +396,12 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
     # a bucket of several blocks is worth a look at its roots first
     named = left.where(F.col("n") > SETS).select("key", F.col("rep").alias("member")).join(root_of("r"), F.col("member") == F.col("r"))
     closed = durable(named.groupBy("key").agg(F.min("root_r").alias("a"), F.max("root_r").alias("b")).where("a = b").select("key"))
-    left = left.join(closed, "key", "left_anti").join(rooted, "rep")
-    dealt = in_blocks(left, "key", "n", F.col("rep"), SETS).select("key", "pa", "pb", "rep", "root", "my", "chain", "fp", "size")
-    rest = durable(grouped(dealt, ["key", "pa", "pb"], candidates, "key long, pa int, pb int, rep long, root long, my int, chain long, fp binary, size int"))
-    return stars.unionByName(grouped(rest.join(sets_of(rest), "rep"), ["key", "pa", "pb"], block, "u long, v long"))
+    left = in_blocks(left.join(closed, "key", "left_anti"), "key", "n", F.col("rep"), SETS).select("key", "pa", "pb", "rep", "my", "chain")
+    # chains first, then whole fingerprints, then whole sets
+    block_of, own = ["key", "pa", "pb"], "key long, pa int, pb int, rep long, my int, chain long"
+    held = durable(grouped(left, block_of, chained, own))
+    rest = durable(grouped(held.join(rooted, "rep").select(*held.columns, "root", "fp", "size"), block_of, candidates, f"{own}, root long, fp binary, size int"))
+    return stars.unionByName(grouped(rest.join(sets_of(rest), "rep"), block_of, block, "u long, v long"))
 
 
 def similar(docs: DataFrame, words: int, least: float) -> DataFrame:

@@ -98,7 +98,7 @@ def test_keys_and_budgets_against_brute_force():
                 walk = "".join(digits[4 * i : 4 * i + 4] for i in slots[k])
                 assert key[r, k] == (k << bits) | int(walk[:bits], 2) and chain.view(np.uint64)[r, k] == int(walk[20:], 2)
         for (mask, most), follow in zip(simhash.budgets(bits), (4, 8, 16)):
-            assert f"{mask:016x}" == "f" * follow + "0" * (16 - follow) and most == (5 + follow) * simhash.MOST // 256
+            assert f"{mask:016x}" == "f" * follow + "0" * (16 - follow) and most == (5 + follow) * simhash.NEAR // 256
 
 
 def shingles_of(w):
