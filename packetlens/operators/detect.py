@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packetlens.config import ScanConfig
 from packetlens.functions import columns as c
 from packetlens.operators import fold, match
+from packetlens.operators.decode import settled
 from packetlens.schema import ALERTS, names
 
 #: Order in which a packet's checks report.
@@ -20,14 +21,19 @@ PATTERNS = (
 )
 
 
-def _alerts(df: DataFrame, check: str, kind: str, detail: Column | str, proto: Column, **extra: Column) -> DataFrame:
+def _alert(check: str, kind: str, detail: Column | str, proto: Column, **extra: Column) -> Column:
+    """An alert of the packet at hand as a struct."""
     columns = {x.split()[0]: x.split()[1] for x in ALERTS.split(", ")}
     made = {
         "check_ord": F.lit(ORDER[check]), "time": c.iso8601("ts_us"), "type": F.lit(kind), "proto": proto,
         "detail": F.lit(detail) if isinstance(detail, str) else detail, **extra,
     }
     value = lambda k: made[k] if k in made else F.col(k) if k in ("packet_id", "ts", "src_ip", "dst_ip", "src_port", "dst_port") else F.lit(None)
-    return df.select(*(value(k).cast(t).alias(k) for k, t in columns.items()))
+    return F.struct(*(value(k).cast(t).alias(k) for k, t in columns.items()))
+
+
+def _alerts(df: DataFrame, check: str, kind: str, detail: Column | str, proto: Column, **extra: Column) -> DataFrame:
+    return df.select(_alert(check, kind, detail, proto, **extra).alias("x")).select("x.*")
 
 
 def blocklisted_ip(packets: DataFrame, nets: DataFrame) -> DataFrame:
@@ -47,8 +53,7 @@ def blocklisted_domain(packets: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def keyword_match(packets: DataFrame, words: tuple[str, ...], cfg: ScanConfig) -> DataFrame:
-    hit = packets.where("payload_len > 0").withColumn("word", match.keyword(F.col("payload"), words, cfg.payload_max)).where("word is not null")
-    return _alerts(hit, "keyword", "keyword_match", F.concat(F.lit("Matched keyword: "), "word"), c.alert_proto())
+    return stateless(packets, words, cfg, ("keyword",))
 
 
 #: Packet columns that an alert is made of.
@@ -88,17 +93,7 @@ def port_scan_suspects(packets: DataFrame, cfg: ScanConfig) -> DataFrame:
 
 
 def dns_tunnel(packets: DataFrame, cfg: ScanConfig) -> DataFrame:
-    name = F.col("dns_qname_lower")
-    dot = F.instr(name, ".")
-    label = F.substring(name, F.lit(1), dot - 1)
-    hit = (
-        packets.where((name != "") & (dot > 1) & (dot - 1 >= cfg.dns_tunnel_len))
-        .withColumn("label", label).withColumn("bits", c.entropy("label")).where(F.col("bits") >= cfg.dns_tunnel_entropy)
-    )
-    return _alerts(
-        hit, "dns_tunnel", "dns_tunnel", F.concat(F.lit("Potential DNS tunnel: "), name), F.lit("DNS"),
-        subdomain_len=F.length("label"), entropy=F.round("bits", 2),
-    )
+    return stateless(packets, (), cfg, ("dns_tunnel",))
 
 
 def beaconing(packets: DataFrame, cfg: ScanConfig, keys: tuple[str, ...] = ("src_ip4", "dst_ip4", "dst_port")) -> DataFrame:
@@ -140,11 +135,7 @@ def credentials(packets: DataFrame) -> DataFrame:
 
 
 def plaintext_credentials(packets: DataFrame, cfg: ScanConfig) -> DataFrame:
-    hit = packets.where("cred_username <> '' or cred_password <> ''")
-    user = c.redact("cred_username") if cfg.redact_secrets else F.col("cred_username")
-    who = F.when(F.col("cred_username") != "", F.concat(F.lit(" user: "), user)).otherwise("")
-    detail = F.concat(F.lit("Plaintext credentials detected ("), "cred_protocol", F.lit(")"), who)
-    return _alerts(hit, "credential", "sensitive_data", detail, F.col("cred_protocol"))
+    return stateless(packets, (), cfg, ("credential",))
 
 
 def pattern(payload: Column) -> Column:
@@ -154,8 +145,40 @@ def pattern(payload: Column) -> Column:
 
 
 def sensitive_pattern(packets: DataFrame) -> DataFrame:
-    hit = packets.where("payload_len > 10").withColumn("what", pattern(F.col("payload"))).where("what is not null")
-    return _alerts(hit, "pattern", "sensitive_data", F.concat(F.lit("Sensitive data pattern: "), "what"), c.alert_proto())
+    return stateless(packets, (), ScanConfig(), ("pattern",))
+
+
+def stateless(packets: DataFrame, words: tuple[str, ...], cfg: ScanConfig, checks: tuple[str, ...] = ("keyword", "dns_tunnel", "credential", "pattern")) -> DataFrame:
+    """Alerts of the checks that look at one packet only, from one pass over the packets."""
+    name, user = F.col("dns_qname_lower"), F.col("cred_username")
+    dot = F.instr(name, ".")
+    label = F.when((name != "") & (dot > 1) & (dot - 1 >= cfg.dns_tunnel_len), F.substring(name, F.lit(1), dot - 1))
+    # what the checks look at, null where there is nothing to look at
+    seen = {
+        "keyword": {"word": F.when(F.col("payload_len") > 0, match.keyword(F.col("payload"), words, cfg.payload_max))},
+        "dns_tunnel": {"label": label, "bits": F.when(label.isNotNull(), c.entropy(label))},
+        "credential": {"login": (user != "") | (F.col("cred_password") != "")},
+        "pattern": {"what": F.when(F.col("payload_len") > 10, pattern(F.col("payload")))},
+    }
+    shown = c.redact("cred_username") if cfg.redact_secrets else user
+    who = F.when(user != "", F.concat(F.lit(" user: "), shown)).otherwise("")
+    made = {
+        "keyword": F.when(F.col("word").isNotNull(), _alert("keyword", "keyword_match", F.concat(F.lit("Matched keyword: "), "word"), c.alert_proto())),
+        "dns_tunnel": F.when(F.col("bits") >= cfg.dns_tunnel_entropy, _alert(
+            "dns_tunnel", "dns_tunnel", F.concat(F.lit("Potential DNS tunnel: "), name), F.lit("DNS"), subdomain_len=F.length("label"), entropy=F.round("bits", 2),
+        )),
+        "credential": F.when(F.col("login"), _alert(
+            "credential", "sensitive_data", F.concat(F.lit("Plaintext credentials detected ("), "cred_protocol", F.lit(")"), who), F.col("cred_protocol"),
+        )),
+        "pattern": F.when(F.col("what").isNotNull(), _alert("pattern", "sensitive_data", F.concat(F.lit("Sensitive data pattern: "), "what"), c.alert_proto())),
+    }
+    columns = {k: v for check in checks for k, v in seen[check].items()}
+    keep = (*SEEN, "dns_qname_lower", "cred_username", "cred_protocol")
+    some = F.lit(False)
+    for k in columns:
+        some = some | (F.col(k) if k == "login" else F.col(k).isNotNull())
+    rows = settled(packets.select(*keep, *(v.alias(k) for k, v in columns.items()))).where(some)
+    return rows.select(F.inline(F.filter(F.array(*(made[k] for k in checks)), lambda x: x.isNotNull())))
 
 
 def _legacy(packets: DataFrame, ioc: match.Indicators, cfg: ScanConfig) -> list[DataFrame]:
@@ -179,9 +202,8 @@ def alerts(packets: DataFrame, ioc: match.Indicators, cfg: ScanConfig) -> DataFr
         parts = _legacy(packets, ioc, cfg)
     else:
         parts = [
-            blocklisted_ip(packets, ioc.networks), blocklisted_domain(packets, ioc.domains), keyword_match(packets, ioc.keywords, cfg),
-            port_scan(packets, cfg), dns_tunnel(packets, cfg), beaconing(packets, cfg), exfiltration(packets, cfg),
-            plaintext_credentials(packets, cfg), sensitive_pattern(packets),
+            blocklisted_ip(packets, ioc.networks), blocklisted_domain(packets, ioc.domains), stateless(packets, ioc.keywords, cfg),
+            port_scan(packets, cfg), beaconing(packets, cfg), exfiltration(packets, cfg),
         ]
     out = parts[0]
     for part in parts[1:]:
