@@ -171,7 +171,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, pattern: str | None
     """``docs`` with n_tokens, n_bytes, ids (binary, little-endian u32; null without ``keep_ids``) and digests.
 
     Texts of up to ``long`` code points are encoded where they are, without a shuffle. Longer ones are dealt out by
-    chunks, so that one does not hold up a task; they are told apart by hashes of all columns. Null and empty texts
+    chunks, so that one does not hold up a task, equal texts once; they are told apart by two hashes. Null and empty texts
     have no tokens and the digest of no bytes. The decoded digest is of the bytes that the ids give back. Repeated
     rows repeat. Columns of ``docs`` that share a name with a new one are replaced.
     """
@@ -184,11 +184,12 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, pattern: str | None
     kept = [c for c in docs.columns if c not in NAMES]
     large = F.coalesce(F.length("text") > long, F.lit(False))
     near = docs.where(~large).select(*kept, run(F.col("text")).alias("encoded ids")).select(*kept, "`encoded ids`.*")
-    hashes = [F.xxhash64(*kept, F.lit(k)).alias(f"row hash {k}") for k in (1, 2)]
+    hashes = [F.xxhash64("text", F.lit(k)).alias(f"text hash {k}") for k in (1, 2)]
     apart = docs.where(large).select(*kept, *hashes)
     key = ["h1", "h2"]
-    parts = _long(apart.select("text", *(F.col(f"row hash {k}").alias(f"h{k}") for k in (1, 2))), key, chunk, overlap, vocabulary, pattern, keep_ids)
-    far = apart.join(parts, (F.col("row hash 1") == F.col("h1")) & (F.col("row hash 2") == F.col("h2"))).select(*kept, *NAMES)
+    texts = apart.select("text", *(F.col(f"text hash {k}").alias(f"h{k}") for k in (1, 2)))
+    parts = _long(texts, key, chunk, overlap, vocabulary, pattern, keep_ids)
+    far = apart.join(parts, (F.col("text hash 1") == F.col("h1")) & (F.col("text hash 2") == F.col("h2"))).select(*kept, *NAMES)
     return near.unionByName(far)
 
 

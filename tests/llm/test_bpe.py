@@ -62,3 +62,10 @@ def test_long_texts_by_chunks(spark, odd_docs, library):
     for frame in (df, odd_docs):
         whole = sorted(map(str, bpe.encoded(frame).collect()))
         assert sorted(map(str, bpe.encoded(frame, long=20, chunk=37, overlap=6).collect())) == whole
+
+
+def test_map_columns_are_carried(spark):
+    df = spark.createDataFrame([(1, "one two three four", {"a": 1}), (2, "five", {"b": 2})], "doc_id long, text string, extra map<string, int>")
+    for long in (4, 1000):
+        got = {r.doc_id: (r.n_tokens > 0, r.extra) for r in bpe.encoded(df, long=long, chunk=5, overlap=2).collect()}
+        assert got == {1: (True, {"a": 1}), 2: (True, {"b": 2})}
