@@ -79,7 +79,7 @@ def port_scan(packets: DataFrame, cfg: ScanConfig) -> DataFrame:
     seen, t = probes(packets, cfg), cfg.portscan_threshold
     reached = _sketches(seen).where(F.size("firsts") >= t).select("src_ip4", "window", F.get("firsts", F.lit(t - 1)).alias("from"), F.get("firsts", F.lit(t)).alias("to"))
     until = F.col("packet_id") == F.col("from") if cfg.portscan_once else F.coalesce(F.col("packet_id") < F.col("to"), F.lit(True))
-    hit = seen.join(match.small(reached), ["src_ip4", "window"]).where((F.col("packet_id") >= F.col("from")) & until)
+    hit = seen.join(reached, ["src_ip4", "window"]).where((F.col("packet_id") >= F.col("from")) & until)
     kind = "port_scan_suspected" if cfg.profile == "legacy" else "port_scan"
     proto = c.proto_name() if cfg.profile == "legacy" else F.when(F.col("l4") == c.TCP, "TCP").otherwise("UDP")
     return _alerts(hit, "portscan", kind, "Approx distinct dst ports in window >= T", proto)
