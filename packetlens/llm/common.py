@@ -15,6 +15,8 @@ from packetlens.session import importable
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of a few numbers that one task takes.
 TASK_ROWS = 500_000
+#: Edges up to which their nodes' minima, two numbers for each of at most twice as many nodes, are broadcast.
+BROADCAST_EDGES = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,14 +139,16 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
         # as many tasks as the edges fill; they only get fewer
         few = lambda df: df.coalesce(max(1, -(-now[0] // TASK_ROWS)))  # noqa: B023, E731
+        # the minima of few edges go to the edges, so that a hub's edges stay where they are; of many, the join splits hubs
+        near = F.broadcast if now[0] <= BROADCAST_EDGES else (lambda df: df)
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = durable(few(both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()))
+        e = durable(few(both.join(near(least), "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()))
         least = e.groupBy("b").agg(F.min("a").alias("m"))
         e = durable(few(
-            e.join(least, "b")
+            e.join(near(least), "b")
             .where("a <> m")
             .select(F.col("m").alias("a"), F.col("a").alias("b"))
             .unionByName(least.select(F.col("m").alias("a"), "b"))

@@ -170,7 +170,9 @@ def test_similar_texts_are_those_of_all_pairs(spark, monkeypatch, block):
     assert [got[k] for k in range(len(texts))] == root
 
 
-def test_components(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_components(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_EDGES", broadcast)
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randint(2000, 2300), rng.randint(2000, 2300)) for _ in range(150)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
