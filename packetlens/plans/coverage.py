@@ -75,8 +75,9 @@ def _line(kind: int, value: Column) -> Column:
 @query(f"select distinct * from (select 32 prefix, ({SRC} + user_id)::bigint network from events where event_id % 4 = 0 union all select 24, ((10 << 16) + user_id)::bigint from events where event_id % 4 = 1)")
 def listed_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An address list with blanks and comments."""
-    u = F.col("user_id").cast("string")
-    lines = F.coalesce(_line(0, F.concat(F.lit("  10.0.0."), u)), _line(1, F.concat(F.lit("10."), (F.col("user_id") / 256).cast("int").cast("string"), F.lit("."), (F.col("user_id") % 256).cast("string"), F.lit(".7/24 \t"))), _line(2, F.lit("# 10.0.0.1")), F.lit("  "))
+    u = F.col("user_id")
+    host, net = c.ip4_text(F.lit(SRC) + u), c.ip4_text(((10 << 16) + u) * 256 + 7)
+    lines = F.coalesce(_line(0, F.concat(F.lit("  "), host)), _line(1, F.concat(net, F.lit("/24 \t"))), _line(2, F.lit("# 10.0.0.1")), F.lit("  "))
     return match.networks(match.entries(adapter.table(spark, sf_dir, "events").select(lines.alias("value"))))
 
 
