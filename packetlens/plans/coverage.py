@@ -47,14 +47,14 @@ _BODY = "'event ' || packet_id"
   case l4 when 6 then 20 when 17 then 8 else 2 end)::int raw_len from pkt""")
 def capture_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures written from the events, cut into stretches of 64 KiB, and decoded."""
-    found = decode.decoded(pcap.load(spark, _capture(spark, sf_dir), ids="offset", splitBytes=str(1 << 16)))
+    found = adapter.with_names(decode.decoded(pcap.load(spark, _capture(spark, sf_dir), ids="offset", splitBytes=str(1 << 16))), "src_ip")
     body = F.when(F.col("l4") == c.ICMP, F.expr("substring(payload, 3)")).otherwise(F.col("payload"))
     return found.select(c.latin1(body).alias("body"), "ts", "src_ip", "dst_ip", "src_port", "raw_len")
 
 
 @query(f"{PKT} select {_BODY} body, src_ip, l4, case when l4 = 1 then 0 else dst_port end::int dst_port from pkt")
 def capture_scan_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode.legacy(pcap.load(spark, _capture(spark, sf_dir), splitBytes=str(1 << 17)))
+    found = adapter.with_names(decode.legacy(pcap.load(spark, _capture(spark, sf_dir), splitBytes=str(1 << 17))), "src_ip")
     body = F.when(F.col("l4") == c.ICMP, F.expr("substring(payload, 3)")).otherwise(F.col("payload"))
     return found.select(c.latin1(body).alias("body"), "src_ip", "l4", "dst_port")
 
