@@ -19,6 +19,8 @@ FIT_ROWS = 400
 #: N-grams beyond which a document weighs no more in the fit, the unit that counts are rounded to, and how many n-grams
 #: of all languages together are added to each.
 LONG, UNIT, SMOOTH = 20_000, 4096, 200.0
+#: Rows of the fit whose counts one task adds up.
+TASK_ROWS = 400
 ROUNDS = 12
 UNKNOWN = "und"
 
@@ -84,7 +86,9 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
             at = np.nonzero(v)[0]
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(v[at])], ["lang", "gram", "n"])
 
-    seen = sample.dropDuplicates(["lang", "h"]).select("lang", "text").mapInArrow(count, "lang string, gram int, n long")
+    # every task has its own counts, so there are as many tasks as the sample fills, however many partitions it comes in
+    tasks = max(1, -(-sum(min(n, fit_rows) for n in sizes.values()) // TASK_ROWS))
+    seen = sample.dropDuplicates(["lang", "h"]).select("lang", "text").coalesce(tasks).mapInArrow(count, "lang string, gram int, n long")
     found = seen.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # the model's own size at most
     counts = np.zeros((DIMS, len(langs)))
     place = {x: k for k, x in enumerate(langs)}

@@ -143,3 +143,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert language.identified(no_docs).count() == 0
     unlabelled = corpus(spark, 5).selectExpr("doc_id", "text", "cast(null as string) lang")
     assert {r.lang_pred for r in language.identified(unlabelled).collect()} == {"und"}
+
+
+def test_rows_of_counts_do_not_follow_partitions(spark, monkeypatch):
+    frame, made = type(spark.range(0)), []
+    counted = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: made.append(counted(self, *a, **k)) or made[-1])
+    docs = spark.createDataFrame([(k, f"words of number {k} and more of them", "en") for k in range(300)], "doc_id long, text string, lang string")
+    found = []
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            langs, logs = language.fit(docs)
+            found.append((made[-1].count(), logs.tolist()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1]
