@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +13,32 @@ from packetlens.llm.common import durable, prepared, shared_dir
 
 #: Near-duplicates of the corpus: sets of five-word shingles of similarity 0.8 or more.
 WORDS, SIMILARITY = 5, 0.8
+#: Classifiers that this process has fitted to all documents, by application and folder of tables.
+FITTED: dict[tuple[str, str], tuple] = {}
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. The mixture weighs by the same classifier."""
     prepared(spark)
-    return quality.classified(docs).where("kept").select(*docs.columns)
+    model = FITTED[spark.sparkContext.applicationId, sf_dir] = quality.fit(docs)
+    return quality.classified(docs, model=model).where("kept").select(*docs.columns)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple:
+    """What the first stage has fitted; where it ran elsewhere, fitted anew to all documents, or to ``docs`` if the folder has none."""
+    if model := FITTED.get((spark.sparkContext.applicationId, sf_dir)):
+        return model
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return quality.fit(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest id, once. Rows without an id stay."""
+    prepared(spark)
     found = durable(simhash.similar(docs, WORDS, SIMILARITY))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -38,17 +55,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in whole documents; weighted by the classifier's score.
-
-    The stages before it return the columns of documents only, so the classifier is fitted again, to all documents.
-    """
-    model = quality.fit(prepared(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+    """Each document as often as the mix takes it, in whole documents; weighted by the classifier's score."""
+    model = classifier(prepared(spark), docs, sf_dir)
     mix = mixture.mixed(quality.scored(docs, model), weight=F.col("quality_score"), keep=docs.columns)
     return mix.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).where("copies > 0").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests of ids and decoded bytes."""
+    prepared(spark)
     return bpe.encoded(docs.select("doc_id", "source", "lang", "text")).drop("text")
 
 

@@ -228,10 +228,11 @@ def scored(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> Data
     return docs.select(*own, score("text").alias("scored text")).select(*own, "`scored text`.*")
 
 
-def classified(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
+def classified(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5, model: tuple[float, np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """``docs`` with label_posterior (of the votes), quality_score (of the scorer) and kept (score >= threshold).
 
+    ``model``: what ``fit`` found, if it is to be used again; else it is fitted to ``docs``.
     Null and empty texts have no words: the one vote they get is bad, and they are scored like any other. An empty
     table gives no rows. Repeated rows get equal scores. Columns of ``docs`` with one of the new names are replaced.
     """
-    return scored(docs, fit(docs, fit_rows)).withColumn("kept", F.col("quality_score") >= F.lit(threshold))
+    return scored(docs, model or fit(docs, fit_rows)).withColumn("kept", F.col("quality_score") >= F.lit(threshold))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from packetlens.llm import secrets
 
@@ -35,3 +37,32 @@ def test_stages(spark, tmp_path):
     assert set(ids[3]) <= set(ids[2]) and max(ids[3].count(i) for i in set(ids[3]) - {500}) <= 2
     assert sorted(ids[4]) == sorted(ids[3]) and all(r.n_tokens > 0 for r in kept[4])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids[4])
+
+
+def some(spark, n=80):
+    rng = random.Random(3)
+    rows = [(k, prose(rng, rng.randint(30, 60)), "en", f"s{k % 3}") for k in range(n)]
+    rows += [(n + k, " ".join(w + "###" for w in prose(rng, 40).split()), "en", "s1") for k in range(8)]
+    return spark.createDataFrame([(*r, len(r[1])) for r in rows], COLUMNS)
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_each_stage_alone(spark, tmp_path, k):
+    """A stage needs no session that an earlier stage has set up, and no table beside its rows."""
+    corpus_pipeline.FITTED.clear()
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    name, stage = corpus_pipeline.STAGES[k]
+    assert stage(spark, some(spark), str(tmp_path / "none")).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000" or name == "secret scans"
+
+
+def test_mixture_takes_the_first_stage_s_classifier(spark, tmp_path, monkeypatch):
+    """The mix is the one of a classifier fitted anew, without reading and fitting all documents again."""
+    some(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    corpus_pipeline.FITTED.clear()
+    anew = sorted(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
+    corpus_pipeline.keep_quality(spark, docs, str(tmp_path))
+    monkeypatch.setattr(corpus_pipeline.quality, "fit", lambda *_: pytest.fail("fitted again"))
+    assert anew == sorted(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
